@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.session import materialise
@@ -53,7 +53,8 @@ def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
-def held_out(doc_id=None):
+def held_out() -> Column:
+    """Whether crc32 of the id as text leaves 0 modulo 5; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
@@ -100,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
 
     # the samples are bounded by parameters, and only words of the lexicon matter, so one task can hold them
     lean = bags.select("label", F.array_intersect("words", F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")).alias("words"))
-    weights = lean.groupBy(F.lit(0)).applyInPandas(learn, "w array<double>").first()["w"]
+    weights = lean.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "w array<double>").first()["w"]
     return {"words": words, "weights": weights, "prior": prior}
 
 
