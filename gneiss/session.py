@@ -55,3 +55,9 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """Hint a broadcast only for a table whose counted rows are within the bound; beyond it Spark shuffles both sides."""
     return df.hint("broadcast") if rows <= most else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python workers at most so many rows at once: texts can be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
