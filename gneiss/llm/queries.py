@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import mixing, pii, quality, secrets, topk, toxicity, warc
+from gneiss.llm import bpe, jaccard, mixing, pii, quality, secrets, suffixes, topk, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.deduplicate(documents(spark, sf_dir)))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(*mixing.mix(documents(spark, sf_dir)))
 
@@ -33,6 +37,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -42,6 +54,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op3_mixing, op4_quality_rules, op5_warc, op8_exact_top_k, op9_toxicity, op10_secret_scans)
+    f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_mixing, op4_quality_rules, op5_warc, op6_jaccard_join, op7_bpe, op8_exact_top_k, op9_toxicity, op10_secret_scans)
 }
 SQL: dict[str, str] = {"op5_warc": warc.SQL, "op8_exact_top_k": topk.SQL}

@@ -57,3 +57,64 @@ def op4(text: str | None) -> dict:
     lines = [x for x in text.split("\n") if WORD.search(x)]
     out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
     return out | {"base_failed": len(w) < 20 or 100 * len(hit) > 30 * len(w)}
+
+
+def op2(texts: list[str | None], length: int = 400) -> list[dict]:
+    """Per text: bytes, removed bytes, runs and the digest of what stays."""
+    data = [(t or "").encode() for t in texts]
+    seen: Counter = Counter(hash(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        upto = 0
+        for i in range(len(d) - length + 1):
+            if seen[hash(d[i : i + length])] > 1:
+                for j in range(max(i, upto), i + length):
+                    gone[j] = 1
+                upto = i + length
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append({"n_bytes": len(d), "n_removed": sum(gone), "n_spans": runs, "kept_sha256": sha(bytes(b for b, g in zip(d, gone) if not g))})
+    return out
+
+
+def token_set(text: str | None, n: int) -> set:
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def op6(ids: list[int], texts: list[str | None], n: int = 4, percent: int = 85) -> dict[int, tuple[int, int]]:
+    """doc_id: (set size, component) by comparing all pairs that share anything."""
+    sets = [token_set(t, n) for t in texts]
+    post: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            post.setdefault(x, []).append(i)
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    shared: Counter = Counter()
+    for p in post.values():
+        if len(p) > 1:
+            shared.update((a, b) for k, a in enumerate(p) for b in p[k + 1 :])
+    for (a, b), k in shared.items():
+        if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
+            root[find(a)] = find(b)
+    low: dict[int, int] = {}
+    for i, d in enumerate(ids):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return {d: (len(sets[i]), low[find(i)]) for i, d in enumerate(ids)}
+
+
+def op7(texts: list[str | None]) -> list[dict]:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    pack = lambda x: b"".join(i.to_bytes(4, "little") for i in x)
+    return [{"n_tokens": len(x), "ids_sha256": sha(pack(x)), "decoded_sha256": sha(t.decode(x, skip_special_tokens=False))} for x in ids]
