@@ -106,11 +106,19 @@ def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share:
     told = let(_tagged(F.col("_t")), lambda base: F.transform(base, lambda x: F.struct(x.alias("x"), _context(F.col("_t"), x, context).alias("c"))))
     rows = materialise(whole.select("_id", "_h", told.alias("told")), "entities")
 
-    seen = rows.select(F.explode("told").alias("y")).select(F.concat_ws(":", "y.x.k", F.lower("y.x.m")).alias("entity"), F.col("y.c").alias("c"), F.xxhash64("y.c").alias("ctx"))
-    seen = seen.dropDuplicates(["entity", "ctx"])
+    n = rows.agg(F.countDistinct("_h").alias("n")).first()["n"]
+    told = rows.select("_h", F.explode("told").alias("y")).select("_h", F.concat_ws(":", "y.x.k", F.lower("y.x.m")).alias("entity"), F.col("y.c").alias("c"), F.xxhash64("y.c").alias("ctx"))
+    seen = told.dropDuplicates(["entity", "ctx"])
+
+    def telling(n_t: Column) -> Column:
+        pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest(n_t, F.col("n_et"))))
+        return (pmi >= bits) & (pmi >= share * F.log2(F.lit(float(n)) / F.col("n_e")))
+
+    # the texts that hold a term near any entity are some of those that hold it at all, so a term that fails with them alone is out
+    near = told.select("_h", F.explode("c").alias("term")).groupBy("term").agg(F.countDistinct("_h").alias("n_near"))
     entities = seen.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
     pairs = seen.select("entity", F.explode("c").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = materialise(pairs.join(entities, "entity"), "disclosure")
+    pairs = materialise(pairs.join(entities, "entity").join(near, "term").filter(telling(F.col("n_near"))), "disclosure")
     candidates = materialise(pairs.select("term").distinct(), "terms")
     n_candidates = candidates.count()
     none = F.array().cast(_LIST)
@@ -120,10 +128,8 @@ def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share:
     tokens = whole.select("_id", "_h", F.explode(F.array_distinct(terms(F.col("_t")))).alias("term"))
     held = materialise(tokens.join(broadcast_if_small(candidates, n_candidates), "term").distinct(), "held-terms")
     n_t = held.groupBy("term").agg(F.countDistinct("_h").alias("n_t"))
-    n = rows.agg(F.countDistinct("_h").alias("n")).first()["n"]
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    telling = pairs.join(n_t, "term").filter((pmi >= bits) & (pmi >= share * F.log2(F.lit(float(n)) / F.col("n_e")))).select("term").distinct()
-    marked = materialise(held.join(telling, "term").groupBy("_id", "_h").agg(F.collect_set("term").alias("terms")), "marked")
+    certain = pairs.join(n_t, "term").filter(telling(F.col("n_t"))).select("term").distinct()
+    marked = materialise(held.join(certain, "term").groupBy("_id", "_h").agg(F.collect_set("term").alias("terms")), "marked")
     n_marked = marked.count()
     if not n_marked:
         return rows.select("_id", "_h", F.col("told.x").alias("base"), none.alias("added"))
