@@ -6,9 +6,12 @@ are one group; groups that share a prefix token and fit in size are pairs, which
 
 Two steps keep this from listing all pairs of a large family of copies or of all texts that quote one passage:
 * a filter over a fixed quarter of the hash range: a set with a partner misses at most size - ceil(t * size) tokens of it, so
-  sets with more unshared tokens there are out at once (quoting texts are, as most of their tokens are their own);
-* stars: the groups of a token are compared with the one that shares most, and only what the links found so far leave in
-  different components is compared on; groups that are in one component need no further link, as components are asked for.
+  sets with more unshared tokens there are out at once (texts that only quote the same passage mostly are);
+* among what is left, tokens that many sets have come last in the order, so prefixes are made of rare ones;
+* a star: the groups of a token are compared with the one that shares most. Then only what is in different components is
+  compared on, over a growing part of the tokens at a time, components being joined in between; members of one component need
+  no further link, as components are asked for. Parity bitmaps, whose difference bounds that of the sets from below, reject
+  most of the pairs within the join.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from gneiss.session import broadcast_if_small, materialise, small_batches
 N, PERCENT = 4, 85
 #: Hashes below this (of signed 64-bit numbers) are the quarter that the filter looks at.
 QUARTER = -(1 << 62)
-STARS = 6
+#: Tokens of this many sets come last in the order. Longs of the parity bitmap. Of 16 parts of the tokens, how many each round takes.
+HEAVY, LONGS, ROUNDS = 16, 8, (1, 3, 12)
 
 
 def _needed(percent: int) -> Column:
@@ -63,6 +67,21 @@ def _digest(h: np.ndarray) -> bytes:
     return b"".join(int(x).to_bytes(8, "big") for x in (a, b)) + len(h).to_bytes(4, "big")
 
 
+def _parity(h: np.ndarray) -> list[int]:
+    """A bitmap with each bit's count of tokens modulo 2."""
+    bits = np.bincount((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _near(percent: int) -> Column:
+    """Whether n, b and hub_n, hub_b leave a high enough similarity possible: by size, and by the bits that differ."""
+    size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    apart = F.lit(0)
+    for i in range(LONGS):
+        apart = apart + F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"hub_b{i}")))
+    return size & (apart * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose exact similarity is high enough."""
     left = sets.select(F.col("c").alias("a"), F.col("tokens").alias("x"))
@@ -94,54 +113,57 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, text: s
     n_classes = classes.count()
     wanted = whole.join(broadcast_if_small(classes, n_classes, 500_000), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")))
 
+    bits = [f"b{i}" for i in range(LONGS)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"c": b["c"], "n": b["n"], "score": b["score"], "tokens": [_tokens(x, n) for x in b["_t"]]})
-
-    sets = wanted.select("c", "n", "score", "_t").mapInPandas(run, "c binary, n int, score double, tokens array<long>").dropDuplicates(["c"])
-    prefix = F.slice("tokens", F.lit(1), F.col("n") - need + 1)
-    sets = materialise(sets.withColumn("prefix", prefix).withColumn("grp", F.xxhash64("prefix", "n")), "sets")
+            tokens = [_tokens(x, n) for x in b["_t"]]
+            parity = np.array([_parity(h) for h in tokens], np.int64).reshape(len(tokens), LONGS)
+            yield pd.DataFrame({"c": b["c"], "n": b["n"], "score": b["score"], "tokens": tokens} | {c: parity[:, i] for i, c in enumerate(bits)})
+
+    longs = ", ".join(f"{c} long" for c in bits)
+    sets = materialise(wanted.select("c", "n", "score", "_t").mapInPandas(run, f"c binary, n int, score double, tokens array<long>, {longs}").dropDuplicates(["c"]), "sets")
+    each = sets.select("c", F.explode("tokens").alias("h"))
+    heavy = materialise(each.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= HEAVY).select("h"), "heavy-tokens")
+    common = each.join(broadcast_if_small(heavy, heavy.count(), 500_000), "h").groupBy("c").agg(F.array_sort(F.collect_list("h")).alias("heavy"))
+    ordered = F.when(F.col("heavy").isNull(), F.col("tokens")).otherwise(F.concat(F.array_except("tokens", "heavy"), F.col("heavy")))
+    prefix = F.slice(ordered, F.lit(1), F.col("n") - need + 1)
+    known_sets = sets.join(common, "c", "left").select("c", "n", "score", prefix.alias("prefix"), *bits)
+    grouped = materialise(known_sets.withColumn("grp", F.xxhash64("prefix", "n")), "groups")
 
     # groups: one posting per prefix token and group; a group's own name is a posting that joins its members
-    groups = sets.groupBy("grp", "n").agg(F.max(F.struct("score", "c", "prefix")).alias("m"), F.count("*").alias("members"))
-    posts = groups.select("grp", "n", F.col("m.score").alias("score"), F.explode("m.prefix").alias("h"))
-    common = posts.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    posts = materialise(posts.join(common, "h"), "postings")
-    members = materialise(sets.select("grp", "n", "c", "score"), "members")
-    lone = groups.filter("members > 1").select("grp", F.col("m.c").alias("head"))
-    pairs = members.join(lone, "grp").filter("c <> head").select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b"))
-    known = materialise(pairs.distinct(), "group-pairs")
-    links = materialise(_verify(known, sets, percent), "group-links")
-    fit = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    for star in range(STARS + 1):
-        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))) if star else None
-        own = members if found is None else members.join(found, members["c"] == found["node"], "left").drop("node")
-        own = own.withColumn("comp", F.col("c") if found is None else F.coalesce("root", "c")).select("grp", "n", "c", "score", "comp")
-        at = materialise(posts.select("h", "grp").join(own, "grp").select("h", "n", "c", "score", "comp").unionByName(own.join(lone, "grp").select(F.col("grp").alias("h"), "n", "c", "score", "comp")), "members-of-tokens")
+    groups = grouped.groupBy("grp", "n").agg(F.max(F.struct("score", "c", "prefix")).alias("m"), F.count("*").alias("members"))
+    posts = groups.select("grp", F.explode("m.prefix").alias("h"))
+    several = posts.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    lone = groups.filter("members > 1").select("grp", F.col("grp").alias("h"))
+    posts = materialise(posts.join(several, "h").select("h", "grp").unionByName(lone.select("h", "grp")), "postings")
+    members = materialise(grouped.select("grp", "n", "c", "score", *bits), "members")
+    hub_bits = [F.col(f"p.{c}").alias(f"hub_{c}") for c in ("c", "n", "comp", *bits)]
+    links = known = None
+
+    for turn in range(len(ROUNDS) + 1):
+        if turn:
+            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            own = members.join(found, members["c"] == found["node"], "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
+            first = sum(ROUNDS[: turn - 1])
+            part = F.pmod("h", F.lit(sum(ROUNDS))).between(first, first + ROUNDS[turn - 1] - 1)
+        else:
+            own, part = members.withColumn("comp", F.col("c")), F.lit(True)
+        at = materialise(posts.filter(part).join(own, "grp").drop("grp"), "members-of-tokens")
         # per token: how many members each component has; only tokens with more than one component go on
-        sizes = at.groupBy("h", "comp").agg(F.count("*").alias("k"), F.max(F.struct("score", "c", "n")).alias("best"))
-        tokens = sizes.groupBy("h").agg(F.count("*").alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).filter("comps > 1")
-        tokens = tokens.select("h", "all", F.col("main.comp").alias("main"), F.col("main.k").alias("k"))
-        tokens = materialise(tokens, "open-tokens")
-        total = tokens.agg(F.coalesce(F.sum((F.col("all") - F.col("k")) * F.col("all")), F.lit(0)).alias("pairs"), F.coalesce(F.sum("all"), F.lit(0)).alias("posts")).first()
-        if not total["posts"]:
-            break
-        minor = at.join(tokens, "h").filter("comp <> main")
-        if star < STARS and (star == 0 or total["pairs"] > 4 * total["posts"]):
-            # a star: all members of a token against one of them; first the one that shares most, later ones from what is left
-            pick = F.max(F.struct("score", "c", "n", "comp")) if star % 2 == 0 else F.max(F.struct(F.xxhash64("c", F.lit(star)), "c", "n", "comp"))
-            hub = (at.join(tokens.select("h"), "h") if star == 0 else minor).groupBy("h").agg(pick.alias("p")).select("h", F.col("p.c").alias("hub"), F.col("p.n").alias("hub_n"), F.col("p.comp").alias("hub_comp"))
-            pairs = at.join(hub, "h").filter((F.col("comp") != F.col("hub_comp")) & fit(F.col("n"), F.col("hub_n"))).select("c", "hub")
+        sizes = at.groupBy("h", "comp").agg(F.count("*").alias("k"))
+        tokens = sizes.groupBy("h").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).filter("comps > 1").select("h", F.col("main.comp").alias("main"))
+        if turn:
+            right = at.select("h", *[F.col(c).alias(f"hub_{c}") for c in ("c", "n", "comp", *bits)])
+            left = at.join(tokens, "h").filter("comp <> main").drop("main")
         else:
-            other = at.select("h", F.col("c").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-            pairs = minor.join(other, "h").filter((F.col("comp") != F.col("hub_comp")) & fit(F.col("n"), F.col("hub_n"))).select("c", "hub")
-        pairs = pairs.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
-        pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        new = materialise(_verify(pairs, sets, percent), "new-links")
-        links, known = materialise(links.unionByName(new), "links"), materialise(known.unionByName(pairs), "known")
-        if star >= STARS or not (star == 0 or total["pairs"] > 4 * total["posts"]):
-            break
+            right = at.groupBy("h").agg(F.max(F.struct("score", "c", "n", "comp", *bits)).alias("p")).select("h", *hub_bits)
+            left = at
+        pairs = left.join(right, "h").filter((F.col("comp") != F.col("hub_comp")) & _near(percent))
+        pairs = pairs.select(F.least("c", "hub_c").alias("a"), F.greatest("c", "hub_c").alias("b")).distinct()
+        pairs = materialise(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+        new = materialise(_verify(pairs, sets.select("c", "tokens"), percent), "new-links")
+        links, known = (new, pairs) if known is None else (links.unionByName(new), known.unionByName(pairs))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     every = rows.select("_id", "n", "c").join(found, rows["c"] == found["node"], "left").withColumn("root", F.coalesce("root", "c"))
     every = materialise(every.select("_id", "n", "root"), "roots")
