@@ -36,6 +36,7 @@ def symbol(raw: Column, kind: Column, of: Column) -> Column:
 
 def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA_DENY, js_deny: tuple[str, ...] = JS_DENY) -> DataFrame:
     """Each reference (ord, source, raw, kind, file) with dialect, outcome (resolve, pass, drop), target and reasoning."""
+    refs = refs.select("ord", "source", "raw", "kind", "file")
     r = refs.withColumn("dialect", dialect(F.col("file")))
     r = r.withColumn("name", F.coalesce(symbol(F.col("raw"), F.col("kind"), F.col("dialect")), F.lit("")))
     denied = (F.col("kind") == "call") & (((F.col("dialect") == "java") & F.col("name").isin(*java_deny)) | ((F.col("dialect") == "javascript") & F.col("name").isin(*js_deny)))
@@ -48,6 +49,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
     receiver = F.regexp_extract("raw", r"([A-Za-z_]\w*)\.[A-Za-z_]\w*\s*(?:\(.*)?$", 1)
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r";\s*$", ""), r"^import\s+(?:static\s+)?", ""), r"\.", "/")
     many = many.withColumn("receiver", receiver).withColumn("path", path)
+    many = many.groupBy(*many.columns).agg(F.count("*").cast("int").alias("copies"))  # equal rows are narrowed once
     cand = many.join(index.select("name", F.col("id").alias("c")), "name")
     here = F.startswith("c", F.concat("dir", F.lit("/"))) | (X.file_of(F.col("c")) == F.col("file_"))
     above = F.contains("dir", F.lit("/")) & F.startswith("c", F.concat("parent", F.lit("/")))
@@ -55,7 +57,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
     named = F.endswith(F.regexp_replace(X.file_of(F.col("c")), r"\.java$", ""), F.col("path"))
     tests = {"same package": here, "parent package": above, "receiver class": owner, "import path": named}
     keys = [*refs.columns, "dialect"]
-    sums = cand.groupBy(*keys).agg(*[x for i, t in enumerate(tests.values()) for x in (F.count_if(t).alias(f"n{i}"), F.min(F.when(t, F.col("c"))).alias(f"c{i}"))])
+    sums = cand.groupBy(*keys, "copies").agg(*[x for i, t in enumerate(tests.values()) for x in (F.count_if(t).alias(f"n{i}"), F.min(F.when(t, F.col("c"))).alias(f"c{i}"))])
     plain = F.col("kind") != "call"
     java = F.col("dialect") == "java"
     steps = [(F.col("n0") == 1) & (plain | java), (F.col("n0") != 1) & (F.col("n1") == 1) & (plain | java), (F.col("n2") == 1) & java & ~plain, (F.col("n3") == 1) & java & (F.col("kind") == "import")]
@@ -65,6 +67,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
         reasoning = F.when(steps[i], F.when(F.col("dialect") == "generic", "unique match").otherwise(name)).otherwise(reasoning)
     sums = sums.withColumn("target", target).withColumn("reasoning", reasoning)
     outcome = F.when(F.col("target").isNotNull(), "resolve").when(java & (F.col("kind") == "import"), "drop").otherwise("pass")
+    sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return single.unionByName(sums.select(*keys, outcome.alias("outcome"), "target", "reasoning"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as X
 from gneiss.operators import answers, build, cluster, flags, merge, resolve, search, traverse
 from gneiss.plans import views
+from gneiss.session import materialise
 from gneiss.streaming import patches
 
 QUERY = "the pathetic loser and the trash"
@@ -31,7 +32,8 @@ def flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The built graph with its flags."""
     g = views.graph(spark, sf_dir)
     nodes, edges = build.build(g.nodes, g.edges)
-    return nodes.join(flags.flags(nodes, edges), "id"), edges
+    nodes, edges = materialise(nodes, "nodes"), materialise(edges, "edges")
+    return materialise(nodes.join(flags.flags(nodes, edges), "id"), "flagged"), edges
 
 
 TYPES = "('" + "','".join(X.EDGE_TYPES) + "')"
