@@ -21,7 +21,7 @@ from gneiss.llm.textbytes import Sums
 from gneiss.session import broadcast_if_small, materialise, small_batches
 
 #: Bytes under the rolling hash; one cut in this many bytes, on average; words a worker remembers.
-ROLL, CHUNK, MEMORY = 24, 1024, 300_000
+ROLL, CHUNK, MEMORY = 24, 1024, 700_000
 _coders: dict[str, "Coder"] = {}
 
 
@@ -44,20 +44,40 @@ class Coder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.codes: dict[bytes, tuple[bytes, bytes]] = {}
+        self.stems: dict[bytes, tuple[bytes, bytes]] = {}
 
     def learn(self, words: set[bytes]) -> None:
+        """Encode what is new among some words. The vocabulary has no capitals, and its splitter never joins a letter or digit
+        with a full stop or comma, so a word is known by its lower-case form and one of these may be taken off its end."""
         if len(self.codes) > MEMORY:
             self.codes.clear()
-        new = [w for w in words if w not in self.codes]
+            self.stems.clear()
+        stems = {}
+        for w in words:
+            if w not in self.codes:
+                stem = w if b"<" in w else w.lower()
+                end = stem[-1:] if stem[-1:] in (b".", b",") and stem[-2:-1].isalnum() else b""
+                stems[w] = (stem[:-1] if end else stem, end)
+        new = list({x for pair in stems.values() for x in pair if x and x not in self.stems})
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.codes[w] = np.array(e.ids, "<u4").tobytes(), b" ".join(self.names[i] for i in e.ids)
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.stems[w] = np.array(e.ids, "<u4").tobytes(), b" ".join([self.names[i] for i in e.ids])
+        for w, (stem, end) in stems.items():
+            ids, text = self.stems[stem]
+            self.codes[w] = (ids + self.stems[end][0], text + b" " + self.stems[end][1] if text else self.stems[end][1]) if end else (ids, text)
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """Packed ids and decoded text of some whole words that have been learned."""
         found = [self.codes[w] for w in text.split()]
-        return b"".join(x for x, _ in found), b" ".join(y for x, y in found if x)
+        return b"".join([x for x, _ in found]), b" ".join([y for x, y in found if x])
+
+    def pack(self, ids: bytes) -> bytes:
+        """Ids in two bytes each where the vocabulary allows it."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if len(self.names) <= 1 << 16 else ids
+
+    def unpack(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(self.names) <= 1 << 16 else ids
 
     def decode(self, ids: bytes) -> bytes:
         return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -109,7 +129,7 @@ def shared_chunks(whole: DataFrame, path: str) -> DataFrame:
         for b in batches:
             parts = [d[s:e] for d, ks in zip((t.encode() for t in b["_t"]), b["ks"]) for k, (s, e) in enumerate(chunks(d)) if k in set(ks)]
             own.learn({w for p in parts for w in p.split()})
-            yield pd.DataFrame([(chunk_name(p), own.encode(p)[0]) for p in parts], columns=["name", "ids"])
+            yield pd.DataFrame([(chunk_name(p), own.pack(own.encode(p)[0])) for p in parts], columns=["name", "ids"])
 
     codes = texts.select("_t", "ks").mapInPandas(encode, "name binary, ids binary").dropDuplicates(["name"])
     parts = placed.join(codes, "name").groupBy("_id", "_h").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
@@ -117,7 +137,7 @@ def shared_chunks(whole: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, build: Callable[[pd.DataFrame, list[tuple[bytes, bytes]]], pd.DataFrame], schema: str, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
-    """``build`` gets the rows (doc_id, _t and the kept columns) and for each the packed ids (little-endian unsigned 32 bits) and decoded text.
+    """``build`` gets the rows (_id and the kept columns) and for each the packed ids (little-endian unsigned 32 bits) and decoded text.
 
     A null text counts as empty; repeated rows each give a row; an empty table gives an empty result; other columns are not read.
     """
@@ -126,16 +146,31 @@ def encoded(docs: DataFrame, build: Callable[[pd.DataFrame, list[tuple[bytes, by
     t = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_h"), t.alias("_t"))
     parts = shared_chunks(whole, path).withColumnsRenamed({"_id": "i", "_h": "g"})
-    kept = [F.col(c).alias(f"kept_{c}") for c in keep]
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_h"), t.alias("_t"), *kept)
-    rows = rows.join(parts, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")), "left").select("_id", "_t", "parts", *[f"kept_{c}" for c in keep])
+    # the text travels compressed, and comes back as a kept column from there
+    kept = [c for c in keep if c != "text"]
+    fields = "".join(f", `kept_{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) if kept else ""
+
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield b.drop(columns="_t").assign(z=[None if t is None else z.compress(t.encode()) for t in b["_t"]])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_h"), *[F.col(c).alias(f"kept_{c}") for c in kept], F.col("text").alias("_t"))
+    rows = rows.mapInPandas(squeeze, f"_id long, _h long{fields}, z binary")
+    rows = rows.join(parts, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")), "left").select("_id", "z", "parts", *[f"kept_{c}" for c in kept])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path)
+        import zstandard
+
+        own, z = coder(path), zstandard.ZstdDecompressor()
         for b in batches:
+            texts = [None if x is None else z.decompress(x) for x in b["z"]]
+            b = b.assign(kept_text=[None if x is None else x.decode() for x in texts]) if "text" in keep else b
             pieces: list[list[bytes | tuple]] = []
-            for t, parts in zip(b["_t"], b["parts"]):
-                data, known = t.encode(), {} if parts is None else {p["k"]: p["ids"] for p in parts}
+            for data, parts in zip((x or b"" for x in texts), b["parts"]):
+                known = {} if parts is None else {p["k"]: own.unpack(p["ids"]) for p in parts}
                 at, out = 0, []
                 for k, (s, e) in enumerate(chunks(data)):
                     if k in known:  # the words before it, joined over the cut, then the chunk itself
