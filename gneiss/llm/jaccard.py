@@ -176,3 +176,16 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of its component; rows with a null id stay."""
     gone = near_duplicates(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS root, doc_id FROM d UNION SELECT r.root, e.b FROM r JOIN e ON r.doc_id = e.a)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) m USING (doc_id)
+"""

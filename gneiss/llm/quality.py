@@ -73,3 +73,21 @@ def clean(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_kept_share: f
     """The documents that ``judge`` keeps, with all their columns; repeated rows are judged alike."""
     kept = judge(docs, max_line_docs, min_kept_share).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) > 7)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY 1),
+li AS (SELECT r, source, t, regexp_replace(lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS k,
+  len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, source, t, unnest(ls) AS l FROM d)),
+com AS (SELECT coalesce(source, chr(0)) AS s, k FROM (SELECT DISTINCT source, k, t FROM li) GROUP BY 1, 2 HAVING count(*) > 50),
+gone AS (SELECT r, sum(n) AS n FROM li JOIN com ON coalesce(li.source, chr(0)) = com.s AND li.k = com.k GROUP BY 1),
+o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_line_words FROM d LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= CAST(0.3 AS DOUBLE) * n_words AS kept FROM o
+"""

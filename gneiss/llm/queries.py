@@ -56,4 +56,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_mixing, op4_quality_rules, op5_warc, op6_jaccard_join, op7_bpe, op8_exact_top_k, op9_toxicity, op10_secret_scans)
 }
-SQL: dict[str, str] = {"op5_warc": warc.SQL, "op8_exact_top_k": topk.SQL}
+SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op6_jaccard_join": jaccard.SQL, "op5_warc": warc.SQL, "op8_exact_top_k": topk.SQL}
