@@ -41,12 +41,12 @@ def _move(edges: DataFrame, rounds: int, resolution: float, seed: int) -> DataFr
     state = materialise(degree.withColumn("c", F.col("vertex")), "state")
     m2 = state.agg(F.sum("k")).first()[0] or 1.0
     for i in range(rounds):
-        total = state.groupBy("c").agg(F.sum("k").alias("K"))
+        total = state.groupBy("c").agg(F.sum("k").alias("held"))
         near = both.join(state.select(F.col("vertex").alias("v"), F.col("c")), "v").groupBy(F.col("u").alias("vertex"), "c").agg(F.sum("weight").alias("w"))
         own = state.select("vertex", "k", F.col("c").alias("now"))
         options = near.unionByName(state.select("vertex", "c", F.lit(0.0).alias("w"))).groupBy("vertex", "c").agg(F.sum("w").alias("w"))
         options = options.join(own, "vertex").join(total, "c")
-        rest = F.col("K") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
+        rest = F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - resolution * F.col("k") * rest / m2
         stay = F.max(F.when(F.col("c") == F.col("now"), gain))
         best = options.groupBy("vertex", "k", "now").agg(F.max(F.struct(F.round(gain, 9).alias("g"), F.col("c"))).alias("b"), stay.alias("stay"))
@@ -90,7 +90,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     p = projection(edges)
     m = p.agg(F.sum("weight").alias("m"))
     both = p.select(F.col("u").alias("id"), "weight").union(p.select(F.col("v").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
-    ks = both.join(labels, "id").groupBy("community").agg(F.sum("k").alias("K"))
+    ks = both.join(labels, "id").groupBy("community").agg(F.sum("k").alias("held"))
     inside = p.join(labels.select(F.col("id").alias("u"), F.col("community").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("community").alias("b")), "v").filter("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
     squares = ks.agg(F.sum(F.col("K") * F.col("K")).alias("s"))
     return inside.join(F.broadcast(squares)).join(F.broadcast(m)).select((F.col("w") / F.col("m") - resolution * F.col("s") / (4 * F.col("m") * F.col("m"))).alias("q"))

@@ -37,7 +37,7 @@ def deltas(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """added, removed: how many keys appear and vanish."""
     a, b = before.select(*keys).distinct().withColumn("old", F.lit(1)), after.select(*keys).distinct().withColumn("new", F.lit(1))
     both = a.join(b, keys, "full")
-    return both.agg(F.count_if("old is null").alias("added"), F.count_if("new is null").alias("removed"))
+    return both.agg(F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("removed"))
 
 
 def touched_files(nodes: DataFrame, changes: DataFrame) -> DataFrame:

@@ -172,5 +172,5 @@ def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def parse_stats(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """files_parsed, files_skipped, languages and errors, one row. Files without a parser are skipped, broken ones are errors."""
     all_files = files.agg(F.count("*").alias("all"))
-    ok = parsed.agg(F.count_if("error is null").alias("files_parsed"), F.count("*").alias("tried"), F.array_sort(F.collect_list("error")).alias("errors"))
+    ok = parsed.agg(F.count_if(F.col("error").isNull()).alias("files_parsed"), F.count("*").alias("tried"), F.array_sort(F.collect_list("error")).alias("errors"))
     return ok.join(F.broadcast(all_files)).select(F.col("files_parsed").cast("int"), (F.col("all") - F.col("tried")).cast("int").alias("files_skipped"), F.create_map(F.lit("python"), F.col("files_parsed").cast("int")).alias("languages"), "errors")
