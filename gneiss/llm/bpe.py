@@ -118,7 +118,8 @@ def shared_chunks(whole: DataFrame, path: str) -> DataFrame:
             rows = [(i, h, k, chunk_name(d[s:e])) for i, h, d in zip(b["_id"].astype(object).where(b["_id"].notna(), None), b["_h"], (t.encode() for t in b["_t"])) for k, (s, e) in enumerate(chunks(d))]
             yield pd.DataFrame(rows, columns=["_id", "_h", "k", "name"]).astype({"_id": "Int64"})
 
-    placed = materialise(whole.mapInPandas(names, "_id long, _h long, k int, name binary"), "chunk-places")
+    placed = whole.mapInPandas(names, "_id long, _h long, k int, name binary")
+    placed = materialise(placed.dropDuplicates(["_id", "_h", "k"]), "chunk-places")  # repeated rows share their chunks anyway
     first = placed.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "k")).alias("first")).filter("n > 1")
     owners = first.groupBy("first._id", "first._h").agg(F.collect_list("first.k").alias("ks"))
     owners = materialise(owners.withColumnsRenamed({"_id": "i", "_h": "g"}), "owners")

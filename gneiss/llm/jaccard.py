@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, text: s
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of its component; rows with a null id stay."""
     gone = near_duplicates(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    gone = materialise(gone, "further-copies")
+    return docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), docs["doc_id"] == gone["_id"], "left_anti")
 
 
 SQL = r"""

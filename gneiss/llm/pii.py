@@ -158,6 +158,8 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
     to = F.create_map(*[F.lit(x) for kv in PLACEHOLDER.items() for x in kv])
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), to[x["k"]].alias("to"))))
     spans = found.filter(F.size("base") + F.size("added") > 0).select("_id", "_h", spans.alias("_spans")).dropDuplicates(["_id", "_h"])
+    spans = materialise(spans, "spans")
+    spans = broadcast_if_small(spans, spans.count(), 100_000)
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replace_spans(F.col("text"), F.col("_spans")))
     names = docs.columns

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.session import materialise
+from gneiss.session import materialise, small_batches
 
 #: Bounds of the training samples and of the lexicon; the class prior is the share of toxic rows among the labels learned from.
 POSITIVES, UNLABELLED, LEXICON = 10_000, 40_000, 400
@@ -105,33 +105,31 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     return {"words": words, "weights": weights, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of each row of ``docs`` (doc_id and text among them), and score. Null and empty texts get the model's bias."""
-    keep = keep or ["doc_id"]
+def score(text: Column, model: dict) -> Column:
+    """The score of a text, 0 to 1; null and empty texts get the model's bias."""
     place, weights, prior = {w: i for i, w in enumerate(model["words"])}, model["weights"], model["prior"]
-    schema = docs.select(*keep).schema.add("score", "double")
+    if weights is None:
+        return F.lit(float(prior))
+    w = np.array(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = None if weights is None else np.array(weights)
-        for b in batches:
-            if w is None:
-                s = np.full(len(b), prior)
-            else:
-                rows = [[place[f] for f in features(t) & place.keys()] for t in b["_text"]]
-                s = 1 / (1 + np.exp(-(_matrix(rows, len(place)) @ w[:-1] + w[-1]))) if len(b) else np.zeros(0)
-            yield b.drop(columns="_text").assign(score=s)
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        z = [w[-1] + sum(w[place[f]] for f in features(t) & place.keys()) for t in texts]
+        return pd.Series(1 / (1 + np.exp(-np.array(z, np.float64))))
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, schema)
+    return run(F.coalesce(text, F.lit("")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``. Repeated rows each give a row; other columns are not read."""
-    model = train(docs, labels, **settings)
-    out = score(docs, model).withColumn("held_out", held_out())
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    small_batches(docs.sparkSession)
+    model = train(docs.select("doc_id", "text"), labels, **settings)
+    out = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    bad = classify(docs, labels, **settings).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    small_batches(docs.sparkSession)
+    model = train(docs.select("doc_id", "text"), labels, **settings)
+    return docs.filter(score(F.col("text"), model) < 0.5)
