@@ -92,5 +92,5 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     both = p.select(F.col("u").alias("id"), "weight").union(p.select(F.col("v").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
     ks = both.join(labels, "id").groupBy("community").agg(F.sum("k").alias("held"))
     inside = p.join(labels.select(F.col("id").alias("u"), F.col("community").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("community").alias("b")), "v").filter("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
-    squares = ks.agg(F.sum(F.col("K") * F.col("K")).alias("s"))
+    squares = ks.agg(F.sum(F.col("held") * F.col("held")).alias("s"))
     return inside.join(F.broadcast(squares)).join(F.broadcast(m)).select((F.col("w") / F.col("m") - resolution * F.col("s") / (4 * F.col("m") * F.col("m"))).alias("q"))
