@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators import answers, build, cluster, flags, merge, resolve, search, traverse
+from gneiss.operators import answers, build, cluster, flags, merge, render, resolve, search, traverse
 from gneiss.plans import views
 from gneiss.session import materialise
 from gneiss.streaming import patches
@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = "WITH " + views.SQL + "\n" + sql if "g_" in sql else sql
+            SQL[f.__name__] = "WITH " + views.SQL + "\n" + sql if "g_" in sql and not sql.startswith("WITH ") else sql
         return f
 
     return add
@@ -257,3 +257,44 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond graphs: hourly counts, the batch form of the streaming query."""
     out = patches.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return out.withColumn("total", F.col("total"))
+
+
+@query(BUILT + f""", r AS (SELECT source, target, type, row_number() OVER (PARTITION BY source ORDER BY {_PRIORITY}, ord, target, weight) AS p FROM ve),
+k AS (SELECT * FROM r WHERE p <= 8 AND type = 'CALLS')
+SELECT a.source AS id, CAST(a.p AS INT) AS p1, a.target AS callee, CAST(b.p AS INT) AS p2, b.target AS next FROM k a LEFT JOIN k b ON a.target = b.source""")
+def call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of every node and what these call."""
+    g = views.graph(spark, sf_dir)
+    return traverse.call_chains(build.valid_edges(g.edges), g.nodes.select("id"))
+
+
+@query(BUILT + """, o AS (SELECT *, string_split(file, '/') AS f FROM fn WHERE community IS NOT NULL AND type <> 'external'),
+c AS (SELECT community, count(*) AS n, min(f) AS a, max(f) AS b, max(CASE WHEN is_god THEN {'d': degree, 'o': -ord, 'name': name} END).name AS hub FROM o GROUP BY 1)
+SELECT community, n, array_to_string(CASE WHEN a[1:2] = b[1:2] THEN a[1:2] WHEN a[1:1] = b[1:1] THEN a[1:1] ELSE [] END, '/') AS prefix, hub FROM c""")
+def cluster_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags.purposes(*flagged(spark, sf_dir))
+
+
+@query("SELECT role, count(*) AS n, sum(length(text)) AS chars, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def conversation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+
+
+@query("""SELECT conv_id, string_agg('**' || role || '**' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY 1""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) > 20")
+def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier tokens of more than twenty documents."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(X.identifier_tokens(F.col("text"))).alias("token"))
+    each = d.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+    return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).filter("df > 20")
+
+
+@query()
+def graph_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a graph's summary text."""
+    return render.anchor_lines(*flagged(spark, sf_dir))
