@@ -164,7 +164,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, grou
                 data, at = np.frombuffer(text, np.uint8), np.arange(before - last + 1)
                 yield pd.DataFrame({"h": h, "s": s, "at": at, "w1": Sums(data).ranges(at, at + length).view(np.int64), "w2": Sums(data, BASE2).ranges(at, at + length).view(np.int64)})
 
-    few = small.filter(F.col("kinds") <= group).repartition("h").sortWithinPartitions("h")
+    # a given number of parts: the rounds cost more than their bytes suggest, so these must not be coalesced by size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = small.filter(F.col("kinds") <= group).repartition(parts, "h").sortWithinPartitions("h")
     found = few.select("h", "s", "before", "last", "bytes").mapInPandas(columns, "h long, s long, a long, b long")
     many = small.filter(F.col("kinds") > group).repartition("h", "s").select("h", "s", "before", "last", "bytes")
     many = many.mapInPandas(windows, "h long, s long, at long, w1 long, w2 long")
