@@ -46,7 +46,7 @@ def test_quality(docs, rows, empty):
 
 
 def test_quality_lines(spark):
-    rows = [(i, f"Buy now at our shop today\nown words {i} " + " ".join(f"w{i}x{j}" for j in range(n)), "h") for i, n in [(k, 2 if k < 3 else 30) for k in range(12)]]
+    rows = [(i, f"Buy now at our shop today\nown words {chr(97 + i)} " + " ".join(chr(97 + i) * (j + 1) for j in range(n)), "h") for i, n in [(k, 2 if k < 3 else 30) for k in range(12)]]
     docs = spark.createDataFrame(rows + [(99, rows[3][1].replace("own", "own2"), "other")], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["n_line_words"], r["kept"]) for r in quality.judge(docs, max_line_docs=5, min_kept_share=0.9).collect()}
     assert all(got[i] == (6, False) for i in range(3)) and got[99] == (0, True)
