@@ -51,11 +51,12 @@ def _move(edges: DataFrame, rounds: int, resolution: float, seed: int) -> DataFr
         stay = F.max(F.when(F.col("c") == F.col("now"), gain))
         best = options.groupBy("vertex", "k", "now").agg(F.max(F.struct(F.round(gain, 9).alias("g"), F.col("c"))).alias("b"), stay.alias("stay"))
         turn = F.pmod(F.xxhash64("vertex", F.lit(seed), F.lit(i)), F.lit(2)) == 0
-        go = turn & (F.col("b.g") > F.col("stay") + 1e-9)
-        state = materialise(best.select("vertex", "k", F.when(go, F.col("b.c")).otherwise(F.col("now")).alias("c"), go.cast("int").alias("moved")), "state")
-        if not state.agg(F.sum("moved")).first()[0] and i:
+        wants = F.col("b.g") > F.col("stay") + 1e-9
+        go = turn & wants
+        state = materialise(best.select("vertex", "k", F.when(go, F.col("b.c")).otherwise(F.col("now")).alias("c"), wants.cast("int").alias("wants")), "state")
+        if not state.agg(F.sum("wants")).first()[0]:
             break
-        state = state.drop("moved")
+        state = state.drop("wants")
     return state.select("vertex", F.col("c").alias("community"))
 
 

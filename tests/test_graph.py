@@ -144,7 +144,7 @@ def test_communities(spark):
     nodes = spark.createDataFrame(list(enumerate(ids)), "ord long, id string")
     pairs = [(a, b) for g in (range(6), range(6, 12)) for a in g for b in g if a < b] + [(0, 6)]
     edges = spark.createDataFrame([(i, ids[a], ids[b], "CALLS", 1.0) for i, (a, b) in enumerate(pairs)], "ord long, source string, target string, type string, weight double")
-    got = cluster.communities(nodes, edges, rounds=4, levels=2)
+    got = cluster.communities(nodes, edges)
     of = {r["id"]: r["community"] for r in got.collect()}
     assert len(of) == 13 and len({of[i] for i in ids[:6]}) == 1 and len({of[i] for i in ids[6:12]}) == 1 and len(set(of.values())) == 3
     m = len(pairs)
