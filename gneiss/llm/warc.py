@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.session import delete_at_end, scratch_path
+from gneiss.session import delete_at_end, materialise, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_SHARED, SPLIT_BYTES, FILE_BYTES, READ_BYTES = 100, 8 << 20, 256 << 20, 1 << 18
@@ -147,7 +147,9 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, paylo
     """The records of all archives in a folder, with payload_bytes and payload_digest of what was stored (a revisit's digest is its header's)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "length")
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a given number of parts: a range's row is tiny, but its bytes are not, so rows must not be coalesced by size
+    parts = min(max(1, ranges.count()), 100_000)
+    ranges = ranges.repartition(parts, "path", "start")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,7 +182,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "warc")
     write(pages, folder)
     delete_at_end(spark, folder)
-    rows = read(spark, folder, payload=False).drop("payload")
+    rows = materialise(read(spark, folder, payload=False).drop("payload"), "records")
     stored = rows.filter("record_type = 'response'").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n")).dropDuplicates(["_id", "_d"])
     back = rows.join(stored, (rows["refers_to"] == stored["_id"]) & (rows["payload_digest"] == stored["_d"]), "left")
     return back.select("page_id", F.when(F.col("record_type") == "revisit", F.col("_n")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
