@@ -1,8 +1,8 @@
 """Community detection by distributed local moving on modularity, with refinement into connected communities.
 
 A round is a few joins and aggregates over the edge table: each vertex weighs the communities of its neighbours and takes the best
-if it gains. Only one half of the vertices, chosen by a hash of the round, moves at a time, so that two neighbours don't swap
-for ever. Communities are then split into their connected parts, contracted to vertices, and moved again.
+if it gains. Only a share of the vertices, chosen by a hash of the round, moves at a time, so that two neighbours don't swap
+for ever. Communities are then split into their connected parts, contracted to vertices, and moved again, until none merge.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from gneiss.operators.flags import projection
 from gneiss.session import materialise
 
-ROUNDS, LEVELS = 8, 3
-
-
 def _labels(edges: DataFrame) -> DataFrame:
     """vertex, label: the least vertex of each connected part, by spreading minima and jumping along them."""
     both = materialise(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "both-ways")
@@ -32,44 +29,91 @@ def _labels(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _move(edges: DataFrame, rounds: int, resolution: float, seed: int) -> DataFrame:
-    """vertex, community of a weighted graph (u, v, weight; u = v for inner weight)."""
+def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float) -> DataFrame:
+    """vertex, k, now, c, more, wants, q of a state (vertex, k, c): the best community, what it gains, and the vertex's share of modularity."""
+    total = state.groupBy("c").agg(F.sum("k").alias("held"))
+    near = both.join(state.select(F.col("vertex").alias("v"), F.col("c")), "v").groupBy(F.col("u").alias("vertex"), "c").agg(F.sum("weight").alias("w"))
+    own = state.select("vertex", "k", F.col("c").alias("now"))
+    options = near.unionByName(state.select("vertex", "c", F.lit(0.0).alias("w"))).groupBy("vertex", "c").agg(F.sum("w").alias("w"))
+    options = options.join(own, "vertex").join(total, "c")
+    here = F.col("c") == F.col("now")
+    rest = F.col("held") - F.when(here, F.col("k")).otherwise(0.0)
+    gain = F.col("w") - resolution * F.col("k") * rest / m2
+    q = F.max(F.when(here, F.col("w") / m2 - resolution * F.col("k") * F.col("held") / (m2 * m2)))
+    best = options.groupBy("vertex", "k", "now").agg(F.max(F.struct(F.round(gain, 9).alias("g"), F.col("c"))).alias("b"), F.max(F.when(here, gain)).alias("stay"), q.alias("q"))
+    more = F.col("b.g") - F.col("stay")
+    return materialise(best.select("vertex", "k", "now", F.col("b.c").alias("c"), more.alias("more"), (more > 1e-9 * F.greatest(F.lit(1.0), "k")).alias("wants"), "q"), "state")
+
+
+def _apart(at: DataFrame) -> DataFrame:
+    """vertex of moves of which no two touch one community, the best of each: their gains add up exactly."""
+    moves = at.filter("wants").select("vertex", "now", "c", F.struct("more", "vertex").alias("p"))
+    top = moves.select(F.col("now").alias("x"), "p").union(moves.select(F.col("c").alias("x"), "p")).groupBy("x").agg(F.max("p").alias("top"))
+    for end in ("now", "c"):
+        moves = moves.join(top.withColumnRenamed("x", end), end).filter("p = top").drop("top")
+    return moves.select("vertex")
+
+
+def _move(edges: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """vertex, community of a weighted graph (u, v, weight; u = v for inner weight), from which no vertex wants to move.
+
+    A share of the vertices moves at once. Where that does not raise modularity it is undone and a smaller share tried; below one
+    vertex, the moves that don't touch each other's communities are made. So modularity grows with every state and the rounds end.
+    """
     both = edges.filter("u <> v").select("u", "v", "weight").union(edges.filter("u <> v").select("v", "u", "weight"))
     both = materialise(both, "both-ways")
     degree = both.groupBy(F.col("u").alias("vertex")).agg(F.sum("weight").alias("k")).join(edges.filter("u = v").groupBy(F.col("u").alias("vertex")).agg(F.sum(2 * F.col("weight")).alias("own")), "vertex", "full")
     degree = degree.select("vertex", (F.coalesce("k", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))).alias("k"))
     state = materialise(degree.withColumn("c", F.col("vertex")), "state")
     m2 = state.agg(F.sum("k")).first()[0] or 1.0
-    for i in range(rounds):
-        total = state.groupBy("c").agg(F.sum("k").alias("held"))
-        near = both.join(state.select(F.col("vertex").alias("v"), F.col("c")), "v").groupBy(F.col("u").alias("vertex"), "c").agg(F.sum("weight").alias("w"))
-        own = state.select("vertex", "k", F.col("c").alias("now"))
-        options = near.unionByName(state.select("vertex", "c", F.lit(0.0).alias("w"))).groupBy("vertex", "c").agg(F.sum("w").alias("w"))
-        options = options.join(own, "vertex").join(total, "c")
-        rest = F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - resolution * F.col("k") * rest / m2
-        stay = F.max(F.when(F.col("c") == F.col("now"), gain))
-        best = options.groupBy("vertex", "k", "now").agg(F.max(F.struct(F.round(gain, 9).alias("g"), F.col("c"))).alias("b"), stay.alias("stay"))
-        turn = F.pmod(F.xxhash64("vertex", F.lit(seed), F.lit(i)), F.lit(2)) == 0
-        wants = F.col("b.g") > F.col("stay") + 1e-9
-        go = turn & wants
-        state = materialise(best.select("vertex", "k", F.when(go, F.col("b.c")).otherwise(F.col("now")).alias("c"), wants.cast("int").alias("wants")), "state")
-        if not state.agg(F.sum("wants")).first()[0]:
-            break
-        state = state.drop("wants")
-    return state.select("vertex", F.col("c").alias("community"))
 
+    def weighed(state: DataFrame) -> tuple[DataFrame, int, float]:
+        found = _weigh(both, state, m2, resolution)
+        return found, *found.agg(F.count_if("wants"), F.coalesce(F.sum("q"), F.lit(0.0))).first()
+
+    at, wants, q = weighed(state)
+    parts, turn = 2, 0
+    while wants:
+        bold = parts <= wants
+        if bold:
+            go = at.withColumn("go", F.col("wants") & (F.pmod(F.xxhash64("vertex", F.lit(seed), F.lit(turn)), F.lit(parts)) == 0))
+        else:
+            go = at.join(_apart(at).withColumn("go", F.lit(True)), "vertex", "left")
+        new = weighed(go.select("vertex", "k", F.when(F.col("go"), F.col("c")).otherwise(F.col("now")).alias("c")))
+        if bold and new[2] <= q + 1e-12:
+            parts *= 4
+        else:
+            (at, wants, q), parts = new, max(2, parts // 2)
+        turn += 1
+    return at.select("vertex", F.col("now").alias("community"))
+
+
+def _sliced(sizes: DataFrame) -> DataFrame:
+    """Communities (at, n, first) in range-partitioned slices: those of lower slices have lower numbers."""
+    order = (F.desc("n"), F.asc("first"), F.asc("at"))
+    slices = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(sizes.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()), "slices")
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = ROUNDS, levels: int = LEVELS, seed: int = 1) -> DataFrame:
+
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """at, community: numbered by size, then by the first member's place."""
+    sliced = _sliced(sizes)
+    before = F.coalesce(F.sum("rows").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a slice
+    offsets = sliced.groupBy("slice").agg(F.count("*").alias("rows")).select("slice", before.alias("before"))
+    place = F.row_number().over(W.partitionBy("slice").orderBy(F.desc("n"), "first", "at")) - 1
+    return sliced.withColumn("place", place).join(F.broadcast(offsets), "slice").select("at", (F.col("before") + F.col("place")).cast("int").alias("community"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
     """id, community: numbered by size, then by the first member's place. Nodes without an edge are communities of their own.
 
     Every community with more than one node is connected in the undirected projection.
     """
     base = materialise(projection(edges).join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi").join(nodes.select(F.col("id").alias("v")).distinct(), "v", "left_semi"), "projection")
     place = nodes.select(F.col("id").alias("vertex")).distinct().withColumn("at", F.col("vertex"))
-    graph = base
-    for level in range(levels):
-        moved = _move(graph, rounds, resolution, seed + level)
+    graph, level = base, 0
+    while True:
+        moved = _move(graph, resolution, seed + level)
         ends = graph.join(moved.select(F.col("vertex").alias("u"), F.col("community").alias("cu")), "u").join(moved.select(F.col("vertex").alias("v"), F.col("community").alias("cv")), "v")
         inner = ends.filter("cu = cv and u <> v").select("u", "v")
         part = _labels(inner)  # refinement: only what hangs together is contracted
@@ -80,10 +124,9 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rou
         graph = graph.join(part.select(F.col("vertex").alias("u"), F.col("label").alias("lu")), "u", "left").join(part.select(F.col("vertex").alias("v"), F.col("label").alias("lv")), "v", "left")
         a, b = F.coalesce("lu", "u"), F.coalesce("lv", "v")
         graph = materialise(graph.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), "weight").groupBy("u", "v").agg(F.sum("weight").alias("weight")), "contracted")
+        level += 1
     sizes = place.join(nodes.groupBy(F.col("id").alias("vertex")).agg(F.min("ord").alias("ord")), "vertex").groupBy("at").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    # numbers by rank need a total order; it is over communities, and over those of one size alone where there are many
-    number = F.row_number().over(W.orderBy(F.desc("n"), "first")) - 1
-    return place.join(sizes.withColumn("community", number), "at").select(F.col("vertex").alias("id"), "community")
+    return place.join(_numbered(sizes), "at").select(F.col("vertex").alias("id"), "community")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
