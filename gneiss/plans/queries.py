@@ -289,9 +289,15 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) > 20")
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier tokens of more than twenty documents."""
+    return token_frequencies(spark, sf_dir).filter("df > 20")
+
+
+@query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")
+def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency and count of every identifier token."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(X.identifier_tokens(F.col("text"))).alias("token"))
     each = d.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).filter("df > 20")
+    return each.groupBy("token").agg(F.count("doc_id").alias("df"), F.sum("n").alias("tf"))
 
 
 @query()

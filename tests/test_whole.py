@@ -1,6 +1,11 @@
 """Operators that do the whole job: no cap on rounds, no threshold, no rows left out."""
 
+import re
+from collections import Counter
+
+from gneiss.functions import text as X
 from gneiss.operators import cluster
+from gneiss.plans import queries as Q
 
 ORDER = "ord long, id string"
 EDGES = "ord long, source string, target string, type string, weight double"
@@ -29,3 +34,15 @@ def test_communities_are_numbered_in_slices(spark):
     assert [(-r["n"], r["first"]) for r in got] == sorted((-r["n"], r["first"]) for r in got)
     rows = [r["count"] for r in cluster._sliced(sizes).groupBy("slice").count().collect()]
     assert len(rows) > 1 and max(rows) < 5000
+
+
+def test_every_token_has_its_frequencies(spark):
+    sf = "/root/testdata/sf0.001"
+    df, tf = Counter(), Counter()
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = re.findall(X.WORD, d["text"] or "")
+        found = [t for w in words for t in [w.lower(), *(p.lower() for p in X._HUMP.split(w) if p.lower() != w.lower())]]
+        tf.update(found)
+        df.update(set(found))
+    got = {r["token"]: (r["df"], r["tf"]) for r in Q.QUERIES["token_frequencies"](spark, sf).collect()}
+    assert got == {t: (df[t], tf[t]) for t in tf} and min(df.values()) <= 20
