@@ -68,7 +68,9 @@ def decoded_content(content: Column, encoding: Column) -> Column:
 _NODE = "struct<id:string,type:string,name:string,line_start:int,line_end:int,params:array<string>,docstring:string,return_type:string>"
 _EDGE = "struct<source:string,target:string,type:string>"
 _REF = "struct<source:string,raw:string,kind:string,line:int>"
-PARSED = f"path string, error string, nodes array<{_NODE}>, edges array<{_EDGE}>, refs array<{_REF}>"
+#: A name of an import statement: the path its module would have, what it is bound to, and the place of the statement's ref.
+_IMPORT = "struct<module:string,top:string,name:string,bound:string,ref_at:int>"
+PARSED = f"path string, error string, nodes array<{_NODE}>, edges array<{_EDGE}>, refs array<{_REF}>, imports array<{_IMPORT}>"
 _BUILTIN = frozenset(dir(builtins)) | {m for t in (str, list, dict, set, bytes, int, float, tuple) for m in dir(t)}
 
 
@@ -80,13 +82,17 @@ class _Walk(ast.NodeVisitor):
         self.nodes: list[tuple] = []
         self.edges: list[tuple] = []
         self.refs: list[tuple] = []
+        self.imports: list[tuple] = []
         tree = ast.parse(text)
         self.local = {d.name: f"{path}::{d.name}" for d in tree.body if isinstance(d, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))}
         self._node(path, "module", path.rsplit("/", 1)[-1].rsplit(".", 1)[0], 1, text.count("\n") + 1, [], ast.get_docstring(tree), None)
         for d in tree.body:
             if isinstance(d, (ast.Import, ast.ImportFrom)):
+                self._import(d)
                 self.refs.append((path, ast.unparse(d), "import", d.lineno))
-            elif isinstance(d, ast.ClassDef):
+        self.bound = {i[3] for i in self.imports}
+        for d in tree.body:
+            if isinstance(d, ast.ClassDef):
                 self._class(d)
             elif isinstance(d, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 self._function(d, path, None, {})
@@ -94,10 +100,27 @@ class _Walk(ast.NodeVisitor):
     def _node(self, *row) -> None:
         self.nodes.append(row)
 
+    def _import(self, d: ast.Import | ast.ImportFrom) -> None:
+        at = len(self.refs)
+        if isinstance(d, ast.Import):  # binds no name that is called or extended bare
+            self.imports += [(a.name.replace(".", "/"), a.name.split(".")[0], None, None, at) for a in d.names]
+            return
+        parts = d.module.split(".") if d.module else []
+        up = self.path.split("/")[:-1] if d.level else []
+        base = up[: max(len(up) - d.level + 1, 0)] + parts
+        for a in d.names:
+            bound = None if a.name == "*" else a.asname or a.name
+            if parts:
+                self.imports.append(("/".join(base), None if d.level else parts[0], None if bound is None else a.name, bound, at))
+            else:  # from . import a: the name is a module itself
+                self.imports.append(("/".join([*base, a.name]), None, None, bound, at))
+
     def _named(self, owner: str, expr: ast.expr, kind: str, edge: str, known: bool = False) -> None:
         raw = ast.unparse(expr)
         if isinstance(expr, ast.Name) and expr.id in self.local:
             self.edges.append((owner, self.local[expr.id], edge))
+        elif isinstance(expr, ast.Name) and expr.id in self.bound:
+            self.refs.append((owner, raw, kind, expr.lineno))
         elif not known and not (isinstance(expr, ast.Name) and expr.id in _BUILTIN):
             self.refs.append((owner, raw, kind, expr.lineno))
 
@@ -151,10 +174,10 @@ def parse_python(files: DataFrame) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 try:
                     w = _Walk(path, bytes(content).decode("utf-8"))
-                    rows.append((path, None, w.nodes, w.edges, w.refs))
+                    rows.append((path, None, w.nodes, w.edges, w.refs, w.imports))
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, f"{path}: {type(e).__name__}", [], [], []))
-            yield pd.DataFrame(rows, columns=["path", "error", "nodes", "edges", "refs"])
+                    rows.append((path, f"{path}: {type(e).__name__}", [], [], [], []))
+            yield pd.DataFrame(rows, columns=["path", "error", "nodes", "edges", "refs", "imports"])
 
     return files.filter("language = 'python'").select("path", "content").mapInPandas(run, PARSED)
 
@@ -169,6 +192,36 @@ def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows("nodes").withColumn("language", F.lit("python")), rows("edges").drop("file"), rows("refs")
 
 
+def link(parsed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges and refs of parsed files with their imports looked up among the files (path).
+
+    An import of a file is an IMPORTS edge, one of a package that has no file here is dropped, and others stay refs. A bare call,
+    base or decorator whose name is bound by an import is an edge to what it is bound to.
+    """
+    _, edges, refs = tables(parsed)
+    base = F.pmod(F.xxhash64("path"), F.lit(2**42)) * F.lit(2**20)
+    python = files.filter(F.endswith("path", F.lit(".py"))).select("path", F.regexp_replace("path", r"\.py$", "").alias("stem"))
+    packages = python.filter(F.endswith("stem", F.lit("/__init__"))).select(F.regexp_replace("stem", "/__init__$", "").alias("module"), F.struct(F.lit(1).alias("p"), "path").alias("f"))
+    modules = python.select(F.col("stem").alias("module"), F.struct(F.lit(0).alias("p"), "path").alias("f")).unionByName(packages).groupBy("module").agg(F.min("f").getField("path").alias("found"))
+    first = F.split_part("path", F.lit("/"), F.lit(1))
+    tops = files.select(F.when(F.contains("path", F.lit("/")), first).otherwise(F.regexp_replace("path", r"\.py$", "")).alias("top")).distinct().withColumn("ours", F.lit(True))
+    i = parsed.select("path", F.posexplode("imports").alias("at", "x")).select("path", base.alias("base"), "at", "x.*")
+    i = i.join(modules, "module", "left").join(tops, "top", "left")
+    i = i.withColumn("done", F.col("found").isNotNull() | (F.col("top").isNotNull() & F.col("ours").isNull()))
+    done = i.filter("done").select((F.col("base") + F.col("ref_at")).alias("ord"), F.col("path").alias("file")).distinct()
+    found = i.filter("found is not null")
+    imports = found.groupBy("path", "base", "ref_at", "found").agg(F.min("at").alias("at"))
+    imports = imports.select((F.col("base") + 2**18 + F.col("at")).alias("ord"), F.col("path").alias("source"), F.col("found").alias("target"), F.lit("IMPORTS").alias("type"))
+
+    to = F.when(F.col("name").isNull(), F.col("found")).otherwise(F.concat("found", F.lit("::"), "name"))
+    bound = found.filter("bound is not null").groupBy(F.col("path").alias("file"), F.col("bound").alias("raw")).agg(F.max(F.struct("at", to.alias("to"))).getField("to").alias("to"))
+    left = refs.join(done.withColumn("kind", F.lit("import")), ["ord", "file", "kind"], "left_anti").join(bound, ["file", "raw"], "left")
+    named = F.col("kind").isin("call", "inherits", "decorator") & F.col("to").isNotNull()
+    uses = left.filter(named).select((F.col("ord") + 2**19).alias("ord"), "source", F.col("to").alias("target"), X.edge_of_kind(F.col("kind")).alias("type"))
+    foreign = (F.col("kind") == "decorator") | (F.col("kind").isin("call", "inherits") & F.col("raw").isin(*sorted(_BUILTIN)))  # bound, but to nothing of ours
+    return edges.unionByName(imports).unionByName(uses), left.filter(~named & ~foreign).select(*refs.columns)
+
+
 def parse_stats(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """files_parsed, files_skipped, languages and errors, one row. Files without a parser are skipped, broken ones are errors."""
     all_files = files.agg(F.count("*").alias("all"))

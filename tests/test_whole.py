@@ -6,6 +6,7 @@ from collections import Counter
 from gneiss.functions import text as X
 from gneiss.operators import cluster
 from gneiss.plans import queries as Q
+from gneiss.sources import files
 
 ORDER = "ord long, id string"
 EDGES = "ord long, source string, target string, type string, weight double"
@@ -46,3 +47,29 @@ def test_every_token_has_its_frequencies(spark):
         df.update(set(found))
     got = {r["token"]: (r["df"], r["tf"]) for r in Q.QUERIES["token_frequencies"](spark, sf).collect()}
     assert got == {t: (df[t], tf[t]) for t in tf} and min(df.values()) <= 20
+
+
+def test_imports_are_linked(spark):
+    code = {
+        "app/__init__.py": "",
+        "app/models.py": "class User: pass\nclass Order: pass\ndef open(): pass\n",
+        "app/util/__init__.py": "def go(): pass\n",
+        "app/util/deep.py": "from ..models import User as U\nfrom . import other, gone\nfrom .nothing import a\nclass D(U):\n    def f(self): other(); a()\n",
+        "app/util/other.py": "from app.models import *\n",
+        "main.py": "import os, numpy\nimport app.models\nfrom app.models import User, Order, open\nfrom app.util import go\nfrom third import far, print\nfrom app.missing import x\nclass M(User, far): pass\n@go\n@far\ndef run():\n    Order(); go(); open(); far(); len(1); print(1)\n",
+    }
+    table = spark.createDataFrame([(p, "python", bytearray(c.encode())) for p, c in code.items()], "path string, language string, content binary")
+    e, r = files.link(files.parse_python(table), table)
+    edges = Counter((x["source"], x["target"], x["type"]) for x in e.filter("type <> 'CONTAINS'").collect())
+    assert edges == Counter([
+        ("app/util/deep.py", "app/models.py", "IMPORTS"), ("app/util/deep.py", "app/util/other.py", "IMPORTS"), ("app/util/other.py", "app/models.py", "IMPORTS"),
+        ("main.py", "app/models.py", "IMPORTS"), ("main.py", "app/models.py", "IMPORTS"), ("main.py", "app/util/__init__.py", "IMPORTS"),
+        ("app/util/deep.py::D", "app/models.py::User", "INHERITS"), ("app/util/deep.py::D.f", "app/util/other.py", "CALLS"), ("main.py::M", "app/models.py::User", "INHERITS"),
+        ("main.py::run", "app/models.py::Order", "CALLS"), ("main.py::run", "app/util/__init__.py::go", "CALLS"), ("main.py::run", "app/models.py::open", "CALLS"),
+        ("main.py::run", "app/util/__init__.py::go", "DECORATES"),
+    ])
+    assert sorted((x["file"], x["raw"], x["kind"]) for x in r.collect()) == [
+        ("app/util/deep.py", "a", "call"), ("app/util/deep.py", "from .nothing import a", "import"),
+        ("main.py", "far", "call"), ("main.py", "far", "inherits"), ("main.py", "from app.missing import x", "import"),
+    ]
+    assert e.select("ord").distinct().count() == e.count()
