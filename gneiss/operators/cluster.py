@@ -29,8 +29,11 @@ def _labels(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float) -> DataFrame:
-    """vertex, k, now, c, more, wants, q of a state (vertex, k, c): the best community, what it gains, and the vertex's share of modularity."""
+def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
+    """vertex, k, now, c, more, wants, q of a state (vertex, k, c): the best community, what it gains, and the vertex's share of modularity.
+
+    A vertex that loses in every community is better off alone, in a new one; so no community without inner edges is left.
+    """
     total = state.groupBy("c").agg(F.sum("k").alias("held"))
     near = both.join(state.select(F.col("vertex").alias("v"), F.col("c")), "v").groupBy(F.col("u").alias("vertex"), "c").agg(F.sum("weight").alias("w"))
     own = state.select("vertex", "k", F.col("c").alias("now"))
@@ -41,8 +44,9 @@ def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float) -> D
     gain = F.col("w") - resolution * F.col("k") * rest / m2
     q = F.max(F.when(here, F.col("w") / m2 - resolution * F.col("k") * F.col("held") / (m2 * m2)))
     best = options.groupBy("vertex", "k", "now").agg(F.max(F.struct(F.round(gain, 9).alias("g"), F.col("c"))).alias("b"), F.max(F.when(here, gain)).alias("stay"), q.alias("q"))
-    more = F.col("b.g") - F.col("stay")
-    return materialise(best.select("vertex", "k", "now", F.col("b.c").alias("c"), more.alias("more"), (more > 1e-9 * F.greatest(F.lit(1.0), "k")).alias("wants"), "q"), "state")
+    more = F.greatest("b.g", F.lit(0.0)) - F.col("stay")
+    c = F.when(F.col("b.g") < 0, F.concat("vertex", F.lit(f"\0{turn}"))).otherwise(F.col("b.c"))
+    return materialise(best.select("vertex", "k", "now", c.alias("c"), more.alias("more"), (more > 1e-9 * F.greatest(F.lit(1.0), "k")).alias("wants"), "q"), "state")
 
 
 def _apart(at: DataFrame) -> DataFrame:
@@ -67,11 +71,11 @@ def _move(edges: DataFrame, resolution: float, seed: int) -> DataFrame:
     state = materialise(degree.withColumn("c", F.col("vertex")), "state")
     m2 = state.agg(F.sum("k")).first()[0] or 1.0
 
-    def weighed(state: DataFrame) -> tuple[DataFrame, int, float]:
-        found = _weigh(both, state, m2, resolution)
+    def weighed(state: DataFrame, turn: int) -> tuple[DataFrame, int, float]:
+        found = _weigh(both, state, m2, resolution, turn)
         return found, *found.agg(F.count_if("wants"), F.coalesce(F.sum("q"), F.lit(0.0))).first()
 
-    at, wants, q = weighed(state)
+    at, wants, q = weighed(state, 0)
     parts, turn = 2, 0
     while wants:
         bold = parts <= wants
@@ -79,7 +83,7 @@ def _move(edges: DataFrame, resolution: float, seed: int) -> DataFrame:
             go = at.withColumn("go", F.col("wants") & (F.pmod(F.xxhash64("vertex", F.lit(seed), F.lit(turn)), F.lit(parts)) == 0))
         else:
             go = at.join(_apart(at).withColumn("go", F.lit(True)), "vertex", "left")
-        new = weighed(go.select("vertex", "k", F.when(F.col("go"), F.col("c")).otherwise(F.col("now")).alias("c")))
+        new = weighed(go.select("vertex", "k", F.when(F.col("go"), F.col("c")).otherwise(F.col("now")).alias("c")), turn + 1)
         if bold and new[2] <= q + 1e-12:
             parts *= 4
         else:
