@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,11 @@ def local_session(cores: str = "8", app: str = "gneiss", shuffle: int = 8) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local runs get a temporary one; a cluster is told so."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-gneiss-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,9 +55,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
-    """Hint a broadcast only for a table whose counted rows are within the bound; beyond it Spark shuffles both sides."""
-    return df.hint("broadcast") if rows <= most else df
+def broadcast_if_small(df: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+    """Hint a broadcast only for a table whose plan is known to be within a number of bytes (a written table is: its files are
+    measured, compressed); beyond it Spark chooses, which means that it shuffles both sides."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.hint("broadcast") if size <= most_bytes else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
