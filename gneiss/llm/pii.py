@@ -5,13 +5,16 @@ those that hold t, n(t) the distinct texts that hold t and N all distinct texts,
 
     pmi(e, t) = log2(n(e, t) * N / (n(e) * max(n(t), n(e, t)))),    ic(e) = log2(N / n(e)).
 
-A term discloses e when it gives at least ``share`` of ic(e), at least ``bits`` bits, and the estimate rests on at least
-``support`` distinct contexts. Copies of a text or context count once, so that copying is not taken for evidence.
+A term discloses e when it gives at least ``share`` of ic(e), at least ``bits`` bits (by default half of log2(N), so that the
+threshold follows the corpus), and the estimate rests on at least ``support`` distinct contexts: a single one is no co-occurrence.
+Copies of a text or context count once, so that copying is not taken for evidence.
 Disclosing terms are generalised to a placeholder wherever they stand, unless they lie in an entity found by pattern.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-CONTEXT, SUPPORT, SHARE, BITS = 120, 3, 0.9, 6.0
+CONTEXT, SUPPORT, SHARE = 120, 2, 0.9
 _LIST = "array<struct<o:int,s:int,k:string,e:int,m:string>>"
 
 
@@ -94,7 +97,7 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0))
 
 
-def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share: float = SHARE, bits: float | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, _h (hash of the text), base and added (arrays of struct(o, s, k, e, m)).
 
     A null text counts as empty. Repeated rows each give a row, with the same spans. An empty table gives an empty
@@ -107,6 +110,7 @@ def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share:
     rows = materialise(whole.select("_id", "_h", told.alias("told")), "entities")
 
     n = rows.agg(F.countDistinct("_h").alias("n")).first()["n"]
+    bits = math.log2(max(n, 1)) / 2 if bits is None else bits
     told = rows.select("_h", F.explode("told").alias("y")).select("_h", F.concat_ws(":", "y.x.k", F.lower("y.x.m")).alias("entity"), F.col("y.c").alias("c"), F.xxhash64("y.c").alias("ctx"))
     seen = told.dropDuplicates(["entity", "ctx"])
 
@@ -120,20 +124,18 @@ def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share:
     pairs = seen.select("entity", F.explode("c").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     pairs = materialise(pairs.join(entities, "entity").join(near, "term").filter(telling(F.col("n_near"))), "disclosure")
     candidates = materialise(pairs.select("term").distinct(), "terms")
-    n_candidates = candidates.count()
     none = F.array().cast(_LIST)
-    if not n_candidates:
+    if candidates.isEmpty():
         return rows.select("_id", "_h", F.col("told.x").alias("base"), none.alias("added"))
 
     tokens = whole.select("_id", "_h", F.explode(F.array_distinct(terms(F.col("_t")))).alias("term"))
-    held = materialise(tokens.join(broadcast_if_small(candidates, n_candidates), "term").distinct(), "held-terms")
+    held = materialise(tokens.join(broadcast_if_small(candidates), "term").distinct(), "held-terms")
     n_t = held.groupBy("term").agg(F.countDistinct("_h").alias("n_t"))
     certain = pairs.join(n_t, "term").filter(telling(F.col("n_t"))).select("term").distinct()
     marked = materialise(held.join(certain, "term").groupBy("_id", "_h").agg(F.collect_set("term").alias("terms")), "marked")
-    n_marked = marked.count()
-    if not n_marked:
+    if marked.isEmpty():
         return rows.select("_id", "_h", F.col("told.x").alias("base"), none.alias("added"))
-    hit = whole.withColumnsRenamed({"_id": "_i", "_h": "_g"}).join(broadcast_if_small(marked, n_marked), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h")))
+    hit = whole.withColumnsRenamed({"_id": "_i", "_h": "_g"}).join(broadcast_if_small(marked), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_g") == F.col("_h")))
     found = F.filter(find_spans(F.col("_t"), TERM), lambda x: F.array_contains(F.col("terms"), F.lower(x["m"])))
     found = F.transform(found, lambda x: F.struct(F.lit(len(KINDS)).alias("o"), x["s"].alias("s"), F.lit("term").alias("k"), x["e"].alias("e"), x["m"].alias("m")))
     hit = hit.select("_i", "_g", found.alias("found")).dropDuplicates(["_i", "_g"])
@@ -143,6 +145,7 @@ def scan(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, share:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns from those of ``scan``; a text without findings has zeros, the digest of nothing and ''."""
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         F.col("_id").alias("doc_id"), *[count(k) for k in KINDS],
@@ -153,15 +156,18 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with the same columns, entities and disclosing terms in ``text`` replaced by placeholders; null texts stay null."""
+    """``docs`` with the same columns, entities and disclosing terms in ``text`` replaced by placeholders; null texts stay null.
+
+    Repeated rows are treated alike; an empty table gives an empty result; other columns are kept, whatever their names.
+    """
     found = scan(docs.select("doc_id", "text"), **settings)
     to = F.create_map(*[F.lit(x) for kv in PLACEHOLDER.items() for x in kv])
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), to[x["k"]].alias("to"))))
-    spans = found.filter(F.size("base") + F.size("added") > 0).select("_id", "_h", spans.alias("_spans")).dropDuplicates(["_id", "_h"])
+    key = lambda i, h: F.struct(i.alias("i"), h.alias("h"))
+    spans = found.filter(F.size("base") + F.size("added") > 0).select(key(F.col("_id"), F.col("_h")).alias("key"), spans.alias("spans")).dropDuplicates(["key"])
     spans = materialise(spans, "spans")
-    spans = broadcast_if_small(spans, spans.count(), 100_000)
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replace_spans(F.col("text"), F.col("_spans")))
-    names = docs.columns
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (key == spans["_h"]), "left")
-    return joined.select(*[new.alias("text") if c == "text" else docs[c] for c in names])
+    rows = docs.select(F.struct(*docs.columns).alias("d"), key(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("own"))
+    joined = rows.join(broadcast_if_small(spans), F.col("own").eqNullSafe(F.col("key")), "left")
+    text = F.col("d.text")
+    new = F.when(F.col("spans").isNull(), text).otherwise(replace_spans(text, F.col("spans")))
+    return joined.select(*[new.alias(c) if c == "text" else F.col("d").getField(c).alias(c) for c in docs.columns])
