@@ -1,9 +1,10 @@
 """Secret scan by multipart credential linking.
 
-Strong secrets are found by pattern. Weak candidates (bare account identifiers, unlabelled high-variety strings and
-endpoints) say little alone; they are reported only when complementary parts stand within one scope of the text.
-The interval join is an equality join on scope-wide buckets: parts are summed by bucket first, so that no pair of
-parts is ever listed and a text full of parts costs as much as it is long.
+Strong secrets are found by pattern. Weak candidates (account names and mail addresses, unlabelled high-variety strings, URLs and
+network addresses) say little alone; they are reported only when complementary parts stand within one scope of the text.
+The interval join of parts with the scopes around others is an equality join on scope-wide buckets: each bucket keeps its first
+and last part of each role, which decide whether any lies in reach, so that no pair of parts is ever listed and a text full
+of parts costs as much as it is long.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from gneiss.session import materialise
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Weak parts: an account's name, a key-like string without a label, and an endpoint.
+#: Weak parts: an account's name, a key-like string without a label (with a digit, a capital and a small letter), and endpoints.
 ACCOUNT = r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}+"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,200}[0-9])(?=[A-Za-z0-9+/_=-]{0,200}[A-Z])(?=[A-Za-z0-9+/_=-]{0,200}[a-z])[A-Za-z0-9+/_=-]{20,}+"
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}+"
 ENDPOINT = r"(?:https?|s3|ssh|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:/@%?=&-]{4,}+"
+ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])"
+WEAK = {"account": ACCOUNT, "mail": MAIL, "opaque": OPAQUE, "endpoint": ENDPOINT, "address": ADDRESS}
 #: Which part each kind is; a weak part needs a complementary one within the scope.
-ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "opaque": "secret", "endpoint": "endpoint"}
+ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "mail": "identifier", "opaque": "secret", "endpoint": "endpoint", "address": "endpoint"}
 SCOPE = 200
 
 
@@ -35,7 +39,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def weak_spans(text: Column) -> dict[str, Column]:
-    return {"account": find_spans(text, ACCOUNT), "opaque": find_spans(text, OPAQUE), "endpoint": find_spans(text, ENDPOINT)}
+    return {k: find_spans(text, p) for k, p in WEAK.items()}
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), scope: int = SCOPE) -> DataFrame:
@@ -73,8 +77,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         return F.coalesce(F.col(f"{r}_here").isNotNull() | (F.col("s") - F.col(f"{r}_left") <= scope) | (F.col(f"{r}_right") - F.col("s") <= scope), F.lit(False))
 
     asks = {"identifier": close("secret"), "secret": close("identifier") | close("endpoint"), "endpoint": close("identifier") | close("secret")}
-    weak_kinds = [k for k in kinds if k in ("account", "opaque", "endpoint")]
-    told = parts.filter(F.col("k").isin(weak_kinds)).withColumn("b", bucket).join(sides, ["_row", "b"])
+    told = parts.filter(F.col("k").isin(*WEAK)).withColumn("b", bucket).join(sides, ["_row", "b"])
     hit = F.lit(False)
     for r, ok in asks.items():
         hit = hit | ((F.col("role") == r) & ok)
@@ -87,6 +90,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns from those of ``scan``; a text without findings has zeros, the digest of nothing and ''."""
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),
