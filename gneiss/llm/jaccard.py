@@ -2,24 +2,27 @@
 
 Tokens (hashed word n-grams) are ordered by hash. Two sets of similarity t or more share at least ceil(t * size) tokens, hence
 one of the first size - ceil(t * size) + 1 of each: the prefix. Equal sets are one class; classes of equal prefix and size
-are one group; groups that share a prefix token and fit in size are pairs, which are expanded to members and verified exactly.
+are one group. Groups that share a prefix token are joined, and their pairs filtered, as groups: by size, and by the bits of
+parity bitmaps that all members of a group have alike, whose difference bounds that of any two members from below. Only the pairs
+of groups that are left are expanded to members, filtered by the members' own bitmaps, and verified exactly.
 
-Two steps keep this from listing all pairs of a large family of copies or of all texts that quote one passage:
+Three steps keep this from listing all pairs of a large family of copies or of all texts that quote one passage:
 * a filter over a fixed quarter of the hash range: a set with a partner misses at most size - ceil(t * size) tokens of it, so
   sets with more unshared tokens there are out at once (texts that only quote the same passage mostly are);
 * among what is left, tokens that many sets have come last in the order, so prefixes are made of rare ones;
-* a star: the groups of a token are compared with the one that shares most. Then only what is in different components is
-  compared on, over a growing part of the tokens at a time, components being joined in between; members of one component need
-  no further link, as components are asked for. Parity bitmaps, whose difference bounds that of the sets from below, reject
-  most of the pairs within the join.
+* a star: the groups of a token are compared with the one that shares most, and their members with its best member. Then only
+  what is in different components is compared on (a group's members in one component being a unit of their own), over a growing
+  part of the tokens at a time, components being joined in between; members of one component need no further link, as
+  components are asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +44,18 @@ def _needed(percent: int) -> Column:
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, a hash of the text, set size, a 128-bit digest of the set, and its tokens in the filter's range."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b["_t"]:
-                h = _tokens(t, n)
-                out.append((len(h), _digest(h), h[: np.searchsorted(h, QUARTER)]))
-            sizes, digests, low = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"_id": b["_id"], "_h": b["_h"], "n": np.array(sizes, np.int32), "c": list(digests), "low": list(low)})
+            sets = [_tokens(t, n) for t in b["_t"].to_pylist()]
+            made = [pa.array([len(h) for h in sets], pa.int32()), pa.array([_digest(h) for h in sets], pa.binary()), pa.array([h[: np.searchsorted(h, QUARTER)] for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], *made], ["_id", "_h", "n", "c", "low"])
 
+    return _keyed(docs).mapInArrow(run, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, n int, c binary, low array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_h"), t.alias("_t"))
-    return rows.mapInPandas(run, "_id long, _h long, n int, c binary, low array<long>")
+    return docs.select(F.col("doc_id").alias("_id"), F.xxhash64(t).alias("_h"), t.alias("_t"))
 
 
 def _tokens(text: str, n: int) -> np.ndarray:
@@ -73,15 +76,54 @@ def _parity(h: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _near(percent: int) -> Column:
-    """Whether n, b and hub_n, hub_b leave a high enough similarity possible: by size, and by the bits that differ."""
+BITS = [f"b{i}" for i in range(LONGS)]
+#: Which bits of a group's bitmap differ between its members; null where none does.
+LOOSE = [f"o{i}" for i in range(LONGS)]
+
+
+def _apart(percent: int, loose: bool) -> Column:
+    """Whether n and the bitmap and those of the other side (hub_) leave a high enough similarity possible; ``loose`` bits say nothing."""
     size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     apart = F.lit(0)
-    for i in range(LONGS):
-        apart = apart + F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"hub_b{i}")))
+    for b, o in zip(BITS, LOOSE):
+        differ = F.col(b).bitwiseXOR(F.col(f"hub_{b}"))
+        for side in (o, f"hub_{o}") if loose else ():
+            differ = differ.bitwiseAND(F.bitwise_not(F.coalesce(side, F.lit(0).cast("long"))))
+        apart = apart + F.bit_count(differ)
     return size & (apart * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent))
 
 
+def _bucket(percent: int) -> Column:
+    """Sets of sizes that fit are in the same bucket or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+
+
+def _units(members: DataFrame, *keys: str) -> DataFrame:
+    """Members that are one group (or the part of it in one component): their common bits, the best score and how many they are."""
+    common = [F.bit_and(b).alias(b) for b in BITS]
+    loose = [F.nullif(F.bit_and(b).bitwiseXOR(F.bit_or(b)), F.lit(0).cast("long")).alias(o) for b, o in zip(BITS, LOOSE)]
+    return members.groupBy(*keys, "n").agg(F.max("score").alias("score"), F.count("*").alias("members"), *common, *loose)
+
+
+def group_pairs(at: DataFrame, percent: int, keys: list[str]) -> DataFrame:
+    """The pairs of units that share a token and may have similar members; in ``at`` each unit stands once for each of its tokens (h)
+    with left and right telling on which side. A unit is paired with itself only where it stands for several members."""
+    side = [*keys, "n", *BITS, *LOOSE]
+    right = at.filter("right").select("h", F.explode(F.array(*[_bucket(percent) + d for d in (-1, 0, 1)])).alias("bucket"), *[F.col(c).alias(f"hub_{c}") for c in side])
+    left = at.filter("left").select("h", _bucket(percent).alias("bucket"), "members", *side)
+    other = F.col("comp") != F.col("hub_comp") if "comp" in keys else (F.col("grp") != F.col("hub_grp")) | (F.col("members") > 1)
+    pairs = left.join(right, ["h", "bucket"]).filter(other & _apart(percent, loose=True))
+    return pairs.select(*keys, *[f"hub_{c}" for c in keys]).distinct()
+
+
+def expand(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int, keys: list[str]) -> DataFrame:
+    """The pairs (a, b) of members of paired units whose bitmaps fit."""
+    other = right.select(*[F.col(c).alias(f"hub_{c}") for c in (*keys, "c", "n", *BITS)])
+    both = pairs.join(left.select(*keys, "c", "n", *BITS), keys).join(other, [f"hub_{c}" for c in keys])
+    both = both.filter((F.col("c") != F.col("hub_c")) & _apart(percent, loose=False))
+    return both.select(F.least("c", "hub_c").alias("a"), F.greatest("c", "hub_c").alias("b")).distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose exact similarity is high enough."""
     left = sets.select(F.col("c").alias("a"), F.col("tokens").alias("x"))
@@ -94,7 +136,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, text: s
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
     Null texts and texts without words have no tokens and no links; their component is their own id. Rows with the same
-    text are linked (if it has words); repeated rows each give a row. A null doc_id is never the smallest unless all are null.
+    text are linked (if it has words); repeated rows each give a row; doc_id may be of any type with an order. A null doc_id is never the smallest unless all are null.
     An empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
@@ -108,59 +150,52 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, text: s
     kept = kept.withColumn("hits", F.coalesce("hits", F.lit(0))).filter(F.col("hits") >= F.col("s") - (F.col("n") - need))
     classes = kept.groupBy("c", "n").agg(F.min(F.struct("_id", "_h")).alias("r"), F.max(F.col("hits") / F.greatest("s", F.lit(1))).alias("score"))
     classes = materialise(classes.select("c", "n", "score", F.col("r._id").alias("i"), F.col("r._h").alias("g")), "classes")
-    t = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_h"), t.alias("_t"))
-    n_classes = classes.count()
-    wanted = whole.join(broadcast_if_small(classes, n_classes, 500_000), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")))
-
-    bits = [f"b{i}" for i in range(LONGS)]
+    wanted = _keyed(docs).join(broadcast_if_small(classes), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = [_tokens(x, n) for x in b["_t"]]
+            tokens = [_tokens(x, n) for x in b["_t"].to_pylist()]
             parity = np.array([_parity(h) for h in tokens], np.int64).reshape(len(tokens), LONGS)
-            yield pd.DataFrame({"c": b["c"], "n": b["n"], "score": b["score"], "tokens": tokens} | {c: parity[:, i] for i, c in enumerate(bits)})
+            yield pa.RecordBatch.from_arrays([b["c"], b["n"], b["score"], pa.array(tokens, pa.list_(pa.int64())), *map(pa.array, parity.T)], ["c", "n", "score", "tokens", *BITS])
 
-    longs = ", ".join(f"{c} long" for c in bits)
-    sets = materialise(wanted.select("c", "n", "score", "_t").mapInPandas(run, f"c binary, n int, score double, tokens array<long>, {longs}").dropDuplicates(["c"]), "sets")
+    longs = ", ".join(f"{c} long" for c in BITS)
+    sets = materialise(wanted.select("c", "n", "score", "_t").mapInArrow(run, f"c binary, n int, score double, tokens array<long>, {longs}").dropDuplicates(["c"]), "sets")
     each = sets.select("c", F.explode("tokens").alias("h"))
     heavy = materialise(each.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= HEAVY).select("h"), "heavy-tokens")
-    common = each.join(broadcast_if_small(heavy, heavy.count(), 500_000), "h").groupBy("c").agg(F.array_sort(F.collect_list("h")).alias("heavy"))
+    common = each.join(broadcast_if_small(heavy), "h").groupBy("c").agg(F.array_sort(F.collect_list("h")).alias("heavy"))
     ordered = F.when(F.col("heavy").isNull(), F.col("tokens")).otherwise(F.concat(F.array_except("tokens", "heavy"), F.col("heavy")))
     prefix = F.slice(ordered, F.lit(1), F.col("n") - need + 1)
-    known_sets = sets.join(common, "c", "left").select("c", "n", "score", prefix.alias("prefix"), *bits)
-    grouped = materialise(known_sets.withColumn("grp", F.xxhash64("prefix", "n")), "groups")
+    grouped = sets.join(common, "c", "left").select("c", "n", "score", prefix.alias("prefix"), *BITS)
+    grouped = materialise(grouped.withColumn("grp", F.xxhash64("prefix", "n")), "groups")
 
-    # groups: one posting per prefix token and group; a group's own name is a posting that joins its members
-    groups = grouped.groupBy("grp", "n").agg(F.max(F.struct("score", "c", "prefix")).alias("m"), F.count("*").alias("members"))
-    posts = groups.select("grp", F.explode("m.prefix").alias("h"))
+    # one posting per prefix token and group; a group's own name is a posting that joins its members
+    members = grouped.drop("prefix")
+    prefixes = grouped.groupBy("grp").agg(F.min_by("prefix", "c").alias("prefix"), F.count("*").alias("members"))
+    posts = prefixes.select("grp", F.explode("prefix").alias("h"))
     several = posts.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    lone = groups.filter("members > 1").select("grp", F.col("grp").alias("h"))
+    lone = prefixes.filter("members > 1").select("grp", F.col("grp").alias("h"))
     posts = materialise(posts.join(several, "h").select("h", "grp").unionByName(lone.select("h", "grp")), "postings")
-    members = materialise(grouped.select("grp", "n", "c", "score", *bits), "members")
-    hub_bits = [F.col(f"p.{c}").alias(f"hub_{c}") for c in ("c", "n", "comp", *bits)]
     links = known = None
 
     for turn in range(len(ROUNDS) + 1):
-        if turn:
+        if turn:  # tokens of units in more than one component: all units outside the main one against all others
+            keys = ["grp", "comp"]
             found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            own = members.join(found, members["c"] == found["node"], "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
+            own = materialise(members.join(found, members["c"] == found["node"], "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root"), "members")
             first = sum(ROUNDS[: turn - 1])
             part = F.pmod("h", F.lit(sum(ROUNDS))).between(first, first + ROUNDS[turn - 1] - 1)
-        else:
-            own, part = members.withColumn("comp", F.col("c")), F.lit(True)
-        at = materialise(posts.filter(part).join(own, "grp").drop("grp"), "members-of-tokens")
-        # per token: how many members each component has; only tokens with more than one component go on
-        sizes = at.groupBy("h", "comp").agg(F.count("*").alias("k"))
-        tokens = sizes.groupBy("h").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).filter("comps > 1").select("h", F.col("main.comp").alias("main"))
-        if turn:
-            right = at.select("h", *[F.col(c).alias(f"hub_{c}") for c in ("c", "n", "comp", *bits)])
-            left = at.join(tokens, "h").filter("comp <> main").drop("main")
-        else:
-            right = at.groupBy("h").agg(F.max(F.struct("score", "c", "n", "comp", *bits)).alias("p")).select("h", *hub_bits)
-            left = at
-        pairs = left.join(right, "h").filter((F.col("comp") != F.col("hub_comp")) & _near(percent))
-        pairs = pairs.select(F.least("c", "hub_c").alias("a"), F.greatest("c", "hub_c").alias("b")).distinct()
+            at = materialise(posts.filter(part).join(_units(own, *keys), "grp"), "units-of-tokens")
+            sizes = at.groupBy("h", "comp").agg(F.count("*").alias("k"))
+            tokens = sizes.groupBy("h").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).filter("comps > 1").select("h", F.col("main.comp").alias("main"))
+            at = at.join(tokens, "h").withColumns({"left": F.col("comp") != F.col("main"), "right": F.lit(True)})
+            right = own
+        else:  # all groups of a token against its hub, and their members against the hub's best
+            keys, own = ["grp"], members
+            at = materialise(posts.join(_units(members, "grp"), "grp"), "groups-of-tokens")
+            hubs = at.groupBy("h").agg(F.max(F.struct("score", "grp")).alias("p")).select("h", F.col("p.grp").alias("hub"))
+            at = at.join(hubs, "h").withColumns({"left": F.lit(True), "right": F.col("grp") == F.col("hub")})
+            right = members.groupBy("grp").agg(F.max(F.struct("score", "c", "n", *BITS)).alias("p")).select("grp", "p.*")
+        pairs = expand(materialise(group_pairs(at, percent, keys), "group-pairs"), own, right, percent, keys)
         pairs = materialise(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "pairs")
         new = materialise(_verify(pairs, sets.select("c", "tokens"), percent), "new-links")
         links, known = (new, pairs) if known is None else (links.unionByName(new), known.unionByName(pairs))
@@ -176,7 +211,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of its component; rows with a null id stay."""
     gone = near_duplicates(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     gone = materialise(gone, "further-copies")
-    return docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), docs["doc_id"] == gone["_id"], "left_anti")
+    return docs.join(broadcast_if_small(gone), docs["doc_id"] == gone["_id"], "left_anti")
 
 
 SQL = r"""
