@@ -1,26 +1,34 @@
 """Exact top-k search by inner product with cover trees on both sides.
 
-Queries and data are dealt into blocks; every block becomes one cover tree, built in a task. Each pair of a query block and
-a data block is searched by walking both trees together: for nodes with centres c, d and covering radii r, s no inner
-product exceeds <c, d> + r|d| + s|c| + rs, so a pair of nodes is dropped when that is below the worst kth score of the
-query node's group. Equal scores are never dropped, so that ties go to the smaller id exactly.
+1. The top of both trees are cells: each vector goes to the nearest of some pivots, spread over a bounded sample. A cell's data and
+   its queries are cut into blocks of bounded size, and every block becomes one cover tree, built in a task.
+2. Each block of queries is searched against the data of its own cell, which gives every query a kth score to start with.
+3. Blocks are nodes too: with centres c, d and covering radii r, s of a block of queries and one of data no inner product exceeds
+   <c, d> + r|d| + s|c| + rs, so the pair is dropped when that is below the worst kth score of the block's queries. Only the
+   pairs that are left are searched: queries travel to the data, a twentieth of it, and data blocks stay.
+4. Within a pair both trees are walked together with the same bound, each query bringing the kth score it has. Equal scores
+   are never dropped, so that ties go to the smaller id exactly.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gneiss.session import materialise
+from gneiss.session import broadcast_if_small, materialise
 
 K, EVERY, SCALE = 20, 20, 64
+#: Vectors of a block of data and of queries, and of a leaf; most pivots, and vectors of the sample for each; blocks of queries in one task.
 DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 64
+PIVOTS, SAMPLE, IN_TASK = 512, 8, 64
+LOW = np.iinfo(np.int64).min
+CELL = ["dim", "cell", "sub"]
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -32,7 +40,8 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Tree:
-    """A cover tree over distinct points: arrays of nodes (centre, radius, level's children or own points)."""
+    """A cover tree over points: a node at level l has its points within 2**l of its centre; its children's centres are points more than
+    2**(l-1) apart and cover as far. ``ids``: of each point, the ids of the rows that it stands for."""
 
     def __init__(self, points: np.ndarray, ids: list[np.ndarray], leaf: int = LEAF):
         self.points, self.ids = points, ids
@@ -41,13 +50,12 @@ class Tree:
         self.children: list[list[int]] = []
         self.members: list[np.ndarray] = []
         x = points.astype(np.float64)
-        far = float(np.sqrt(((x - x[0]) ** 2).sum(1)).max()) if len(x) else 0.0
         if len(x):
+            far = float(np.sqrt(((x - x[0]) ** 2).sum(1)).max())
             self._grow(x, np.arange(len(x)), 0, int(np.ceil(np.log2(far))) if far > 0 else 0, leaf)
         self.norm = [float(np.sqrt((x[c] ** 2).sum())) for c in self.centre]
 
     def _grow(self, x: np.ndarray, own: np.ndarray, centre: int, level: int, leaf: int) -> int:
-        """A node over ``own``, all within 2**level of the centre; its children are 2**(level-1) apart and cover as far."""
         me = len(self.centre)
         d = np.sqrt(((x[own] - x[centre]) ** 2).sum(1))
         self.centre.append(centre)
@@ -56,132 +64,204 @@ class Tree:
         self.members.append(own)
         if len(own) <= leaf or d.max() == 0:
             return me
-        rest, at = own, centre
-        groups = []
-        while len(rest):
+        rest, at, groups = own, centre, []
+        while len(rest) and len(groups) <= len(own) // 4:
             near = np.sqrt(((x[rest] - x[at]) ** 2).sum(1)) <= 2.0 ** (level - 1)
             groups.append((at, rest[near]))
             rest = rest[~near]
-            if len(rest):
-                at = int(rest[0])
-        if len(groups) > len(own) // 4:  # the points are about as far apart as they are from the centre: halve by distance to two of them
-            a = int(own[d.argmax()])
-            far = np.sqrt(((x[own] - x[a]) ** 2).sum(1))
-            by = np.argsort(far, kind="stable")
-            groups = [(a, own[by[: len(own) // 2]]), (int(own[by[-1]]), own[by[len(own) // 2 :]])]
-        for c, part in groups:
-            self.children[me].append(self._grow(x, part, c, level - 1, leaf))
+            at = int(rest[0]) if len(rest) else at
+        if not len(rest):  # else the points are as far apart as they are from the centre: lower levels tell nothing, the node is a leaf
+            for c, part in groups:
+                self.children[me].append(self._grow(x, part, c, level - 1, leaf))
         return me
 
 
-def build(rows: pd.DataFrame, k: int | None) -> bytes:
-    """The tree of a block. Equal vectors are one point; of their ids, k + 1 at most can be among k answers."""
-    by_size: dict[int, list] = {}
-    for i, v in zip(rows["vec_id"], rows["v"]):
-        by_size.setdefault(len(v), []).append((int(i), v))
-    trees = {}
-    for n, pairs in by_size.items():
-        points = np.array([v for _, v in pairs], dtype=np.int64).reshape(len(pairs), n)
-        ids = np.array([i for i, _ in pairs], dtype=np.int64)
-        order = np.lexsort((ids, *points.T)) if n else np.argsort(ids)
-        points, ids = points[order], ids[order]
-        new = np.flatnonzero(np.r_[True, (points[1:] != points[:-1]).any(1)])
-        groups = np.split(ids, new[1:])
-        trees[n] = Tree(points[new], [np.unique(g) if k is None else np.unique(g)[: k + 1] for g in groups])
-    return pickle.dumps(trees)
+def data_tree(rows: pd.DataFrame, k: int) -> Tree:
+    """Equal vectors are one point; of its ids only the smallest can be among k answers, one's own aside."""
+    points = np.array(rows["v"].tolist(), dtype=np.int64).reshape(len(rows), -1)
+    ids = rows["vec_id"].to_numpy(np.int64)
+    order = np.lexsort((ids, *points.T))
+    points, ids = points[order], ids[order]
+    new = np.flatnonzero(np.r_[True, (points[1:] != points[:-1]).any(1)])
+    return Tree(points[new], [g[: k + np.unique(g, return_counts=True)[1].max()] for g in np.split(ids, new[1:])])
+
+
+def query_tree(rows: pd.DataFrame) -> Tree:
+    rows = rows.sort_values("vec_id")
+    return Tree(np.array(rows["v"].tolist(), dtype=np.int64).reshape(len(rows), -1), [np.array([i]) for i in rows["vec_id"]])
 
 
 def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point while all sums stay below 2**53, else in integers of any size, held to 64 bits."""
+    """Exact inner products: in floating point while all sums are whole numbers that it holds, else in integers of any size, held to 64 bits."""
     most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(d.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
-    if most < 2.0**53:
-        return (q.astype(np.float64) @ d.astype(np.float64).T).astype(np.int64)
-    exact = q.astype(object) @ d.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    for kind, room in ((np.float32, 2.0**24), (np.float64, 2.0**53)):
+        if most < room:
+            return (q.astype(kind) @ d.astype(kind).T).astype(np.int64)
+    return np.clip(q.astype(object) @ d.astype(object).T, LOW + 1, -(LOW + 1)).astype(np.int64)
 
 
-def search(queries: Tree, data: Tree, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, id, score) of the k best of ``data`` for each query."""
-    n = len(queries.points)
-    low = np.iinfo(np.int64).min
-    score, who = np.full((n, k + 1), low, np.int64), np.full((n, k + 1), np.iinfo(np.int64).max, np.int64)  # one more: a query's own row goes
-    filled = np.zeros((n, k + 1), bool)
+def search(queries: Tree, data: Tree, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query ids, ids and scores of the k best of ``data`` for each query, as far as they reach its ``floor``; and the products it took."""
+    n, big, products = len(queries.points), np.iinfo(np.int64).max, 0
+    asks = np.concatenate(queries.ids) if n else np.zeros(0, np.int64)
+    score, who = np.full((n, k), LOW, np.int64), np.full((n, k), big, np.int64)
+    floor = np.full(n, LOW, np.int64) if floor is None else floor
 
     def bound(a: int, b: int) -> float:
         c = float(queries.points[queries.centre[a]].astype(np.float64) @ data.points[data.centre[b]].astype(np.float64))
         r, s = queries.radius[a], data.radius[b]
         return (c + r * data.norm[b] + s * queries.norm[a] + r * s) * (1 + 1e-12) + 1e-6 * (1 + abs(c))
 
-    def worst(a: int) -> float:
-        own = queries.members[a]
-        return float(score[own, k].min()) if filled[own, k].all() else -np.inf
-
-    def meet(a: int, b: int) -> None:
+    def meet(a: int, b: int) -> int:
         own, cand = queries.members[a], data.members[b]
         s = _products(queries.points[own], data.points[cand])
         take = [data.ids[c] for c in cand]
-        at = np.repeat(np.arange(len(cand)), [len(t) for t in take])
-        s, ids = s[:, at], np.concatenate(take)
-        use = (s >= score[own, k][:, None]).any(1) | ~filled[own, k]
-        rows = own[use]
-        if not len(rows):
-            return
-        all_s = np.concatenate([score[rows], s[use]], 1)
-        all_i = np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1)
-        all_f = np.concatenate([filled[rows], np.ones((len(rows), len(ids)), bool)], 1)
-        best = np.lexsort((all_i, -np.maximum(all_s, low + 1), ~all_f), axis=-1)[:, : k + 1]
-        score[rows], who[rows], filled[rows] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_i, best, 1), np.take_along_axis(all_f, best, 1)
+        if sum(map(len, take)) > len(take):
+            s = s[:, np.repeat(np.arange(len(cand)), [len(t) for t in take])]
+        ids = np.concatenate(take)
+        r, c = np.nonzero(s >= np.maximum(score[own, k - 1], floor[own])[:, None])
+        other = ids[c] != asks[own[r]]
+        r, c = r[other], c[other]
+        if len(r):
+            rows = np.unique(r)
+            at = np.r_[np.repeat(rows, k), r]
+            new_s, new_i = np.r_[score[own[rows]].ravel(), s[r, c]], np.r_[who[own[rows]].ravel(), ids[c]]
+            order = np.lexsort((new_i, -np.maximum(new_s, LOW + 1), at))
+            at, new_s, new_i = at[order], new_s[order], new_i[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            keep = rank < k
+            score[own[at[keep]], rank[keep]], who[own[at[keep]], rank[keep]] = new_s[keep], new_i[keep]
+        return len(own) * len(cand)
 
     stack = [(0, 0)] if n and len(data.points) else []
     while stack:
         a, b = stack.pop()
-        if bound(a, b) < worst(a):
+        own = queries.members[a]
+        if bound(a, b) < float(np.maximum(score[own, k - 1], floor[own]).min()):
             continue
         left, right = queries.children[a], data.children[b]
         if not left and not right:
-            meet(a, b)
+            products += meet(a, b)
         else:  # the wider side opens; the pair with the best bound goes first
             pairs = [(x, b) for x in left] if left and (not right or queries.radius[a] > data.radius[b]) else [(a, y) for y in right]
             stack += sorted(pairs, key=lambda p: bound(*p))
-    for i in range(n):
-        for q in queries.ids[i]:
-            got = [(int(q), int(d), int(s)) for d, s, f in zip(who[i], score[i], filled[i]) if f and d != q]
-            yield from got[:k]
+    q, j = np.nonzero(who < big)
+    return asks[q], who[q, j], score[q, j], products
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the k best others, ties to smaller ids.
+def _spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` points of a sample, each the farthest from those before it."""
+    x, chosen = sample.astype(np.float64), [0]
+    d = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < most and d.max() > 0:
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
+def cells(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, v, dim and cell: the pivot of the same length that is nearest."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            dim, cell = b["v"].map(len).to_numpy(), np.zeros(len(b), np.int32)
+            for n, p in pivots.items():
+                at = np.flatnonzero(dim == n)
+                if len(at) and n:
+                    x, y = np.array(b["v"].iloc[at].tolist(), np.float64), p.astype(np.float64)
+                    cell[at] = ((y**2).sum(1)[None, :] - 2 * x @ y.T).argmin(1)
+            yield b.assign(dim=dim.astype(np.int32), cell=cell)
+
+    return points.mapInPandas(nearest, "vec_id long, v array<long>, dim int, cell int")
 
-    Rows with the query's own id are no candidates; a query id that occurs twice is answered once, from either row; vectors of
-    different lengths have no product. An empty table gives an empty result; other columns are not read.
-    """
-    points = materialise(quantised(vectors, scale).dropDuplicates(["vec_id"]), "vectors")
-    n = points.count()
-    n_data, n_query = max(1, -(-n // data_block)), max(1, -(-n // (every * query_block)))
-    side = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
 
-    def grow(keep: int | None):
-        def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"block": [key[0]], "tree": [build(rows, keep)]})
+def cut(placed: DataFrame, size: int) -> DataFrame:
+    """``placed`` with sub: cells of more than about ``size`` vectors are cut by a hash."""
+    counts = materialise(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).alias("subs")), "cell-sizes")
+    return placed.join(broadcast_if_small(counts), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", "v"), "subs").cast("int")).drop("subs")
 
-        return one
 
-    data = points.withColumn("block", side(n_data)).groupBy("block").applyInPandas(grow(k), "block int, tree binary")
-    asked = points.filter(F.col("vec_id") % every == 0).withColumn("block", side(n_query)).groupBy("block").applyInPandas(grow(None), "block int, tree binary")
-    asked = asked.select(F.col("block").alias("asks"), F.col("tree").alias("queries"))
-    pairs = data.withColumn("asks", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))).repartition(n_data * n_query, "block", "asks")
-    pairs = pairs.join(asked, "asks")
+def blocks(cut: DataFrame, grow: Callable[[pd.DataFrame], Tree]) -> DataFrame:
+    """dim, cell, sub, centre, norm, radius, n and tree of each block."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = grow(rows)
+        return pd.DataFrame({"dim": [key[0]], "cell": [key[1]], "sub": [key[2]], "centre": [t.points[0].astype(np.float64).tolist()], "norm": [t.norm[0]], "radius": [t.radius[0]], "n": [len(t.points)], "tree": [pickle.dumps(t)]})
+
+    return materialise(cut.groupBy(*CELL).applyInPandas(one, "dim int, cell int, sub int, centre array<double>, norm double, radius double, n long, tree binary"), "blocks")
+
+
+def most_product() -> Column:
+    """No inner product of two blocks (the queries' columns begin with q_) exceeds this; a little more, for rounding."""
+    c = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    top = c + F.col("q_radius") * F.col("norm") + F.col("radius") * F.col("q_norm") + F.col("radius") * F.col("q_radius")
+    return top * F.lit(1 + 1e-12) + F.lit(1e-6) * (1 + F.abs(c))
+
+
+def search_pairs(pairs: DataFrame, data: DataFrame, queries: DataFrame, floors: DataFrame | None, k: int, salts: int) -> DataFrame:
+    """query_id, vec_id and score of what the pairs of blocks (dim, cell, sub, q_cell, q_sub) hold. Rows of a task come sorted: a data
+    block, then the blocks of queries that meet it, one at a time. ``salts`` tasks share a data block's queries."""
+    own = queries.select("dim", F.col("cell").alias("q_cell"), F.col("sub").alias("q_sub"), F.col("tree").alias("tree"))
+    if floors is not None:
+        own = own.join(floors, ["dim", "q_cell", "q_sub"], "left")
+    else:
+        own = own.withColumn("floors", F.lit(None).cast("array<struct<id:long,kth:long>>"))
+    asked = pairs.join(own, ["dim", "q_cell", "q_sub"]).select(*CELL, F.pmod(F.xxhash64("q_cell", "q_sub"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "tree", "floors")
+    held = pairs.select(*CELL, F.pmod(F.xxhash64("q_cell", "q_sub"), F.lit(salts)).cast("int").alias("salt")).distinct().join(data.select(*CELL, "tree"), CELL)
+    held = held.select(*CELL, "salt", F.lit(0).alias("kind"), "tree", F.lit(None).cast("array<struct<id:long,kth:long>>").alias("floors"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = held.unionByName(asked).repartition(parts, *CELL, "salt").sortWithinPartitions(*CELL, "salt", "kind")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = None
         for b in batches:
-            for q, d in zip(b["queries"], b["tree"]):
-                queries, trees = pickle.loads(q), pickle.loads(d)
-                rows = [x for size in queries if size in trees for x in search(queries[size], trees[size], k)]
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = pairs.select("queries", "tree").mapInPandas(walk, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for kind, packed, floors in zip(b["kind"], b["tree"], b["floors"]):
+                if kind == 0:
+                    tree = pickle.loads(packed)
+                    continue
+                asks = pickle.loads(packed)
+                known = {} if floors is None else {f["id"]: f["kth"] for f in floors}
+                floor = np.array([known.get(int(i[0]), LOW) for i in asks.ids], np.int64)
+                q, i, s, _ = search(asks, tree, k, floor)
+                yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
+
+    return rows.select("kind", "tree", "floors").mapInPandas(walk, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the k best others, ties to smaller ids.
+
+    Every row is a candidate, repeated ones too; rows with the query's own id are not. Of query rows with one id the least vector is
+    asked. Vectors of different lengths have no product. An empty table gives an empty result; other columns are not read.
+    """
+    spark = vectors.sparkSession
+    points = materialise(quantised(vectors, scale), "vectors")
+    n = points.count()
+    most = min(PIVOTS, max(1, 2 * n // data_block))
+    drawn = points.select("v").orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE * most).collect()  # bounded by parameters
+    by_dim: dict[int, list] = {}
+    for r in drawn:
+        by_dim.setdefault(len(r["v"]), []).append(r["v"])
+    pivots = {d: _spread(np.array(v, np.int64).reshape(len(v), d), max(1, most * len(v) // len(drawn))) for d, v in by_dim.items()}
+    placed = materialise(cells(points, pivots), "cells")
+    asked = placed.filter(F.col("vec_id") % every == 0)
+    least = asked.groupBy("vec_id").agg(F.min(F.struct("v", "dim", "cell")).alias("x")).select("vec_id", "x.*")
+    least = cut(least, query_block)
+    data, queries = blocks(cut(placed, data_block), lambda rows: data_tree(rows, k)), blocks(least, query_tree)
+    salts = max(1, -(-queries.count() // IN_TASK))
+
+    side = queries.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("cell", "sub", "centre", "norm", "radius")])
+    near = side.join(data.drop("tree"), (side["dim"] == data["dim"]) & (side["q_cell"] == data["cell"])).select(data["dim"], "cell", "sub", "q_cell", "q_sub")
+    first = materialise(search_pairs(near, data, queries, None, k, salts), "own-cells")
+    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    member = least.select("vec_id", "dim", F.col("cell").alias("q_cell"), F.col("sub").alias("q_sub"))
+    floors = member.join(kth, "vec_id", "left").groupBy("dim", "q_cell", "q_sub").agg(F.collect_list(F.when(F.col("kth").isNotNull(), F.struct(F.col("vec_id").alias("id"), "kth"))).alias("floors"), F.when(F.count("kth") == F.count("*"), F.min("kth")).alias("worst"))
+    floors = materialise(floors, "kth-scores")
+    far = side.join(floors.drop("floors"), ["dim", "q_cell", "q_sub"]).join(data.drop("tree"), "dim").filter((F.col("cell") != F.col("q_cell")) & (F.col("worst").isNull() | (most_product() >= F.col("worst"))))
+    rest = search_pairs(materialise(far.select(*CELL, "q_cell", "q_sub"), "pairs"), data, queries, floors.drop("worst"), k, salts)
+    found = first.unionByName(rest).withColumn("rank", F.row_number().over(by_score))
+    return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
