@@ -57,10 +57,9 @@ def _uniform(*keys: Column) -> Column:
 
 def _log_factorial(n: Column) -> Column:
     """ln n! of a whole number of 0 or more: a short product below 8, else Stirling's series, right to about 1e-11."""
-    x = n.cast("double")
-    small = F.log(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n.cast("int"), F.lit(8)))), F.lit(1.0), lambda a, i: a * i))
-    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(x < 8, small).otherwise(series)
+    small = F.log(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(8)).cast("int"))), F.lit(1.0), lambda a, i: a * i))
+    series = lambda x: (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 - (1 / 30 - 1 / (105 * x * x)) / (x * x)) / (12 * x)
+    return F.when(n < 8, small).otherwise(let(n.cast("double"), series))
 
 
 def _hypergeometric(total: Column, good: Column, drawn: Column, *keys: Column) -> Column:
@@ -71,7 +70,7 @@ def _hypergeometric(total: Column, good: Column, drawn: Column, *keys: Column) -
 
     def draw(few: Column, many: Column, m: Column) -> Column:
         mode = F.floor((m + 1) * (few + 1) / (total + 2)).cast("long")
-        logs = lambda k: _log_factorial(k) + _log_factorial(few - k) + _log_factorial(m - k) + _log_factorial(many - m + k)
+        logs = lambda k: F.aggregate(F.transform(F.array(k, few - k, m - k, many - m + k), _log_factorial), F.lit(0.0), lambda a, x: a + x)
         share = few / total
         centre = m * share + 0.5
         spread = F.sqrt((total - m) * m * share * (1 - share) / F.greatest(total - 1, F.lit(1).cast("long")) + 0.5)
@@ -90,12 +89,14 @@ def _hypergeometric(total: Column, good: Column, drawn: Column, *keys: Column) -
 
         return let(logs(mode), trials)
 
-    few, many, m = F.least(good, total - good), F.greatest(good, total - good), F.least(drawn, total - drawn)
-    k = let(few, lambda few: let(many, lambda many: let(m, lambda m: draw(few, many, m))))
-    k = F.when(good > total - good, m - k).otherwise(k)  # the rarer kind was counted, among the smaller part
-    k = F.when(drawn > total - drawn, good - k).otherwise(k)
+    def turned(few: Column, m: Column) -> Column:
+        # the rarer kind was counted, among the smaller part
+        k = let(draw(few, total - few, m), lambda k: F.when(good > few, m - k).otherwise(k))
+        return let(k, lambda k: F.when(drawn > m, good - k).otherwise(k))
+
     sure = F.when((good <= 0) | (drawn <= 0), F.lit(0).cast("long")).when(good >= total, drawn).when(drawn >= total, good)
-    return F.when(sure.isNotNull(), sure).otherwise(k)
+    k = let(F.least(good, total - good), lambda few: let(F.least(drawn, total - drawn), lambda m: turned(few, m)))
+    return let(sure, lambda sure: F.when(sure.isNotNull(), sure).otherwise(k))
 
 
 def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -113,9 +114,11 @@ def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
             start = F.struct(total.alias("rest"), F.ceil(total / 2).cast("long").alias("draw"), F.array().cast("array<bigint>").alias("out"))
 
             def step(a: Column, i: Column) -> Column:
-                q = F.get("quotas", i)
-                x = _hypergeometric(a["rest"], q, a["draw"], F.lit(seed), F.lit(level), F.col("shard"), i)
-                return let(x, lambda x: F.struct((a["rest"] - q).alias("rest"), (a["draw"] - x).alias("draw"), F.concat(a["out"], F.array(x)).alias("out")))
+                def take(q: Column) -> Column:
+                    x = _hypergeometric(a["rest"], q, a["draw"], F.lit(seed), F.lit(level), F.col("shard"), i)
+                    return let(x, lambda x: F.struct((a["rest"] - q).alias("rest"), (a["draw"] - x).alias("draw"), F.concat(a["out"], F.array(x)).alias("out")))
+
+                return let(F.get("quotas", i), take)
 
             return F.aggregate(F.sequence(F.lit(0), F.size("quotas") - 1), start, step, lambda a: a["out"])
 
