@@ -25,13 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.textbytes import BASE, Sums, mix
+from gneiss.llm.textbytes import BASE, BASE2, Sums, mix
 from gneiss.session import broadcast_if_small, materialise, small_batches
 
 LENGTH, ANCHOR = 400, 128
 #: Bytes of a text that are looked at together, segments of one anchor in a task, bytes of segments in a round.
 PIECE, GROUP, ROUND_BYTES = 4 << 20, 4096, 4 << 20
-BASE2 = 0xC2B2AE3D27D4EB4F | 1
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -133,7 +132,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, grou
     one = held.filter("kinds > 1").groupBy("h", "s", "kinds").agg(F.min(F.struct("_id", "_h", "lo", "hi", "x")).alias("p"))
     one = one.groupBy(F.col("p._id").alias("i"), F.col("p._h").alias("g")).agg(F.collect_list(F.struct("h", "s", "kinds", "p.lo", "p.hi", "p.x")).alias("ps"))
     one = materialise(one, "first-places")
-    texts = whole.join(broadcast_if_small(one, one.count(), 100_000), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")))
+    texts = whole.join(broadcast_if_small(one), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g")))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

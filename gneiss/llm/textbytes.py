@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
+BASE2 = 0xC2B2AE3D27D4EB4F
+#: Powers of a base that a worker keeps; longer tables are made anew, so that one long text is not remembered.
+KEPT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 256, dtype=np.uint64)
@@ -25,20 +27,23 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
+        size = max(n, 1 << 16)
+        out = np.full(size, base, np.uint64)
         out[0] = 1
-        _powers[base] = have = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if size <= KEPT:
+            _powers[base] = have
     return have[:n]
 
 
 class Sums:
-    """Prefix sums from which the hash of any range of some bytes follows at once."""
+    """Prefix sums from which the hash of any range of some bytes (or, with ``values``, of other symbols) follows at once."""
 
-    def __init__(self, data: np.ndarray, base: int = BASE):
+    def __init__(self, data: np.ndarray, base: int = BASE, values: np.ndarray | None = None):
         self.inverse = pow(base, -1, 1 << 64)
         self.n = len(data)
         self.at = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * powers(base, self.n), out=self.at[1:])
+        np.cumsum((_VALUE[data] if values is None else values) * powers(base, self.n), out=self.at[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """One hash per range, independent of where it stands."""
@@ -52,6 +57,12 @@ def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def pick(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each pair, one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
 def shingles(data: np.ndarray, k: int) -> np.ndarray:
     """The distinct hashes, sorted, of all runs of k words; of fewer words the whole sequence is one."""
     start, end = word_ranges(data)
