@@ -121,12 +121,26 @@ def test_splitting_tree(spark):
     assert {sum(r) for r in rows} <= {27, 28} and len({tuple(r) for r in rows}) > 1
 
 
-def test_hypergeometric(spark):
-    """Draws follow the distribution: mean n * K / N."""
-    u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
+@pytest.mark.parametrize("total, good, drawn", [(50, 20, 15), (50, 40, 30), (9, 4, 2), (2_000_000, 700_000, 1_000_000)])
+def test_hypergeometric(spark, total, good, drawn):
+    """Draws follow the distribution, in mean and variance, within what draws can come to; a large quota takes as many trials as a small one."""
     one = lambda x: F.lit(x).cast("long")
-    got = u.select(mixing._hypergeometric(one(50), one(20), one(15), F.col("u")).alias("k")).agg(F.avg("k"), F.var_pop("k"), F.min("k"), F.max("k")).first()
-    assert abs(got[0] - 6) < 0.01 and abs(got[1] - 15 * 0.4 * 0.6 * 35 / 49) < 0.02 and got[2] >= 0 and got[3] <= 15
+    n, p = 6000, good / total
+    got = spark.range(n).select(mixing._hypergeometric(one(total), one(good), one(drawn), F.lit(3), F.col("id")).alias("k")).agg(F.avg("k"), F.var_pop("k"), F.min("k"), F.max("k")).first()
+    var = drawn * p * (1 - p) * (total - drawn) / (total - 1)
+    assert abs(got[0] - drawn * p) < 5 * (var / n) ** 0.5 and abs(got[1] / var - 1) < 0.12
+    assert got[2] >= max(0, drawn - (total - good)) and got[3] <= min(good, drawn)
+    ends = spark.range(3).select(*[mixing._hypergeometric(one(a), one(b), one(c), F.col("id")) for a, b, c in ((9, 0, 4), (9, 9, 4), (9, 3, 9), (9, 3, 0))]).first()
+    assert tuple(ends) == (0, 4, 3, 0)
+
+
+def test_running_sums(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("by"), F.col("id").alias("at"), (F.col("id") % 7).alias("n"))
+    got = mixing.running(rows, "by", "at", {"n": "before"}).orderBy("at").collect()
+    held = {0: 0, 1: 0, 2: 0}
+    for r in got:
+        assert r["before"] == held[r["by"]]
+        held[r["by"]] += r["n"]
 
 
 def test_warc(spark):
