@@ -66,6 +66,36 @@ def test_suffixes_hot_anchor(docs, rows):
     assert ranges(keyed) == ranges(usual)
 
 
+def test_columns():
+    """The transform of each column, in the order of what precedes it, and the windows that neighbours share, against plain comparison."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(200):
+        length, base = rng.choice([3, 4, 6]), [rng.choice("ab") for _ in range(14)]
+        texts, before = [], []
+        for _ in range(rng.randint(1, 12)):
+            lo = rng.randint(0, 5)
+            t = base[lo : rng.randint(7, 14)]
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice("abc")
+            texts.append("".join(t).encode())
+            before.append(6 - lo)
+        got = suffixes.repeated_windows(texts, np.array(before), length)
+        part = lambda j, c, n: texts[j][c + before[j] : c + before[j] + n] if c + before[j] >= 0 else b""
+        for i, t in enumerate(texts):
+            for w in range(len(t) - length + 1):
+                assert got[i][w] == any(j != i and part(j, w - before[i], length) == t[w : w + length] for j in range(len(texts)))
+        c = suffixes.Columns(texts, np.array(before))
+        for column in range(min(-b for b in before), 4):
+            assert sorted(c.insert(column)) == sorted(t[column + b] for t, b in zip(texts, before) if 0 <= column + b < len(t))
+            past = [texts[i][: column + 1 + before[i]][::-1] for i in c.order]
+            same = [next((n for n, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))) for p, q in zip(past, past[1:])]
+            assert [column + 1 - s for s in c.since[1:]] == same and all(s == column + 1 for s in c.since[:1])
+
+
 def test_jaccard(docs, rows, empty):
     own = [r for r in dict.fromkeys(rows) if r[0] is not None]
     for n, percent in ((4, 85), (5, 80)):
