@@ -1,7 +1,8 @@
 """Symbol resolution: references joined to an index of names, then narrowed by package, receiver or path.
 
-The equality join on the name comes first; prefix and suffix tests only narrow its candidates. A name's candidates are counted
-before they are listed: a reference whose name has one candidate takes it at once, and only names with more are expanded.
+No list of candidates is made. The index is counted by name, by name and each folder above the file, by name and class, and by
+name and file name, each with the least id; a reference joins these by equality, and a count of one is its target. References
+are reduced to distinct questions first, so that a name that many files use is asked once a file.
 """
 
 from __future__ import annotations
@@ -11,15 +12,25 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
 
-#: Calls that are never looked up: common members of the standard collections and of the console, from the public API documentation.
-JAVA_DENY = ("add", "clear", "close", "contains", "containsKey", "equals", "format", "get", "hashCode", "isEmpty", "iterator", "length", "next", "put", "println", "printf", "remove", "size", "stream", "substring", "toString", "valueOf")
-JS_DENY = ("log", "map", "filter", "forEach", "push", "pop", "reduce", "slice", "splice", "then", "catch", "join", "keys", "values", "stringify", "parse")
+# Names of calls that are never looked up, and the texts that tell how a target was found.
+JAVA_DENY = (
+    "toString", "hashCode", "equals", "compareTo", "clone", "finalize", "wait", "notify", "notifyAll", "getClass",
+    "debug", "info", "warn", "error", "trace", "fatal", "isDebugEnabled", "isInfoEnabled", "isWarnEnabled", "isErrorEnabled",
+    "build",
+    "save", "saveAll", "saveAndFlush", "saveAllAndFlush", "findById", "findAll", "findAllById", "findOne",
+    "deleteById", "delete", "deleteAll", "deleteAllById", "deleteAllInBatch", "existsById", "count", "flush", "getOne", "getById", "getReferenceById",
+)
+JS_DENY = (
+    "toString", "valueOf", "hasOwnProperty", "isPrototypeOf", "propertyIsEnumerable", "toLocaleString",
+    "log", "debug", "info", "warn", "error", "trace", "group", "groupEnd", "table", "assert", "clear", "count", "time", "timeEnd", "timeLog", "dir",
+)
+UNIQUE, PACKAGE, RECEIVER, PATH = "symbol_index: unique match", "symbol_index: same-package heuristic", "symbol_index: receiver-class heuristic", "symbol_index: FQN path heuristic"
 ORDER = {"python": 0, "java": 1, "javascript": 2, "generic": 3}
 
 
 def dialect(file: Column) -> Column:
     language = X.language_of(file, lower=False)
-    return F.when(language == "python", "python").when(language == "java", "java").when(language.isin("javascript", "typescript"), "javascript").otherwise("generic")
+    return F.when(language == "python", "python").when(language == "java", "java").when(language.isin("javascript", "typescript", "tsx"), "javascript").otherwise("generic")
 
 
 def symbol(raw: Column, kind: Column, of: Column) -> Column:
@@ -34,8 +45,65 @@ def symbol(raw: Column, kind: Column, of: Column) -> Column:
     return out
 
 
+def _counted(index: DataFrame, *keys: str) -> DataFrame:
+    return index.groupBy("name", *keys).agg(F.count("*").alias("k"), F.min("id").alias("c"))
+
+
+def _look(asks: DataFrame, table: DataFrame, keys: dict[str, str], step: str) -> DataFrame:
+    """``asks`` with how many entries of a table meet it (k_step) and, of one, which (c_step)."""
+    there = table.select("name", *[F.col(c).alias(own) for c, own in keys.items()], F.col("k").alias(f"k_{step}"), F.col("c").alias(f"c_{step}"))
+    return asks.join(there, ["name", *keys.values()], "left")
+
+
+def narrow(asks: DataFrame, index: DataFrame) -> DataFrame:
+    """``asks`` (name, dialect, kind, raw, file_) with target and reasoning, null where no step leaves exactly one candidate.
+
+    Steps, in order: the file's folder with all below it (or the file itself); the folder above; in Java the class that a call's
+    receiver names, and the file that an import's path, or the path of its class, ends. An import of a file without a package is
+    matched by the whole name of the file.
+    """
+    java, call, imports = F.col("dialect") == "java", F.col("kind") == "call", F.col("kind") == "import"
+    file, path = X.file_of(F.col("id")), F.split("file", "/")
+    index = index.select("name", "id", file.alias("file"))
+    above = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda n: F.array_join(F.slice(path, F.lit(1), n), "/"))
+    folders = _counted(index.filter(F.size(path) > 1).select("name", "id", F.explode(above).alias("folder")), "folder")
+    classes = _counted(index.select("name", "id", F.regexp_extract("id", r"::([^.:]+)\.", 1).alias("class")).filter(F.startswith(F.substring_index("id", "::", -1), F.concat("class", F.lit("."), "name"))), "class")
+    files = _counted(index, "file").withColumn("base", F.substring_index("file", "/", -1)).filter(F.endswith("file", F.lit(".java")))
+
+    folder = X.dir_of(F.col("file_"))
+    plain = java | F.col("kind").isin("import", "inherits", "decorator")
+    chain = F.filter(F.split(F.regexp_extract(F.substring_index("raw", "(", 1), r"^(.*)\.", 1), r"\."), lambda x: ~F.trim(x).isin("", "this", "super"))
+    receiver = F.when(java & call & (F.size(chain) > 0), F.trim(F.element_at(chain, -1)))
+    capital = F.concat(F.upper(F.substring(receiver, 1, 1)), F.substring(receiver, 2, 1 << 30))
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.trim("raw"), r";\s*$", ""), r"^import\s+(?:static\s+)?", ""))
+    whole = F.when(java & imports & ~F.endswith(cleaned, F.lit("*")), F.regexp_replace(cleaned, r"\.", "/"))
+    asks = asks.select(
+        "*", F.when(plain & (folder != ""), folder).alias("own"), F.when(plain & (folder == ""), F.col("file_")).alias("lone"), F.when(plain & F.contains(folder, F.lit("/")), X.dir_of(folder)).alias("parent"),
+        capital.alias("cls"), F.when(receiver != capital, F.concat(capital, F.lit("Impl"))).alias("impl"), F.concat(whole, F.lit(".java")).alias("whole"), F.when(F.contains(whole, F.lit("/")), F.concat(X.dir_of(whole), F.lit(".java"))).alias("short"),
+    )
+    asks = _look(asks, folders, {"folder": "own"}, "own")
+    asks = _look(asks, _counted(index, "file"), {"file": "lone"}, "lone")
+    asks = _look(asks, folders, {"folder": "parent"}, "parent")
+    asks = _look(asks, classes, {"class": "cls"}, "cls")
+    asks = _look(asks, classes, {"class": "impl"}, "impl")
+    for of in ("whole", "short"):
+        ends = asks.filter(F.col(of).isNotNull()).select("name", of).distinct().withColumn("base", F.substring_index(of, "/", -1)).join(files, ["name", "base"])
+        ends = ends.filter(F.endswith("file", of)).groupBy("name", of).agg(F.sum("k").alias(f"k_{of}"), F.min("c").alias(f"c_{of}"))
+        asks = asks.join(ends, ["name", of], "left")
+    both = F.coalesce("k_cls", F.lit(0)) + F.coalesce("k_impl", F.lit(0))
+    steps = [(F.col("k_own") == 1, F.col("c_own"), PACKAGE), (F.col("k_lone") == 1, F.col("c_lone"), PACKAGE), (F.col("k_parent") == 1, F.col("c_parent"), PACKAGE),
+             (both == 1, F.coalesce("c_cls", "c_impl"), RECEIVER), (F.col("k_whole") == 1, F.col("c_whole"), PATH), (F.col("k_short") == 1, F.col("c_short"), PATH)]
+    target, reasoning = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for met, c, why in reversed(steps):
+        target, reasoning = F.when(met, c).otherwise(target), F.when(met, F.lit(why)).otherwise(reasoning)
+    return asks.select("name", "dialect", "kind", "raw", "file_", target.alias("target"), F.when(F.col("dialect") == "generic", F.when(target.isNotNull(), UNIQUE)).otherwise(reasoning).alias("reasoning"))
+
+
 def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA_DENY, js_deny: tuple[str, ...] = JS_DENY) -> DataFrame:
-    """Each reference (ord, source, raw, kind, file) with dialect, outcome (resolve, pass, drop), target and reasoning."""
+    """Each reference (ord, source, raw, kind, file) with dialect, outcome (resolve, pass, drop), target and reasoning.
+
+    A reference whose kind makes no edge is dropped once it has a target.
+    """
     refs = refs.select("ord", "source", "raw", "kind", "file")
     r = refs.withColumn("dialect", dialect(F.col("file")))
     r = r.withColumn("name", F.coalesce(symbol(F.col("raw"), F.col("kind"), F.col("dialect")), F.lit("")))
@@ -43,32 +111,16 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
     index = nodes.filter("name is not null and name <> ''")
     counted = index.groupBy("name").agg(F.count("*").alias("k"), F.min("id").alias("only"))
     r = r.join(counted, "name", "left").withColumn("k", F.when(denied | (F.col("name") == ""), 0).otherwise(F.coalesce("k", F.lit(0))))
-    single = r.filter("k < 2").select(*refs.columns, "dialect", F.when(F.col("k") == 1, "resolve").otherwise("drop").alias("outcome"), F.when(F.col("k") == 1, F.col("only")).alias("target"), F.when(F.col("k") == 1, "unique match").alias("reasoning"))
-
-    many = r.filter("k > 1").withColumn("file_", X.file_of(F.col("source"))).withColumn("dir", X.dir_of(F.col("file_"))).withColumn("parent", X.dir_of(F.col("dir")))
-    receiver = F.regexp_extract("raw", r"([A-Za-z_]\w*)\.[A-Za-z_]\w*\s*(?:\(.*)?$", 1)
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r";\s*$", ""), r"^import\s+(?:static\s+)?", ""), r"\.", "/")
-    many = many.withColumn("receiver", receiver).withColumn("path", path)
-    many = many.groupBy(*many.columns).agg(F.count("*").cast("int").alias("copies"))  # equal rows are narrowed once
-    cand = many.join(index.select("name", F.col("id").alias("c")), "name")
-    here = F.startswith("c", F.concat("dir", F.lit("/"))) | (X.file_of(F.col("c")) == F.col("file_"))
-    above = F.contains("dir", F.lit("/")) & F.startswith("c", F.concat("parent", F.lit("/")))
-    owner = (F.col("receiver") != "") & F.contains("c", F.concat(F.lit("::"), "receiver", F.lit("."), "name"))
-    named = F.endswith(F.regexp_replace(X.file_of(F.col("c")), r"\.java$", ""), F.col("path"))
-    tests = {"same package": here, "parent package": above, "receiver class": owner, "import path": named}
-    keys = [*refs.columns, "dialect"]
-    sums = cand.groupBy(*keys, "copies").agg(*[x for i, t in enumerate(tests.values()) for x in (F.count_if(t).alias(f"n{i}"), F.min(F.when(t, F.col("c"))).alias(f"c{i}"))])
-    plain = F.col("kind") != "call"
-    java = F.col("dialect") == "java"
-    steps = [(F.col("n0") == 1) & (plain | java), (F.col("n0") != 1) & (F.col("n1") == 1) & (plain | java), (F.col("n2") == 1) & java & ~plain, (F.col("n3") == 1) & java & (F.col("kind") == "import")]
-    target, reasoning = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, name in reversed(list(enumerate(tests))):
-        target = F.when(steps[i], F.col(f"c{i}")).otherwise(target)
-        reasoning = F.when(steps[i], F.when(F.col("dialect") == "generic", "unique match").otherwise(name)).otherwise(reasoning)
-    sums = sums.withColumn("target", target).withColumn("reasoning", reasoning)
-    outcome = F.when(F.col("target").isNotNull(), "resolve").when(java & (F.col("kind") == "import"), "drop").otherwise("pass")
-    sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return single.unionByName(sums.select(*keys, outcome.alias("outcome"), "target", "reasoning"))
+    r = r.withColumn("file_", X.file_of(F.col("source")))
+    keys = ["name", "dialect", "kind", "raw", "file_"]
+    found = narrow(r.filter("k > 1").select(*keys).distinct(), index.select("name", "id"))
+    r = r.join(found, keys, "left")
+    edge = X.edge_of_kind(F.col("kind")).isNotNull()
+    target = F.when(F.col("k") == 1, F.col("only")).when(F.col("k") > 1, F.col("target"))
+    outcome = F.when(F.col("k") == 0, "drop").when(target.isNotNull(), F.when(edge, "resolve").otherwise("drop")).when((F.col("dialect") == "java") & (F.col("kind") == "import"), "drop").otherwise("pass")
+    reasoning = F.when(F.col("k") == 1, UNIQUE).otherwise(F.col("reasoning"))
+    made = F.when(outcome == "resolve", target)
+    return r.select(*refs.columns, "dialect", outcome.alias("outcome"), made.alias("target"), F.when(made.isNotNull(), reasoning).alias("reasoning"))
 
 
 def resolved_edges(found: DataFrame) -> DataFrame:
@@ -81,5 +133,6 @@ def resolved_edges(found: DataFrame) -> DataFrame:
 
 
 def outcomes(found: DataFrame) -> DataFrame:
-    """dialect, kind, outcome, n."""
-    return found.groupBy("dialect", "kind", "outcome").agg(F.count("*").alias("n"))
+    """dialect, kind, outcome, reasoning, n and percent (of all references, one decimal)."""
+    n = found.groupBy("dialect", "kind", "outcome", "reasoning").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("dialect", "kind", "outcome", "reasoning", "n", F.round(100 * F.col("n") / F.col("all"), 1).alias("percent"))

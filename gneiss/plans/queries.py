@@ -36,8 +36,7 @@ def flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return materialise(nodes.join(flags.flags(nodes, edges), "id"), "flagged"), edges
 
 
-TYPES = "('" + "','".join(X.EDGE_TYPES) + "')"
-STOP = "('" + "','".join(X.STOP_WORDS) + "')"
+TYPES = "('IMPORTS', 'CALLS', 'CONTAINS', 'INHERITS', 'DECORATES', 'RELATES_TO', 'DEPENDS_ON')"
 TERMS = ", ".join(f"('{t}', {n})" for t, n in sorted({t: X.query_terms(QUERY).count(t) for t in X.query_terms(QUERY)}.items()))
 #: The built graph: externals added, edges of known types kept, and flags.
 BUILT = f""",
@@ -169,7 +168,7 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.hubs(*flagged(spark, sf_dir))
 
 
-_PRIORITY = "CASE type " + " ".join(f"WHEN '{t}' THEN {p}" for t, p in X.EDGE_PRIORITY.items()) + " ELSE 99 END"
+_PRIORITY = "CASE type WHEN 'CALLS' THEN 0 WHEN 'IMPORTS' THEN 1 WHEN 'INHERITS' THEN 2 WHEN 'DECORATES' THEN 3 WHEN 'CONTAINS' THEN 4 WHEN 'RELATES_TO' THEN 5 WHEN 'DEPENDS_ON' THEN 6 ELSE 99 END"
 
 
 @query(BUILT + f""", r AS (SELECT source AS id, target AS other, type, row_number() OVER (PARTITION BY source ORDER BY {_PRIORITY}, ord, target, weight) AS place FROM ve)
@@ -195,10 +194,11 @@ def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.file_index(*flagged(spark, sf_dir))
 
 
-@query("""SELECT place AS path, 'fresh' AS side FROM pl WHERE n_nationkey % 4 IN (0, 1) UNION ALL SELECT place, 'stale' FROM pl WHERE n_nationkey % 4 IN (1, 2, 3)
-UNION ALL SELECT place || '.new', 'fresh' FROM pl WHERE n_nationkey % 4 = 3 -- g_""")
+@query(""", ch AS (SELECT c_custkey % 4 AS s, place || '/C' || c_custkey || '.py' AS file FROM cu)
+SELECT file AS path, 'fresh' AS side FROM ch WHERE s IN (0, 1) UNION ALL SELECT file, 'stale' FROM ch WHERE s IN (1, 2, 3)
+UNION ALL SELECT file || '.new', 'fresh' FROM ch WHERE s = 3 -- g_""")
 def diff_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.split_diff(views.changes(spark, sf_dir))
+    return merge.split_diff(views.customer_changes(spark, sf_dir))
 
 
 @query(BUILT + """, stale AS (SELECT place AS file FROM pl WHERE n_nationkey % 4 <> 0), fresh AS (SELECT place AS file FROM pl WHERE n_nationkey % 4 IN (0, 1)),
@@ -216,21 +216,30 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-_REFS = """, rf AS (SELECT l_orderkey * 8 + l_linenumber AS ord, place || '/m' || (l_suppkey % 5) || ['.py', '.java', '.ts', '.go'][l_orderkey % 4 + 1] AS file,
-  ['python', 'java', 'javascript', 'generic'][l_orderkey % 4 + 1] AS dialect, ['call', 'inherits', 'decorator', 'call'][l_linenumber % 4 + 1] AS kind, p_name, s_id, place, l_suppkey
+_REFS = """, rx AS (SELECT row_number() OVER () AS rid, l_orderkey * 8 + l_linenumber AS ord, p_name, p_partkey, p_file, l_suppkey,
+  (CASE WHEN l_suppkey % 2 = 0 THEN place ELSE p_folder END) || '/m' || (l_suppkey % 5) || ['.py', '.java', '.ts', '.go'][l_orderkey % 4 + 1] AS file,
+  ['python', 'java', 'javascript', 'generic'][l_orderkey % 4 + 1] AS dialect, ['call', 'inherits', 'decorator', 'import'][l_linenumber % 4 + 1] AS kind
   FROM lineitem JOIN pa ON l_partkey = p_partkey JOIN sp ON l_suppkey = s_suppkey),
-ix AS (SELECT name, count(*) AS k FROM g_nodes WHERE name <> '' GROUP BY 1)"""
-
-
-@query(_REFS + """ SELECT dialect, kind, CASE WHEN k IS NULL THEN 'drop' WHEN k = 1 THEN 'resolve' ELSE 'pass' END AS outcome, count(*) AS n
-FROM rf LEFT JOIN ix ON rf.p_name = ix.name GROUP BY 1, 2, 3""")
+rf AS (SELECT *, file || '::S' || l_suppkey AS source, regexp_replace(file, '/[^/]*$', '') AS dir, kind = 'call' AND dialect = 'java' AND l_suppkey % 3 = 0 AS named,
+  CASE WHEN kind = 'call' AND dialect = 'java' AND l_suppkey % 3 = 0 THEN 'K' || p_partkey || '.' || p_name WHEN kind = 'call' THEN 'x.' || p_name || '(y)' WHEN kind <> 'import' THEN p_name
+    WHEN dialect = 'python' THEN 'from parts import ' || p_name WHEN dialect = 'java' THEN 'import static ' || replace(left(p_file, -5), '/', '.') || '.' || p_name || ';'
+    WHEN dialect = 'javascript' THEN 'import { ' || replace(p_name, ' ', '_') || ' } from "./parts"' ELSE 'parts.' || p_name END AS raw FROM rx)"""
+
+
+@query(_REFS + """, t AS (SELECT rid, dialect, kind, count(n.id) AS k,
+  count_if(plain AND (starts_with(n.file, dir || '/') OR n.file = rf.file)) AS same, count_if(plain AND contains(dir, '/') AND starts_with(n.file, regexp_replace(dir, '/[^/]*$', '') || '/')) AS above,
+  count_if(named AND contains(n.id, '::K' || p_partkey || '.' || p_name)) AS cls, count_if(dialect = 'java' AND kind = 'import' AND ends_with(n.file, p_file)) AS path
+  FROM (SELECT *, dialect = 'java' OR kind <> 'call' AS plain, CASE WHEN dialect = 'javascript' AND kind = 'import' THEN replace(p_name, ' ', '_') ELSE p_name END AS sought FROM rf) rf LEFT JOIN g_nodes n ON n.name = sought GROUP BY 1, 2, 3),
+o AS (SELECT dialect, kind, CASE WHEN k = 0 THEN 'drop' WHEN k = 1 OR same = 1 OR above = 1 OR cls = 1 OR path = 1 THEN 'resolve' WHEN dialect = 'java' AND kind = 'import' THEN 'drop' ELSE 'pass' END AS outcome,
+  CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'symbol_index: unique match' WHEN dialect = 'generic' AND (same = 1 OR above = 1) THEN 'symbol_index: unique match'
+    WHEN same = 1 OR above = 1 THEN 'symbol_index: same-package heuristic' WHEN cls = 1 THEN 'symbol_index: receiver-class heuristic' WHEN path = 1 THEN 'symbol_index: FQN path heuristic' END AS reasoning FROM t)
+SELECT dialect, kind, outcome, reasoning, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM o), 1) AS percent FROM o GROUP BY 1, 2, 3, 4""")
 def resolution_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of each reference; parts of one name in one brand's file are never in a supplier's package."""
+    """What becomes of each reference, and by which step: unique names, packages, receivers and import paths all occur."""
     return resolve.outcomes(resolve.resolve(views.refs(spark, sf_dir), views.nodes(spark, sf_dir)))
 
 
-@query(_REFS + """, u AS (SELECT file, CASE WHEN kind = 'call' THEN 'x.' || p_name || '(y)' ELSE p_name END AS raw, kind, place || '/m' || (l_suppkey % 5) || right(file, 0) AS x,
-  file || '::S' || l_suppkey AS source, ord FROM rf), f AS (SELECT file, raw, kind, source, min(ord) AS ord FROM u GROUP BY ALL),
+@query(_REFS + """, f AS (SELECT file, raw, kind, source, min(ord) AS ord FROM rf GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord, file, raw, kind, source) - 1 AS n FROM f)
 SELECT file || '#' || CAST(n // 30 AS VARCHAR) AS chunk, count(*) AS n, min(ord) AS first, max(n % 30) AS last_index FROM n GROUP BY 1 -- g_""")
 def reference_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A property graph derived from the star schema, and the same as SQL, so that graph operators run over the given tables.
 
-Regions are modules, nations classes, suppliers functions, customers methods and parts functions of a brand's file. Part names are
-not unique, some parts are left out of the nodes (their edges end in external nodes) and returned lines get a type that
+Regions are modules, nations classes, suppliers functions, customers methods and parts functions of a class of their own in one of
+the files of a brand's folders. Part names are not unique, some parts are left out of the nodes (their edges end in external nodes) and returned lines get a type that
 the builder drops. ord is computed from keys: the class of row times 10**12, then its key.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEP = 10**12
@@ -32,6 +32,14 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("n_nationkey", "n_name", "r_name", "r_regionkey", F.concat(F.lit("r/"), "r_name").alias("region_id"), F.concat(F.lit("r/"), "r_name", F.lit("::"), "n_name").alias("nation_id"), F.concat(F.lit("r/"), "r_name", F.lit("/"), "n_name").alias("place"))
 
 
+def _part_file() -> Column:
+    return F.concat(F.lit("parts/"), "p_brand", F.lit("/T"), F.col("p_size") % 10, F.lit("/f"), F.col("p_partkey") % 4, F.lit(".java"))
+
+
+def _part_id() -> Column:
+    return F.concat(_part_file(), F.lit("::K"), "p_partkey", F.lit("."), "p_name")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.broadcast(_places(spark, sf_dir))
 
@@ -45,7 +53,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.select(*row(3, F.col("c_custkey"), F.concat("place", F.lit("::C"), "c_custkey"), "method", F.col("c_name"), F.col("n_nationkey")))
     p = _table(spark, sf_dir, "part").filter("p_partkey % 97 <> 0")
-    p = p.select(*row(4, F.col("p_partkey"), F.concat(F.lit("parts/"), "p_brand", F.lit("::P"), "p_partkey"), "function", F.col("p_name"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey") % 7)))
+    p = p.select(*row(4, F.col("p_partkey"), _part_id(), "function", F.col("p_name"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey") % 7)))
     return r.unionByName(n).unionByName(s).unionByName(c).unionByName(p)
 
 
@@ -58,7 +66,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1.0)
     s = _table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("s_id", F.concat("place", F.lit("::S"), "s_suppkey"))
     c = _table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("c_id", F.concat("place", F.lit("::C"), "c_custkey"))
-    p = _table(spark, sf_dir, "part").withColumn("p_id", F.concat(F.lit("parts/"), "p_brand", F.lit("::P"), "p_partkey"))
+    p = _table(spark, sf_dir, "part").withColumn("p_id", _part_id())
     li, o = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
     a = places.select(*row(0, F.col("n_nationkey"), F.col("region_id"), F.col("nation_id"), F.lit("CONTAINS"), one))
     b = s.select(*row(1, F.col("s_suppkey"), F.col("nation_id"), F.col("s_id"), F.lit("CONTAINS"), one))
@@ -82,19 +90,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference per line item, to a part's name; kinds and languages go round by line and order."""
+    """A reference per line item, to a part's name, half of them from a supplier's file and half from one in the part's own folder; kinds
+    and languages go round by line and order. Every third Java call names the part's class, and Java imports its file."""
     s = _table(spark, sf_dir, "supplier").join(F.broadcast(_places(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"))
-    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    folder = F.concat(F.lit("parts/"), "p_brand", F.lit("/T"), F.col("p_size") % 10)
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", folder.alias("folder"), F.regexp_replace(F.regexp_replace(_part_file(), r"\.java$", ""), "/", ".").alias("path"))
     li = _table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).join(s.select("s_suppkey", "place", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    ext = F.element_at(F.array(*map(F.lit, (".py", ".java", ".ts", ".go"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
-    kind = F.element_at(F.array(*map(F.lit, ("call", "inherits", "decorator", "call"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    call = F.concat(F.lit("x."), F.col("p_name"), F.lit("(y)"))
+    turn = (F.col("l_orderkey") % 4 + 1).cast("int")
+    ext = F.element_at(F.array(*map(F.lit, (".py", ".java", ".ts", ".go"))), turn)
+    kind = F.element_at(F.array(*map(F.lit, ("call", "inherits", "decorator", "import"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    call = F.when((turn == 2) & (F.col("l_suppkey") % 3 == 0), F.concat(F.lit("K"), "p_partkey", F.lit("."), "p_name")).otherwise(F.concat(F.lit("x."), F.col("p_name"), F.lit("(y)")))
+    imports = F.when(turn == 1, F.concat(F.lit("from parts import "), "p_name")).when(turn == 2, F.concat(F.lit("import static "), "path", F.lit("."), "p_name", F.lit(";")))
+    imports = imports.when(turn == 3, F.concat(F.lit("import { "), F.translate("p_name", " ", "_"), F.lit(' } from "./parts"'))).otherwise(F.concat(F.lit("parts."), "p_name"))
+    file = F.concat(F.when(F.col("l_suppkey") % 2 == 0, F.col("place")).otherwise(F.col("folder")), F.lit("/m"), F.col("l_suppkey") % 5, ext)
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat("place", F.lit("/m"), F.col("l_suppkey") % 5, ext, F.lit("::S"), "l_suppkey").alias("source"),
-        F.when(kind == "call", call).otherwise(F.col("p_name")).alias("raw"), kind.alias("kind"), F.concat("place", F.lit("/m"), F.col("l_suppkey") % 5, ext).alias("file"), F.col("l_linenumber").alias("line"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat(file, F.lit("::S"), "l_suppkey").alias("source"),
+        F.when(kind == "call", call).when(kind == "import", imports).otherwise(F.col("p_name")).alias("raw"), kind.alias("kind"), file.alias("file"), F.col("l_linenumber").alias("line"),
     )
 
 
+def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change per customer's file: added, modified, deleted and renamed in turn."""
+    c = _table(spark, sf_dir, "customer").join(F.broadcast(_places(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
+    status = F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = c.select(F.col("c_custkey").alias("ord"), status.alias("status"), F.concat("place", F.lit("/C"), "c_custkey", F.lit(".py")).alias("file"))
+    return rows.select("ord", "status", F.when(F.col("status") == "R", F.concat("file", F.lit(".new"))).otherwise(F.col("file")).alias("path"), F.when(F.col("status") == "R", F.col("file")).alias("old_path"))
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change per nation's file: added, modified, deleted and renamed in turn."""
     n = _places(spark, sf_dir)
@@ -107,13 +129,14 @@ pl AS (SELECT n_nationkey, n_name, r_name, r_regionkey, 'r/' || r_name AS region
   'r/' || r_name || '/' || n_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey),
 sp AS (SELECT *, place || '::S' || s_suppkey AS s_id FROM supplier JOIN pl ON s_nationkey = n_nationkey),
 cu AS (SELECT *, place || '::C' || c_custkey AS c_id FROM customer JOIN pl ON c_nationkey = n_nationkey),
-pa AS (SELECT *, 'parts/' || p_brand || '::P' || p_partkey AS p_id FROM part),
+pf AS (SELECT *, 'parts/' || p_brand || '/T' || (p_size % 10) AS p_folder, 'parts/' || p_brand || '/T' || (p_size % 10) || '/f' || (p_partkey % 4) || '.java' AS p_file FROM part),
+pa AS (SELECT *, p_file || '::K' || p_partkey || '.' || p_name AS p_id FROM pf),
 g_nodes AS (
   SELECT CAST(r_regionkey AS BIGINT) AS ord, 'r/' || r_name AS id, 'module' AS type, r_name AS name, 'r/' || r_name AS file, CAST(r_regionkey AS INT) AS community FROM region
   UNION ALL SELECT 1000000000000 + n_nationkey, nation_id, 'class', n_name, region_id, CAST(n_nationkey AS INT) FROM pl
   UNION ALL SELECT 2000000000000 + s_suppkey, s_id, 'function', s_name, place, CAST(n_nationkey AS INT) FROM sp
   UNION ALL SELECT 3000000000000 + c_custkey, c_id, 'method', c_name, place, CAST(n_nationkey AS INT) FROM cu
-  UNION ALL SELECT 4000000000000 + p_partkey, p_id, 'function', p_name, 'parts/' || p_brand, CASE WHEN p_partkey % 50 <> 0 THEN CAST(p_partkey % 7 AS INT) END FROM pa WHERE p_partkey % 97 <> 0),
+  UNION ALL SELECT 4000000000000 + p_partkey, p_id, 'function', p_name, p_file, CASE WHEN p_partkey % 50 <> 0 THEN CAST(p_partkey % 7 AS INT) END FROM pa WHERE p_partkey % 97 <> 0),
 g_edges AS (
   SELECT CAST(n_nationkey AS BIGINT) AS ord, region_id AS source, nation_id AS target, 'CONTAINS' AS type, 1.0::DOUBLE AS weight FROM pl
   UNION ALL SELECT 1000000000000 + s_suppkey, nation_id, s_id, 'CONTAINS', 1.0 FROM sp

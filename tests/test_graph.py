@@ -1,6 +1,7 @@
 """Graph operators on small fixtures, and the registered queries against their SQL."""
 
 import base64
+import hashlib
 import math
 
 import duckdb
@@ -94,15 +95,19 @@ def test_search_against_python(spark):
             want.append((round(s * (1.3 if i == 4 else 1), 9), i))
     got = [(r["score"], r["ord"]) for r in search.search(nodes, "parse the file").orderBy("rank").collect()]
     assert got == sorted(want, key=lambda x: (-x[0], x[1]))
-    assert X.query_terms("parse") == ["parse", "parse"] and X.query_terms("of") == ["of"]
+    assert X.query_terms("parse") == ["parse", "parse"] and X.query_terms("the") == ["the"]
 
 
 def test_resolution_table(spark):
     nodes = spark.createDataFrame([(0, "p/a.py::only", "only"), (1, "p/q/b.py::twice", "twice"), (2, "z/c.py::twice", "twice"), (3, "j/X.java::X.go", "go"), (4, "j/Y.java::Y.go", "go"), (5, "com/acme/Tool.java::Tool", "Tool"), (6, "other/Tool.java::Tool", "Tool")], "ord long, id string, name string")
-    refs = [(0, "p/m.py::f", "x.only(1)", "call", "p/m.py"), (1, "p/q/m.py::f", "twice", "inherits", "p/q/m.py"), (2, "p/q/m.py::f", "twice()", "call", "p/q/m.py"), (3, "w/M.java::M", "Y.go(1)", "call", "w/M.java"), (4, "w/M.java::M", "import com.acme.Tool;", "import", "w/M.java"), (5, "w/M.java::M", "import a.b.Tool;", "import", "w/M.java"), (6, "p/m.py::f", "from a import b, c", "import", "p/m.py"), (7, "w/M.java::M", "list.add(1)", "call", "w/M.java"), (8, "p/m.py::f", "nothing()", "call", "p/m.py"), (1, "p/q/m.py::f", "twice", "inherits", "p/q/m.py")]
+    refs = [(0, "p/m.py::f", "x.only(1)", "call", "p/m.py"), (1, "p/q/m.py::f", "twice", "inherits", "p/q/m.py"), (2, "p/q/m.py::f", "twice()", "call", "p/q/m.py"), (3, "w/M.java::M", "Y.go(1)", "call", "w/M.java"), (4, "w/M.java::M", "import com.acme.Tool;", "import", "w/M.java"), (5, "w/M.java::M", "import a.b.Tool;", "import", "w/M.java"), (6, "p/m.py::f", "from a import b, c", "import", "p/m.py"), (7, "w/M.java::M", "log.info(1)", "call", "w/M.java"), (8, "p/m.py::f", "nothing()", "call", "p/m.py"), (1, "p/q/m.py::f", "twice", "inherits", "p/q/m.py")]
     got = resolve.resolve(spark.createDataFrame(refs, "ord long, source string, raw string, kind string, file string"), nodes)
     assert rows(got, "ord", "outcome", "target") == sorted([(0, "resolve", "p/a.py::only"), (1, "resolve", "p/q/b.py::twice"), (1, "resolve", "p/q/b.py::twice"), (2, "pass", None), (3, "resolve", "j/Y.java::Y.go"), (4, "resolve", "com/acme/Tool.java::Tool"), (5, "drop", None), (6, "drop", None), (7, "drop", None), (8, "drop", None)], key=str)
     assert rows(resolve.resolved_edges(got), "type", "confidence")[0] == ("CALLS", "INFERRED")
+    more = spark.createDataFrame([(0, "s/UserService.java::UserService.save1", "save1"), (1, "s/B.java::B.save1", "save1"), (2, "a/b/Utils.java::Utils.helper", "helper"), (3, "c/Utils.java::Utils.helper", "helper"), (4, "root.py::x", "x"), (5, "q/r.py::x", "x"), (6, "d/OrderServiceImpl.java::OrderServiceImpl.go1", "go1"), (7, "d/C.java::C.go1", "go1")], "ord long, id string, name string")
+    refs = [(0, "w/M.java::M", "this.userService.save1", "call", "w/M.java"), (1, "w/M.java::M", "import static a.b.Utils.helper;", "import", "w/M.java"), (2, "root.py::f", "x", "inherits", "root.py"), (3, "w/M.java::M", "orderService.go1", "call", "w/M.java"), (4, "q/z/m.go::f", "x", "decorator", "q/z/m.go"), (5, "w/M.java::M", "x", "odd", "w/M.java")]
+    got = resolve.resolve(spark.createDataFrame(refs, "ord long, source string, raw string, kind string, file string"), more)
+    assert rows(got, "ord", "target", "reasoning") == [(0, "s/UserService.java::UserService.save1", resolve.RECEIVER), (1, "a/b/Utils.java::Utils.helper", resolve.PATH), (2, "root.py::x", resolve.PACKAGE), (3, "d/OrderServiceImpl.java::OrderServiceImpl.go1", resolve.RECEIVER), (4, "q/r.py::x", resolve.UNIQUE), (5, None, None)]
 
 
 def test_import_names(spark):
@@ -206,6 +211,9 @@ def test_small_functions(spark):
     assert one(X.owner_of(F.lit("git@github.com:o/r.git"))) == "o" and one(X.repo_of(F.lit("https://github.com/o/r/"))) == "r"
     assert one(X.location(F.lit("f"), F.lit(3), F.lit(9))) == "f:3-9" and one(X.location(F.lit("f"), F.lit(3), F.lit(3))) == "f:3"
     assert one(X.signature(F.array(F.lit("a"), F.lit("b")), F.lit("R"), F.lit("method"))) == "(a, b) -> R"
+    for url in ("https://github.com/O/r/tree/main", "git@github.com:o/R.git", "http://github.com/o/r"):
+        assert one(X.repo_id(F.lit(url))) == hashlib.sha256(b"github.com/o/r").hexdigest()[:16]
+    assert one(X.repo_id(F.lit("https://example.com/o/r"))) is None
     assert one(X.slug(F.lit("My Repo!"))) == "my-repo" and one(X.truncated(F.lit("abcdef"), 3)) == "abc..."
     frames = spark.createDataFrame([("m", 2, "delta", "lo"), ("m", 1, "delta", "hel"), ("m", 3, "done", None)], "message_id string, seq int, kind string, text string")
     assert tuple(patches.assemble_messages(frames).first()) == ("m", "hello", True)
