@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gneiss.operators.flags import projection
+from gneiss.operators.flags import flags, projection
 from gneiss.session import materialise
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -133,6 +133,13 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, see
     return place.join(_numbered(sizes), "at").select(F.col("vertex").alias("id"), "community")
 
 
+def cluster_graph(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
+    """``nodes`` with the communities found, and the flags that follow from them."""
+    found = materialise(communities(nodes, edges, resolution, seed), "communities")
+    own = nodes.drop("community", "is_god", "is_orphan").join(found, "id", "left")
+    return own.join(flags(own, edges), "id")
+
+
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """q, one row: modularity of labels (id, community) over the projection."""
     p = projection(edges)

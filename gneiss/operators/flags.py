@@ -25,6 +25,11 @@ def flags(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> D
     return out.select("id", (F.coalesce("n", F.lit(0)) >= least).alias("is_god"), F.col("degree").isNull().alias("is_orphan"))
 
 
+def summary(flagged: DataFrame) -> DataFrame:
+    """n_communities, n_gods and n_orphans of a flagged graph, one row."""
+    return flagged.agg(F.countDistinct("community").alias("n_communities"), F.count_if("is_god").alias("n_gods"), F.count_if("is_orphan").alias("n_orphans"))
+
+
 def frequency(rows: DataFrame, column: str) -> DataFrame:
     """value, n and percent (one decimal) of a column, null as unknown."""
     n = rows.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))

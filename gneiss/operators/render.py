@@ -15,6 +15,7 @@ from gneiss.operators import flags, search, traverse
 
 FORMATS = {
     "claude": (".claude/skills/{slug}/SKILL.md", True),
+    "copilot": (".github/copilot-instructions.md", False),
     "windsurf": (".windsurf/rules/{slug}.md", True),
     "cursor": (".cursor/rules/{slug}.mdc", True),
     "plain": ("{slug}.md", False),

@@ -44,6 +44,20 @@ def community(nodes: DataFrame, ids: DataFrame, most: int = MAX_MEMBERS) -> tupl
     return summary, members.withColumn("place", rank).filter(F.col("place") <= most).select("community", "place", "id", "name")
 
 
+def leading_members(nodes: DataFrame, edges: DataFrame, most: int = MAX_MEMBERS) -> DataFrame:
+    """community, place, id, degree of each community's first members: hubs, then by degree."""
+    own = nodes.filter("community is not null").join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc("is_god"), F.desc("degree"), "ord"))
+    return own.withColumn("place", rank).filter(F.col("place") <= most).select("community", "place", "id", "degree")
+
+
+def first_communities(nodes: DataFrame, hits: DataFrame, most: int = 4) -> DataFrame:
+    """place, community: the communities of some hits (rank, id), in the order in which they are first met."""
+    met = hits.join(nodes.select("id", "community"), "id").filter("community is not null").groupBy("community").agg(F.min("rank").alias("first"))
+    first = met.orderBy("first", "community").limit(most)  # a few rows
+    return first.select(F.row_number().over(W.orderBy("first", "community")).alias("place"), "community")
+
+
 def view(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] = (), gods_only: bool = False, orphans_only: bool = False, clusters: tuple[int, ...] = (), query: str = "") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) that pass all filters, both ends of an edge surviving; with a query, its matches and their direct neighbours."""
     n = nodes
@@ -133,6 +147,8 @@ def call_paths(edges: DataFrame, starts: DataFrame, hops: int = PATH_HOPS, child
     out = told[0]
     for t in told[1:]:
         out = out.unionByName(t)
+    # parallel calls bring forth the same path again; its first place counts
+    out = out.groupBy("hub_rank", "path").agg(F.min(F.struct("taken", "group", "child")).alias("x")).select("hub_rank", "path", "x.*")
     order: list[Column | str] = ["hub_rank", "taken", "group"]
     per = out.groupBy(*order).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a few rows per hub

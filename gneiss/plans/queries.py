@@ -57,13 +57,14 @@ _SPLIT = "string_split(regexp_replace(regexp_replace({w}, '([a-z0-9])([A-Z])', '
 TOKENS = "flatten(list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z][A-Za-z0-9]*'), lambda w: list_concat([lower(w)], list_filter(list_transform(" + _SPLIT.format(w="w") + ", lambda p: lower(p)), lambda p: p <> lower(w) AND p <> ''))))"
 
 
-def _bm25(corpus: str) -> str:
-    fields = " UNION ALL ".join(f"SELECT ord, unnest({TOKENS.format(c=c)}) AS t, {w} AS w FROM {corpus}" for c, w in search.WEIGHTS.items() if c != "neighbours")
+def _bm25(corpus: str, terms: str = TERMS, key: str = "ord", near: bool = False) -> str:
+    weights = {"name": 3.0, "id": 2.0, "file": 1.0, "type": 1.0} | ({"neighbours": 1.0} if near else {})
+    fields = " UNION ALL ".join(f"SELECT {key} AS ord, unnest({TOKENS.format(c=c)}) AS t, {w} AS w FROM {corpus}" for c, w in weights.items())
     return f"""
 tk AS ({fields}),
-dl AS (SELECT c.ord, coalesce(sum(w), 0) AS dl FROM {corpus} c LEFT JOIN tk ON c.ord = tk.ord GROUP BY 1),
+dl AS (SELECT c.{key} AS ord, coalesce(sum(w), 0) AS dl FROM {corpus} c LEFT JOIN tk ON c.{key} = tk.ord GROUP BY 1),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-q(t, times) AS (VALUES {TERMS}),
+q(t, times) AS (VALUES {terms}),
 tf AS (SELECT ord, t, sum(w) AS tf FROM tk WHERE t IN (SELECT t FROM q) GROUP BY ALL),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT tf.ord, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
@@ -247,6 +248,41 @@ def reference_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.distinct_refs(views.refs(spark, sf_dir)).groupBy("chunk").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ref_index").cast("long").alias("last_index"))
 
 
+GRAPH_QUERY = "red widget of supplier in Brand"
+#: The ten first neighbours' names are a field of a node, hubs weigh more and nodes without an edge less.
+HITS = """, nr AS (SELECT node, coalesce(b.name, a.other) AS n, row_number() OVER (PARTITION BY node ORDER BY adj_ord, a.type, source, target, weight) AS r FROM adj a LEFT JOIN bn b ON a.other = b.id),
+co AS (SELECT fn.*, coalesce(x, '') AS neighbours FROM fn LEFT JOIN (SELECT node, string_agg(n, ' ' ORDER BY r) AS x FROM nr WHERE r <= 10 GROUP BY 1) ON id = node),
+""" + _bm25("co", "('red', 2), ('widget', 2), ('of', 2), ('supplier', 2), ('in', 2), ('brand', 2)", "id", True).strip() + """,
+hit AS (SELECT CAST(row_number() OVER (ORDER BY s DESC, ord NULLS FIRST) AS INT) AS rank, ord, id, s AS score FROM
+  (SELECT co.ord, id, round(s * CASE WHEN is_god THEN 1.3 ELSE 1 END * CASE WHEN is_orphan THEN 0.8 ELSE 1 END, 9) AS s FROM sc JOIN co ON sc.ord = co.id) ORDER BY s DESC, ord NULLS FIRST LIMIT 8)"""
+
+
+@query(BUILT + HITS + """, r AS (SELECT rank, node, other, direction, a.type, row_number() OVER (PARTITION BY node ORDER BY adj_ord, a.type, source, target, weight) AS place FROM adj a JOIN hit ON node = hit.id)
+SELECT rank, node AS id, CAST(place AS INT) AS place, other, coalesce(b.name, other) AS other_name, direction, r.type FROM r LEFT JOIN bn b ON other = b.id WHERE place <= 15""")
+def search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of the best nodes for a question, the names of neighbours being searched too."""
+    nodes, edges = flagged(spark, sf_dir)
+    return search.search_with_neighbours(nodes, edges, GRAPH_QUERY)
+
+
+@query(BUILT + HITS + """, c AS (SELECT community, min(rank) AS f FROM hit JOIN fn USING (id) WHERE community IS NOT NULL GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY f, community) AS INT) AS place, community FROM c ORDER BY f, community LIMIT 4""")
+def hit_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = flagged(spark, sf_dir)
+    return traverse.first_communities(nodes, search.search(nodes, GRAPH_QUERY, edges))
+
+
+@query(BUILT + """, r AS (SELECT community, id, degree, row_number() OVER (PARTITION BY community ORDER BY is_god DESC, degree DESC, ord) AS place FROM fn WHERE community IS NOT NULL)
+SELECT community, CAST(place AS INT) AS place, id, degree FROM r WHERE place <= 20""")
+def leading_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.leading_members(*flagged(spark, sf_dir))
+
+
+@query(BUILT + "SELECT count(DISTINCT community) AS n_communities, count_if(is_god) AS n_gods, count_if(is_orphan) AS n_orphans FROM fn")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags.summary(flagged(spark, sf_dir)[0])
+
+
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities found by local moving; held against invariants in the tests."""

@@ -10,8 +10,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.functions import text as X
+
 GRAPH_KEY = ["user_id", "repo_url", "branch"]
 GRAPHS = "graph_id string, user_id string, repo_url string, branch string, status string, n_nodes long, n_edges long, n_communities long, last_commit_sha string, updated_at timestamp"
+TREES = "tree_id string, graph_id string, status string, n_nodes long, n_edges long, last_commit_sha string"
 CLONES = "user_id string, owner string, repo string, branch string, path string, last_sha string, size_bytes long"
 
 
@@ -66,6 +69,28 @@ class Store:
         """A user's graphs, newest first."""
         return self.graphs().filter(F.col("user_id") == user_id).orderBy(F.desc("updated_at"), "graph_id")
 
+    def save_clusters(self, graph_id: str, flagged: DataFrame) -> None:
+        """Record what clustering found, and that the graph is ready; an unknown graph is an error."""
+        n = flagged.agg(F.countDistinct("community")).first()[0]
+        if not self.update_graph(graph_id, n_communities=F.lit(n).cast("long"), status=F.lit("READY"), updated_at=F.current_timestamp()):
+            raise KeyError(f"no graph {graph_id}")
+
+    def trees(self) -> DataFrame:
+        return self.read("trees", TREES)
+
+    def save_trees(self, rows: DataFrame) -> None:
+        self.replace("trees", upsert(self.trees(), rows, ["tree_id"]))
+
+    def link_tree(self, tree_id: str, graph_id: str) -> None:
+        """The tree belongs to the graph from now on; other trees of the graph go."""
+        own = F.col("tree_id") == tree_id
+        kept = self.trees().filter(own | F.col("graph_id").isNull() | (F.col("graph_id") != graph_id))
+        self.replace("trees", kept.withColumn("graph_id", F.when(own, F.lit(graph_id)).otherwise(F.col("graph_id"))))
+
+    def with_trees(self) -> DataFrame:
+        """Graphs with the tree of each, null where there is none."""
+        return self.graphs().join(self.trees().select("graph_id", "tree_id", F.col("status").alias("tree_status")), "graph_id", "left")
+
     def save_clones(self, rows: DataFrame) -> None:
         """A null commit never replaces a known one."""
         self.replace("clones", upsert(self.read("clones", CLONES), rows, ["user_id", "owner", "repo", "branch"], known=("last_sha",)))
@@ -85,7 +110,7 @@ class Store:
         for name, rows in (("nodes", nodes), ("edges", edges)):
             rows.withColumns(key).write.mode("append").partitionBy("graph_id", "version").parquet(f"{self.root}/snapshots/{name}")
         counts = nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(edges.agg(F.count("*").alias("n_edges"))))
-        counts.withColumns(key | {"sha": F.lit(sha), "at": F.current_timestamp()}).write.mode("append").parquet(f"{self.root}/history")
+        counts.withColumns(key | {"sha": F.lit(sha), "at": F.current_timestamp()}).write.mode("append").partitionBy("graph_id").parquet(f"{self.root}/history")
         return version
 
     def snapshot(self, name: str, graph_id: str, version: int) -> DataFrame:
@@ -99,8 +124,19 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/sync_runs")
 
     def delete_graph(self, graph_id: str) -> None:
-        """Take a graph from the table; its runs are kept."""
+        """Take a graph, its trees, history, snapshots and clone away; its runs are kept. Snapshots and history are partitioned by graph,
+        so nothing of other graphs is written again."""
+        gone = self.graphs().filter(F.col("graph_id") == graph_id).select("user_id", F.lower("repo_url").alias("url"), "branch")
+        owner, repo = X.owner_of(F.col("url")), X.repo_of(F.col("url"))
+        gone = gone.select("user_id", "branch", owner.alias("owner"), repo.alias("repo"))
+        clones = self.read("clones", CLONES)
+        same = [clones[c] == gone[c] for c in ("user_id", "branch")] + [F.lower(clones[c]) == gone[c] for c in ("owner", "repo")]
+        self.replace("clones", clones.join(gone, same, "left_anti"))
+        self.replace("trees", self.trees().filter(F.col("graph_id").isNull() | (F.col("graph_id") != graph_id)))
         self.replace("graphs", self.graphs().filter(F.col("graph_id") != graph_id))
+        for table in ("snapshots/nodes", "snapshots/edges", "history"):
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/graph_id={graph_id}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), known: tuple[str, ...] = ()) -> DataFrame:

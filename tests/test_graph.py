@@ -13,7 +13,7 @@ from gneiss.functions import text as X
 from gneiss.operators import answers, build, cluster, flags, merge, resolve, search, traverse
 from gneiss.plans import queries as Q
 from gneiss.sources import files
-from gneiss.sources.store import GRAPHS, Store
+from gneiss.sources.store import GRAPHS, TREES, Store
 from gneiss.streaming import patches
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,8 @@ def test_neighbours_and_chain(spark):
 def test_call_paths(spark):
     edges = spark.createDataFrame([(i, s, t, "CALLS", 1.0) for i, (s, t) in enumerate([("h", "a"), ("h", "b"), ("h", "c"), ("h", "d"), ("a", "h"), ("a", "x"), ("x", "y"), ("y", "z"), ("z", "w")])], "ord long, source string, target string, type string, weight double")
     starts = spark.createDataFrame([(1, "h")], "hub_rank int, id string")
+    twice = edges.unionAll(edges.filter("ord = 1").withColumn("ord", F.lit(20).cast("long")))
+    assert [r["path"] for r in traverse.call_paths(twice, starts).orderBy("place").collect()] == [["h", "b"], ["h", "c"], ["h", "a", "x", "y", "z"]]
     got = [r["path"] for r in traverse.call_paths(edges, starts).orderBy("place").collect()]
     assert got == [["h", "b"], ["h", "c"], ["h", "a", "x", "y", "z"]]
 
@@ -201,8 +203,17 @@ def test_store_and_stream(spark, tmp_path):
         patches.stream_changes(spark, str(changes), f"{tmp_path}/cp{_}", store, extract).awaitTermination()
     assert store.next_version("g1") == 3 and store.snapshot("nodes", "g1", 2).filter("file = 'b.py'").count() == 0
     assert rows(store.runs(), "mode", "nodes_removed") == [("PATCH", 2)]
+    with pytest.raises(KeyError):
+        store.save_clusters("none", nodes)
+    store.save_clusters("g1", nodes)
+    assert tuple(store.graphs().select("n_communities", "status").first()) == (3, "READY")
+    store.save_trees(spark.createDataFrame([("t1", "g1", "READY", 1, 1, "s"), ("t2", None, "READY", 1, 1, "s"), ("t3", "g9", "READY", 1, 1, "s")], TREES))
+    store.link_tree("t2", "g1")
+    assert rows(store.trees(), "tree_id", "graph_id") == [("t2", "g1"), ("t3", "g9")] and rows(store.with_trees(), "graph_id", "tree_id") == [("g1", "t2")]
+    store.record_version("g9", nodes, edges, "s1")
     store.delete_graph("g1")
-    assert store.graphs().count() == 0 and store.runs().count() == 1
+    assert store.graphs().count() == 0 and store.runs().count() == 1 and rows(store.trees(), "tree_id") == [("t3",)]
+    assert store.next_version("g1") == 1 and store.next_version("g9") == 2 and store.snapshot("nodes", "g9", 1).count() == nodes.count()
 
 
 def test_small_functions(spark):
@@ -214,12 +225,13 @@ def test_small_functions(spark):
     for url in ("https://github.com/O/r/tree/main", "git@github.com:o/R.git", "http://github.com/o/r"):
         assert one(X.repo_id(F.lit(url))) == hashlib.sha256(b"github.com/o/r").hexdigest()[:16]
     assert one(X.repo_id(F.lit("https://example.com/o/r"))) is None
+    assert one(X.is_accessor(F.lit("getName"))) and not one(X.is_accessor(F.lit("getaway"))) and one(X.safe_filename(F.lit("a/b c.d"))) == "a-b-c.d"
     assert one(X.slug(F.lit("My Repo!"))) == "my-repo" and one(X.truncated(F.lit("abcdef"), 3)) == "abc..."
     frames = spark.createDataFrame([("m", 2, "delta", "lo"), ("m", 1, "delta", "hel"), ("m", 3, "done", None)], "message_id string, seq int, kind string, text string")
     assert tuple(patches.assemble_messages(frames).first()) == ("m", "hello", True)
 
 
-@pytest.mark.parametrize("name", ["graph_counts", "undirected_projection", "god_and_orphan_flags", "merged_edges", "resolution_outcomes", "search_documents"])
+@pytest.mark.parametrize("name", ["graph_counts", "undirected_projection", "god_and_orphan_flags", "merged_edges", "resolution_outcomes", "search_documents", "search_graph", "hit_communities", "leading_members", "graph_summary", "diff_sides"])
 def test_query_against_sql(spark, name):
     db = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents".split():
