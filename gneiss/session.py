@@ -55,7 +55,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """Hint a broadcast only for a table whose plan is known to be within a number of bytes (a written table is: its files are
     measured, compressed); beyond it Spark chooses, which means that it shuffles both sides."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
