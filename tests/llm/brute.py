@@ -118,3 +118,49 @@ def op7(texts: list[str | None]) -> list[dict]:
     ids = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     pack = lambda x: b"".join(i.to_bytes(4, "little") for i in x)
     return [{"n_tokens": len(x), "ids_sha256": sha(pack(x)), "decoded_sha256": sha(t.decode(x, skip_special_tokens=False))} for x in ids]
+
+
+def disclosing(texts: list[str | None], context: int = 120, support: int = 2, share: float = 0.9) -> list[list[tuple]]:
+    """The added spans (kind, start, end) of each text, from plain counts over all texts."""
+    import math
+
+    import regex
+
+    term = regex.compile(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+")
+    terms = lambda t: {m.lower() for m in term.findall(re.sub(PII["email"][0], " ", t))}
+    seen: dict = {}
+    for t in texts:
+        t = t or ""
+        for s, _, k, e in spans(t, PII):
+            left, right = t[max(0, s - context) : s], t[e : e + context]
+            left = re.sub(r"^[^\x20\x09-\x0D]*", "", left) if s > context else left
+            right = re.sub(r"[^\x20\x09-\x0D]*$", "", right) if len(right) == context else right
+            seen.setdefault(f"{k}:{t[s:e].lower()}", set()).add(tuple(sorted(terms(" ".join(x for x in (left, right))))))
+    own = {t or "": terms(t or "") for t in texts}
+    n, held = len(own), Counter(x for ws in own.values() for x in ws)
+    told = set()
+    for contexts in seen.values():
+        if len(contexts) >= support:
+            for w, c in Counter(x for ws in contexts for x in ws).items():
+                pmi = math.log2(c * n / (len(contexts) * max(held[w], c)))
+                if c >= support and pmi >= math.log2(n) / 2 - 1e-12 and pmi >= share * math.log2(n / len(contexts)) - 1e-12:
+                    told.add(w)
+    out = []
+    for t in texts:
+        base = spans(t, PII)
+        found = [m.span() for m in term.finditer(t or "") if m[0].lower() in told & own[t or ""]]
+        out.append([("term", s, e) for s, e in found if not any(a < e and s < b for a, _, _, b in base)])
+    return out
+
+
+def linked(text: str | None, scope: int = 200) -> list[tuple]:
+    """The weak parts (kind, start, end) of a text that have a complementary part in reach."""
+    import regex
+
+    from gneiss.llm.secrets import ROLE, WEAK
+
+    weak = [(m.start(), list(ROLE).index(k), k, m.end()) for k, p in WEAK.items() for m in regex.finditer(p, text or "")]
+    base = spans(text, SECRETS)
+    asks = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("identifier", "secret")}
+    near = lambda x: any(abs(y[0] - x[0]) <= scope and ROLE[y[2]] in asks[ROLE[x[2]]] for y in weak + base)
+    return [(k, s, e) for s, o, k, e in sorted(weak) if near((s, o, k, e)) and not any(a < e and s < b for a, _, _, b in base)]

@@ -32,6 +32,33 @@ def test_pii_terms(spark):
     assert [out[100 + i] for i in range(300)] == noise
 
 
+def test_methods_of_pii_and_secrets_act(spark):
+    """On a given table both add spans, those that plain counting and plain comparison of all parts add."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    told = lambda found: {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in found.collect()}
+    got, want = told(pii.digest(pii.scan(docs))), dict(zip(texts, brute.disclosing(list(texts.values()))))
+    for i, t in texts.items():
+        assert got[i] == [f"{k}:{s}:{e}" for s, _, k, e in brute.spans(t, brute.PII)] + [f"{k}:{s}:{e}" for k, s, e in want[i]]
+    assert any(want.values())
+    got, some = told(secrets.digest(secrets.scan(docs))), 0
+    for i, t in texts.items():
+        more = brute.linked(t)
+        some += len(more)
+        assert sorted(got[i]) == sorted([f"{k}:{s}:{e}" for s, _, k, e in brute.spans(t, brute.SECRETS)] + [f"{k}:{s}:{e}" for k, s, e in more])
+    assert some
+
+
+def test_long_keys_and_many_spans(spark):
+    """A key is looked at to its end; hundreds of matches keep their places; many spans are replaced."""
+    key = "q" * 500 + "Z9"
+    many = " ".join(f"a{i}@x{i}.org" for i in range(700))
+    docs = spark.createDataFrame([(0, f"user: alice77 {key}"), (1, many)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_linked"] for r in secrets.digest(secrets.scan(docs)).collect()}[0] == 2
+    assert pii.digest(pii.scan(docs)).filter("doc_id = 1").first()["base_sha256"] == brute.op1(many)["base_sha256"]
+    assert pii.sanitise(docs).filter("doc_id = 1").first()["text"] == " ".join(["<EMAIL>"] * 700)
+
+
 def test_secrets(docs, rows, empty):
     found = secrets.digest(secrets.scan(docs))
     held(found, rows, [brute.op10(r[1]) for r in rows])
@@ -136,6 +163,27 @@ def test_mixing(docs, rows, empty):
     assert mixing.digest(*mixing.mix(empty)).count() == 0
 
 
+def test_mixed_documents(spark, docs):
+    """Rows that share an id are drawn each for itself; a column may have any name; sizes and targets agree with SQL."""
+    import duckdb
+
+    rows = [(7 if i % 2 else i, f"w{i} " * (5 + i % 9), "a" if i % 3 else "b", i, i, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `_copy` int, row int, shard int")
+    draws, sizes = mixing.mix(df.select("doc_id", "text", "source"), whole=True, block_words=60, shard_blocks=2)
+    mixed = mixing.mixed_documents(df, block_words=60, shard_blocks=2)
+    assert mixed.columns == df.columns
+    times = {r["_copy"]: r["count"] for r in mixed.groupBy("_copy").count().collect()}
+    assert sum(times.values()) == draws.count() and max(times.values()) <= 3
+    got = {r["row"]: r["count"] for r in draws.groupBy("row").count().collect()}
+    assert sorted(times.values()) == sorted(got.values())
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = {r[0]: r[1:] for r in db.execute(mixing.TARGET_SQL).fetchall()}
+    for r in mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))[1].collect():
+        assert (r["size"], r["source_size"]) == want[r["doc_id"]][:2] and abs(r["target"] - want[r["doc_id"]][2]) < 1e-6
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 100)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -212,6 +260,47 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_trees_prune():
+    """On clustered vectors the walk takes far fewer products than there are pairs, and the levels of the tree cover and keep apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 500
+    points = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 5).astype(np.int64)
+    data = topk.Tree(points, [np.array([i]) for i in range(4000)])
+    queries = topk.Tree(points[::20], [np.array([i]) for i in range(0, 4000, 20)])
+    q, i, s, products = topk.search(queries, data, 20)
+    assert products < 0.5 * 200 * 4000
+    exact = points[::20] @ points.T
+    for n in range(200):
+        best = sorted(((-exact[n, j], j) for j in range(4000) if j != 20 * n))[:20]
+        assert sorted(zip((-s[q == 20 * n]).tolist(), i[q == 20 * n].tolist())) == best
+    for tree in (data, queries):
+        for node, kids in enumerate(tree.children):
+            x = points.astype(float)[:: 1 if tree is data else 20]
+            assert np.sqrt(((x[tree.members[node]] - x[tree.centre[node]]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
+            assert sorted(np.concatenate([tree.members[k] for k in kids]).tolist()) == sorted(tree.members[node].tolist()) if kids else True
+
+
+def test_bpe_repair():
+    """Every chunk taken as shared: joins are mended for a tokenizer that drops white space and for one that does not."""
+    import random
+
+    import public_tokenizers
+
+    texts = ["don't stop, Élan " * 300, "x" * 5000, "é́ " * 900, "", "  ", " ".join("y" * 700 for _ in range(9)), "<|endoftext|>" * 200, "a\n\n  b " * 700]
+    rng = random.Random(3)
+    texts.append("".join(rng.choice(["word", " ", "  ", "é", "'s ", ". ", "\n", "12", "中"]) for _ in range(20_000)))
+    for name, apart in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        own = bpe.Coder(public_tokenizers.path(name), memory=50)
+        assert own.apart == apart
+        data = [t.encode() for t in texts]
+        pieces = [[(s, e, x) for (s, e), x in zip(bpe.chunks(d), own.encode([d[s:e] for s, e in bpe.chunks(d)]))] for d in data]
+        assert max(map(len, pieces)) > 2
+        got, rounds = bpe.repair(data, pieces, own.encode)
+        assert [x.tolist() for x in got] == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)] and rounds >= 1
+
+
 def test_toxicity(spark):
     import random
 
