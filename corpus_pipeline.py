@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each a DataFrame in and out, written as Parquet in between."""
+"""The corpus pipeline: five stages over documents, each a DataFrame in and out, written as Parquet in between.
+
+Null texts are kept as empty ones are by every stage but the mix, which draws no text without words; an empty table passes through all
+stages as an empty table; repeated rows stay rows of their own, near copies aside, where rows of one id stay or go together.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxic), ("near copies", near_copies), ("personal data", personal_data), ("mix", mix), ("tokens", tokens)]
-#: Learning, hashing and encoding have no SQL; the tests hold the stages against brute force.
+#: Learning, hashing and encoding have no SQL; the tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
