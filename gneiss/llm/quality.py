@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.columns import SPACE, let, words
-from gneiss.session import materialise
+from gneiss.session import broadcast_if_small, materialise
 
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
-#: A line of more than this many distinct texts of its host is removed; a text that keeps less than this share of its words goes.
+#: A line of more than this many documents of its host is removed; a text that keeps less than this share of its words goes.
 MAX_LINE_DOCS, MIN_KEPT_SHARE = 50, 0.3
 
 
@@ -39,16 +39,16 @@ def normalised(line: Column) -> Column:
 def judge(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): the base counts, base_failed, n_line_words (words in removed lines) and kept.
 
-    A host is a source, null being one too. Lines are compared as ``normalised``; copies of a whole text count once. A null
-    text counts as empty and fails; repeated rows each give a row; an empty table gives an empty result; other columns
-    are not read.
+    A host is a source, null being one too. Lines are compared as ``normalised``; a line counts once for each document (row)
+    that has it, copies of a whole text included. A null text counts as empty and fails; repeated rows each give a row; an empty
+    table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("l"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))), lambda x: x["n"] > 0)
     counted = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("source"), normalised(x["l"])).alias("key"), x["n"].alias("n")))
     w = words(text)
     rows = docs.select(
-        F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_h"),
+        F.col("doc_id").alias("_id"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         let(F.transform(lines, lambda x: x["l"]), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -56,9 +56,10 @@ def judge(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_kept_share: f
         counted.alias("lines"),
     )
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "line-counts")
-    every = rows.select("_row", "_h", F.explode("lines").alias("x")).select("_row", "_h", "x.key", "x.n")
-    common = every.select("key", "_h").distinct().groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") > max_line_docs).select("key")
-    removed = every.select("_row", "key", "n").join(common, "key").groupBy("_row").agg(F.sum("n").alias("gone"))
+    holders = rows.select(F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")).groupBy("key").agg(F.count("*").alias("documents"))
+    common = materialise(holders.filter(F.col("documents") > max_line_docs).select("key"), "common-lines")
+    every = rows.select("_row", F.explode("lines").alias("x")).select("_row", "x.key", "x.n")
+    removed = every.join(broadcast_if_small(common), "key").groupBy("_row").agg(F.sum("n").alias("gone"))
     failed = (F.col("w.n_words") < 20) | (100 * F.col("w.n_repeat_words") > 30 * F.col("w.n_words"))
     out = rows.select(*[c for c in rows.columns if c != "lines"]).join(removed, "_row", "left")
     out = out.withColumn("gone", F.coalesce("gone", F.lit(0)).cast("long"))
@@ -81,9 +82,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, so
 g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) > 7)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY 1),
-li AS (SELECT r, source, t, regexp_replace(lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS k,
-  len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, source, t, unnest(ls) AS l FROM d)),
-com AS (SELECT coalesce(source, chr(0)) AS s, k FROM (SELECT DISTINCT source, k, t FROM li) GROUP BY 1, 2 HAVING count(*) > 50),
+li AS (SELECT r, source, regexp_replace(lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS k,
+  len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, source, unnest(ls) AS l FROM d)),
+com AS (SELECT coalesce(source, chr(0)) AS s, k FROM (SELECT DISTINCT r, source, k FROM li) GROUP BY 1, 2 HAVING count(*) > 50),
 gone AS (SELECT r, sum(n) AS n FROM li JOIN com ON coalesce(li.source, chr(0)) = com.s AND li.k = com.k GROUP BY 1),
 o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -164,3 +167,41 @@ def linked(text: str | None, scope: int = 200) -> list[tuple]:
     asks = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("identifier", "secret")}
     near = lambda x: any(abs(y[0] - x[0]) <= scope and ROLE[y[2]] in asks[ROLE[x[2]]] for y in weak + base)
     return [(k, s, e) for s, o, k, e in sorted(weak) if near((s, o, k, e)) and not any(a < e and s < b for a, _, _, b in base)]
+
+
+def op9(texts: dict[int, str | None], known: dict[int, int]) -> tuple[list[str], float, dict[int, float]]:
+    """Words that tell, class prior and scores by id, by dense matrices over all labelled rows of texts with distinct ids."""
+
+    def parts(text: str | None) -> set[str]:
+        words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
+        return words.union(w[:5] + "*" for w in words if len(w) > 5)
+
+    learn = [i for i in known if i in texts and zlib.crc32(str(i).encode()) % 5]
+    u = [parts(texts[i]) for i in learn]
+    p = [x for i, x in zip(learn, u) if known[i]]
+    tell, prior = [], 1.0
+    for w in set().union(*p):
+        k = sum(w in x for x in p)
+        if k < 5:
+            continue
+        a, b = k / len(p), sum(w in x for x in u) / len(u)
+        da, db = (a * (1 - a) / len(p)) ** 0.5, (b * (1 - b) / len(u) + len(u) ** -2) ** 0.5
+        if a > da:
+            prior = min(prior, (b + db) / (a - da))
+        if (a - b) / (da**2 + db**2) ** 0.5 > 4 and a > 1.5 * b:
+            tell.append(w)
+    tell.sort()
+    prior = min(max(prior, 1e-3), 0.999)
+    dense = lambda rows: np.array([[float(w in x) for w in tell] + [1.0] for x in rows])
+    p, u, w = dense(p), dense(u), np.append(np.zeros(len(tell)), np.log(prior / (1 - prior)))
+    m = v = np.zeros(len(w))
+    for t in range(1, 401):
+        gp, gu = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+        clean = u.T @ gu / len(u) - prior * p.T @ gp / len(p)
+        at_zero = prior * np.log(1 - gp).mean() > np.log(1 - gu).mean()
+        grad = prior * p.T @ (gp - 1) / len(p) + clean if at_zero else -clean
+        grad += 1e-4 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    ids = list(texts)
+    return tell, prior, dict(zip(ids, 1 / (1 + np.exp(-dense([parts(texts[i]) for i in ids]) @ w))))

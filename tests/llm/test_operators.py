@@ -80,6 +80,18 @@ def test_quality_lines(spark):
     assert quality.clean(docs, max_line_docs=5, min_kept_share=0.5).count() == 10
 
 
+def test_quality_lines_count_documents(spark):
+    """Copies of a whole text are documents too; a line that one document repeats counts once; hosts are counted apart."""
+    own = lambda i: f"own{chr(97 + i)} " + " ".join(chr(97 + i) * (j + 1) for j in range(30))
+    copied = "shared line of the copies\n" + own(0)
+    often = "\n".join(["line said often here"] * 9 + [own(1)])
+    docs = spark.createDataFrame([(i, copied, "h") for i in range(6)] + [(10, often, "h"), (11, copied, None), (12, copied, "other")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_line_words"], r["kept"]) for r in quality.judge(docs, max_line_docs=5).collect()}
+    assert all(got[i] == (36, False) for i in range(6))
+    assert got[10][0] == 0 and got[11] == (0, True) == got[12]
+    assert quality.judge(docs, max_line_docs=6).filter("n_line_words > 0").count() == 0
+
+
 def test_suffixes(docs, rows, empty):
     held(suffixes.digest(suffixes.deduplicate(docs)), rows, brute.op2([r[1] for r in rows]))
     assert suffixes.deduplicate(empty).count() == 0
@@ -316,6 +328,40 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_against_plain_python(spark):
+    """Words, prior and scores on a given table equal those of dense arithmetic over all labelled rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {}
+    for r in labels.collect():
+        if r["toxic"] is not None:
+            known[r["doc_id"]] = max(int(r["toxic"]), known.get(r["doc_id"], 0))
+    words, prior, scores = brute.op9(texts, known)
+    model = toxicity.train(docs, labels)
+    assert model["words"] == words and words and abs(model["prior"] - prior) < 1e-9
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
+    assert got.keys() == scores.keys() and max(abs(got[i] - scores[i]) for i in got) < 1e-3
+
+
+def test_toxicity_held_out(spark):
+    """On labelled rows that taught nothing most toxic texts are caught and nearly all others left alone; the prior is near the share of toxic rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, labels).filter("held_out").join(labels.select("doc_id", F.col("toxic").cast("int").alias("t")), "doc_id")
+    n = {(r["t"], r["predicted"]): r["count"] for r in got.groupBy("t", "predicted").count().collect()}
+    assert n[1, 1] > 4 * n[1, 0] and n[0, 0] > 30 * n[0, 1]
+
+
+def test_drop_toxic(spark):
+    """Rows that are called toxic go, copies alike; nulls and empty texts stay with all their columns; no table, no rows."""
+    rows = [(i, f"plain text number{i}" + (" vile slur" if i % 4 == 0 else ""), "s", "x") for i in range(400)]
+    rows += [(0, rows[0][1], None, None), (None, None, None, None), (900, "", "s", "x"), (None, "vile slur", "s", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string, score string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    out = toxicity.drop_toxic(docs, labels)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(str(r) for r in docs.collect() if "vile" not in (r["text"] or ""))
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0 and toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
