@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from gneiss.session import materialise, small_batches
 
-#: Bounds of the training samples and of the lexicon; the class prior is the share of toxic rows among the labels learned from.
-POSITIVES, UNLABELLED, LEXICON = 10_000, 40_000, 400
+#: Bounds of the training samples, both of labelled rows: confirmed toxic ones, and rows whose label is not looked at.
+POSITIVES, UNLABELLED = 10_000, 40_000
 TOKEN = re.compile(r"[^\W\d_]+")
 STEM = 5
 
@@ -29,79 +29,81 @@ def features(text: str | None) -> set[str]:
     return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (bias last) of a logistic model that minimise the non-negative risk, by Adam over whole samples."""
-    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
-    w = np.zeros(p.shape[1])
+def fit(p: list[list[int]], u: list[list[int]], width: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (bias last) of a logistic model over ``width`` binary features that minimise the non-negative risk, by Adam over
+    whole samples. A row of ``p`` and ``u`` lists the features that a text has."""
+    (pi, pr), (ui, ur) = ((np.array([f for x in rows for f in x], np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in rows])) for rows in (p, u))
+    w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
+    logistic = lambda at, row, n: 1 / (1 + np.exp(-(np.bincount(row, w[at], n) + w[-1])))
+    mean = lambda at, row, g: np.append(np.bincount(at, g[row], width), g.sum()) / len(g)
     for t in range(1, steps + 1):
-        gp, gu = 1 / (1 + np.exp(-(p @ w))), 1 / (1 + np.exp(-(u @ w)))
+        gp, gu = logistic(pi, pr, len(p)), logistic(ui, ur, len(u))
         negative = -np.log1p(-np.minimum(gu, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(gp, 1 - 1e-12)).mean()
-        clean = (gu @ u) / len(u) - prior * (gp @ p) / len(p)
-        grad = prior * ((gp - 1) @ p) / len(p) + clean if negative >= 0 else -clean
+        clean = mean(ui, ur, gu) - prior * mean(pi, pr, gp)
+        grad = prior * mean(pi, pr, gp - 1) + clean if negative >= 0 else -clean
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.float32)
-    for i, x in enumerate(rows):
-        out[i, x] = 1
-    return out
-
-
 def held_out() -> Column:
     """Whether crc32 of the id as text leaves 0 modulo 5; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, lexicon: int = LEXICON) -> dict:
-    """lexicon (words) and weights. docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` marks teach nothing.
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
+    """words, weights and prior. docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` marks teach nothing.
 
-    Words enter the lexicon by how much oftener positive texts have them than unlabelled ones (z of the difference), the
-    samples being at most about ``positives`` and ``unlabelled`` texts, chosen by a hash. Without a positive example the lexicon is
-    empty and every score is the prior (0 without labels).
+    Two samples, chosen by a hash, of at most about ``positives`` toxic and ``unlabelled`` texts: the second is drawn from all labelled rows
+    without regard to their label, so it stands for unlabelled text. Of repeated ids the smallest text counts, and the label is toxic where one
+    is. Every word is a feature that positive texts have more often than unlabelled ones (by half, and by four deviations).
+    The class prior, where none is given, comes from the two samples: unlabelled text holds any word at least prior times as often
+    as toxic text does, so the least ratio of all words, each a deviation up above and down below, bounds it.
+    Without a positive example there are no words and every score is 0; without a word that tells, every score is the prior.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = materialise(known, "labels")
     n = known.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    prior = min(max(n["toxic"] / n["all"], 1e-3), 0.999) if prior is None and n["all"] else prior or 0.0
-    total = docs.count()
-    if not n["toxic"] or not total:
-        return {"words": [], "weights": None, "prior": prior if n["toxic"] else 0.0}
-    draw = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    texts = docs.select("doc_id", "text").filter(~held_out() & F.col("doc_id").isNotNull())
-    chosen = known.filter("toxic = 1").filter(draw < positives / n["toxic"]).select("doc_id")
-    p = texts.join(F.broadcast(chosen), "doc_id").withColumn("label", F.lit(1))  # at most about ``positives`` ids
-    u = texts.filter(draw < unlabelled / total).withColumn("label", F.lit(0))
+    if not n["toxic"]:
+        return {"words": [], "weights": None, "prior": 0.0}
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    roles = F.array_compact(F.array(F.when((F.col("toxic") == 1) & (draw(1) < positives / n["toxic"]), 1), F.when(draw(2) < unlabelled / n["all"], 0)))
+    chosen = known.select("doc_id", roles.alias("roles")).filter(F.size("roles") > 0)
+    # the ids chosen are at most about as many as the samples' bounds
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("roles").alias("roles"))
 
     def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "words": [list(features(t)) for t in b["text"]]})
+            yield pd.DataFrame({"roles": b["roles"], "words": [list(features(t)) for t in b["text"]]})
 
-    bags = materialise(p.select("label", "text").unionByName(u.select("label", "text")).mapInPandas(bag, "label int, words array<string>"), "bags")
-    sizes = {r["label"]: r["n"] for r in bags.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    bags = materialise(texts.select("roles", "text").mapInPandas(bag, "roles array<int>, words array<string>"), "bags")
+    sizes = {r["label"]: r["n"] for r in bags.select(F.explode("roles").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return {"words": [], "weights": None, "prior": prior}
-    count = lambda k: F.sum((F.col("label") == k).cast("long")).cast("double")
-    seen = bags.select("label", F.explode("words").alias("word")).groupBy("word").agg(count(1).alias("a"), count(0).alias("b")).filter("a >= 5")
+        return {"words": [], "weights": None, "prior": prior or 0.0}
+    count = lambda k: F.sum(F.array_contains("roles", k).cast("long")).cast("double")
+    seen = bags.select("roles", F.explode("words").alias("word")).groupBy("word").agg(count(1).alias("a"), count(0).alias("b")).filter("a >= 5")
     a, b = F.col("a") / sizes[1], F.col("b") / sizes[0]
-    z = (a - b) / F.sqrt(a * (1 - a) / sizes[1] + b * (1 - b) / sizes[0] + 1e-9)
-    top = seen.withColumn("z", z).filter((F.col("z") > 4) & (a > 1.5 * b)).orderBy(F.desc("z"), "word").limit(lexicon)
-    words = sorted(r["word"] for r in top.select("word").collect())
+    da, db = F.sqrt(a * (1 - a) / sizes[1]), F.sqrt(b * (1 - b) / sizes[0] + 1 / sizes[0] ** 2)
+    z = (a - b) / F.sqrt(da * da + db * db)
+    seen = materialise(seen.select("word", F.when(a > da, (b + db) / (a - da)).alias("ratio"), ((z > 4) & (a > 1.5 * b)).alias("tells")), "words")
+    if prior is None:
+        prior = min(max(seen.agg(F.min("ratio")).first()[0] or 1.0, 1e-3), 0.999)
+    words = sorted(r["word"] for r in seen.filter("tells").select("word").collect())
     place = {w: i for i, w in enumerate(words)}
 
+    def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"roles": b["roles"], "at": [[place[w] for w in ws if w in place] for ws in b["words"]]})
+
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        x = [[place[w] for w in ws if w in place] for ws in rows["words"]]
-        x, y = _matrix(x, len(place)), rows["label"].to_numpy()
-        return pd.DataFrame({"w": [fit(x[y == 1], x[y == 0], prior).tolist()]})
+        p, u = ([x for x, r in zip(rows["at"], rows["roles"]) if k in r] for k in (1, 0))
+        return pd.DataFrame({"w": [fit(p, u, len(place), prior).tolist()]})
 
-    # the samples are bounded by parameters, and only words of the lexicon matter, so one task can hold them
-    lean = bags.select("label", F.array_intersect("words", F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")).alias("words"))
-    weights = lean.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "w array<double>").first()["w"]
+    # the samples are bounded by parameters, and of their words only those that tell are kept, so one task can hold them
+    weights = bags.mapInPandas(lean, "roles array<int>, at array<int>").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "w array<double>").first()["w"]
     return {"words": words, "weights": weights, "prior": prior}
 
 
