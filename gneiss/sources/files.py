@@ -14,6 +14,10 @@ from gneiss.functions import text as X
 
 MAX_BYTES = 1_000_000
 SKIPPED_DIRS = ("node_modules", "__pycache__", "venv", "env", "build", "dist", "target", "out", "vendor", "coverage", "site-packages")
+# Endings that a relative script import may name, those tried in its place, and the files that stand for a folder.
+SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+TRIED_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs")
+INDEX_FILES = ("index.ts", "index.tsx", "index.js")
 SKIPPED_EXTENSIONS = ("properties", "yaml", "yml", "json", "xml")
 
 
@@ -222,6 +226,25 @@ def link(parsed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.unionByName(imports).unionByName(uses), left.filter(~named & ~foreign).select(*refs.columns)
 
 
+def script_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """``refs`` (file, specifier) with the column resolved: the file (path) that a relative import of a script names, or null.
+
+    In this order: the path as written, with another ending, as a folder with an index file. Packages, paths that climb out of the root and
+    null specifiers are null; repeated rows stay; an input column resolved is replaced.
+    """
+    step = lambda at, x: F.when(x != "..", F.array_append(at, x)).when(F.size(at) > 0, F.slice(at, 1, F.size(at) - 1))
+    whole = F.filter(F.split(F.concat_ws("/", X.dir_of(F.col("file")), "specifier"), "/"), lambda x: ~x.isin("", "."))
+    asked = refs.select("file", "specifier").distinct().filter(F.startswith("specifier", F.lit("./")) | F.startswith("specifier", F.lit("../")))
+    asked = asked.withColumn("base", F.array_join(F.aggregate(whole, F.array().cast("array<string>"), step), "/"))
+    written = F.when(F.regexp_extract("base", r"[^/](\.[^./]+)$", 1).isin(*SCRIPT_ENDINGS), F.col("base"))
+    stem = F.when(F.col("base") != "", F.regexp_replace("base", r"(?<=[^/])\.[^./]+$", ""))
+    folder = F.when(F.col("base") == "", "").otherwise(F.concat("base", F.lit("/")))
+    tried = F.array(written, *[F.concat(stem, F.lit(e)) for e in TRIED_ENDINGS], *[F.concat(folder, F.lit(i)) for i in INDEX_FILES])
+    options = asked.select("file", "specifier", F.posexplode(tried).alias("rank", "path"))
+    found = options.join(files.select("path").distinct(), "path").groupBy("file", "specifier").agg(F.min_by("path", "rank").alias("resolved"))
+    return refs.drop("resolved").join(found, ["file", "specifier"], "left")
+
+
 def parse_stats(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """files_parsed, files_skipped, languages and errors, one row. Files without a parser are skipped, broken ones are errors."""
     all_files = files.agg(F.count("*").alias("all"))

@@ -182,6 +182,20 @@ def test_python_files(spark, tmp_path):
     assert spark.range(1).select(files.decoded_content(F.lit(raw), F.lit("base64"))).first()[0] == "hi"
 
 
+def test_script_imports(spark):
+    paths = ["src/a.ts", "src/b.js", "src/b.tsx", "src/lib/index.js", "src/user.ts", "src/c.mjs", "index.tsx", "top.cjs"]
+    want = {
+        ("src/a.ts", "./b"): "src/b.tsx", ("src/a.ts", "./b.js"): "src/b.js", ("src/a.ts", "./lib/"): "src/lib/index.js", ("src/lib/index.js", "../c"): "src/c.mjs",
+        ("src/a.ts", "./user.service"): "src/user.ts", ("src/a.ts", "../"): "index.tsx", ("src/a.ts", "../../a"): None, ("src/a.ts", "react"): None, ("src/a.ts", None): None,
+        ("top.cjs", "./src/./lib/../a"): "src/a.ts", ("src/a.ts", "../top.cjs"): "top.cjs", ("src/a.ts", "../top"): None, ("src/a.ts", "./gone"): None,
+    }
+    refs = spark.createDataFrame([(*k, "x") for k in want] + [("src/a.ts", "./b", "y")], "file string, specifier string, path string")
+    tree = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = files.script_imports(refs, tree).collect()
+    assert len(got) == len(want) + 1 and all(r["resolved"] == want[r["file"], r["specifier"]] for r in got)
+    assert files.script_imports(refs, tree.limit(0)).filter("resolved is not null").count() == 0 == files.script_imports(refs.limit(0), tree).count()
+
+
 def test_store_and_stream(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/store")
     row = lambda gid, sha: spark.sql("select 1").select(*[F.lit(v).cast(t).alias(c) for c, v, t in zip([x.split()[0] for x in GRAPHS.split(", ")], [gid, "u", "url", "main", "BUILDING", 1, 1, 1, sha, None], [x.split()[1] for x in GRAPHS.split(", ")])])
