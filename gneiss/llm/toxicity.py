@@ -19,6 +19,8 @@ from gneiss.session import materialise, small_batches
 
 #: Bounds of the training samples, both of labelled rows: confirmed toxic ones, and rows whose label is not looked at.
 POSITIVES, UNLABELLED = 10_000, 40_000
+#: Toxic texts are taken to be at most this share of all: few positives leave the estimate of the class prior too loose.
+MOST_PRIOR = 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 STEM = 5
 
@@ -61,7 +63,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     without regard to their label, so it stands for unlabelled text. Of repeated ids the smallest text counts, and the label is toxic where one
     is. Every word is a feature that positive texts have more often than unlabelled ones (by half, and by four deviations).
     The class prior, where none is given, comes from the two samples: unlabelled text holds any word at least prior times as often
-    as toxic text does, so the least ratio of all words, each a deviation up above and down below, bounds it.
+    as toxic text does, so the least ratio of all words, each a deviation up above and down below, bounds it, as MOST_PRIOR does.
     Without a positive example there are no words and every score is 0; without a word that tells, every score is the prior.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -90,8 +92,10 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     z = (a - b) / F.sqrt(da * da + db * db)
     seen = materialise(seen.select("word", F.when(a > da, (b + db) / (a - da)).alias("ratio"), ((z > 4) & (a > 1.5 * b)).alias("tells")), "words")
     if prior is None:
-        prior = min(max(seen.agg(F.min("ratio")).first()[0] or 1.0, 1e-3), 0.999)
+        prior = min(max(seen.agg(F.min("ratio")).first()[0] or 1.0, 1e-3), MOST_PRIOR)
     words = sorted(r["word"] for r in seen.filter("tells").select("word").collect())
+    if not words:
+        return {"words": [], "weights": None, "prior": prior}
     place = {w: i for i, w in enumerate(words)}
 
     def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -191,7 +191,7 @@ def op9(texts: dict[int, str | None], known: dict[int, int]) -> tuple[list[str],
         if (a - b) / (da**2 + db**2) ** 0.5 > 4 and a > 1.5 * b:
             tell.append(w)
     tell.sort()
-    prior = min(max(prior, 1e-3), 0.999)
+    prior = min(max(prior, 1e-3), 0.3)
     dense = lambda rows: np.array([[float(w in x) for w in tell] + [1.0] for x in rows])
     p, u, w = dense(p), dense(u), np.append(np.zeros(len(tell)), np.log(prior / (1 - prior)))
     m = v = np.zeros(len(w))

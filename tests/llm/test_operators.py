@@ -359,6 +359,8 @@ def test_drop_toxic(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     out = toxicity.drop_toxic(docs, labels)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(str(r) for r in docs.collect() if "vile" not in (r["text"] or ""))
+    few = labels.filter("toxic = 0 or doc_id < 13")
+    assert toxicity.drop_toxic(docs, few).count() == len(rows)  # too few toxic examples to tell any word
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0 and toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
 
 
