@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, jaccard, mixing, pii, quality, secrets, suffixes, topk, toxicity, warc
+from gneiss.llm import alignment, bpe, chat, jaccard, mixing, pii, quality, secrets, suffixes, topk, toxicity, warc, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted, and read back from the text and the spans of the examples."""
+    return chat.read_back(chat.format_turns(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of every vector."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers' tokens in every text."""
+    return alignment.digest(alignment.align(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_mixing, op4_quality_rules, op5_warc, op6_jaccard_join, op7_bpe, op8_exact_top_k, op9_toxicity, op10_secret_scans)
+    f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_mixing, op4_quality_rules, op5_warc, op6_jaccard_join, op7_bpe, op8_exact_top_k, op9_toxicity, op10_secret_scans, op11_chat_formatting, op12_whitening, op13_alignment)
 }
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op6_jaccard_join": jaccard.SQL, "op5_warc": warc.SQL, "op8_exact_top_k": topk.SQL}

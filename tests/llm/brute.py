@@ -205,3 +205,82 @@ def op9(texts: dict[int, str | None], known: dict[int, int]) -> tuple[list[str],
         w = w - 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     ids = list(texts)
     return tell, prior, dict(zip(ids, 1 / (1 + np.exp(-dense([parts(texts[i]) for i in ids]) @ w))))
+
+
+def op11(rows: list[tuple]) -> dict:
+    """conv_id: (turns, their digest, characters of replies, their digest, characters of all texts) of rows (conv_id, turn, role, text)."""
+    held: dict = {}
+    for conv, turn, role, text in rows:
+        held.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for conv, turns in held.items():
+        turns.sort()
+        loss = "".join(t for *_, r, t in turns if r == "assistant")
+        out[conv] = len(turns), sha("".join(f"{r}\n{t}\n" for *_, r, t in turns)), len(loss), sha(loss), sum(len(t) for *_, t in turns)
+    return out
+
+
+def op12(rows: list[tuple], most: int = 8) -> dict:
+    """vec_id: (n, deviation, whitened, explained) by exact sums and a dense eigensolver."""
+    from fractions import Fraction
+
+    good = [(i, [int(np.floor(1024 * float(c))) + 100_000 for c in v]) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    n, sums = len(good), [sum(x) for x in zip(*(v for _, v in good))]
+    far = [[n * x - s for x, s in zip(v, sums)] for _, v in good]
+    y = np.array([[float(Fraction(f, n)) for f in row] for row in far])
+    e, basis = np.linalg.eigh(y.T @ y / n)
+    e, basis = e[::-1], basis[:, ::-1]
+    w = y @ basis[:, :most] / np.sqrt(e[:most])
+    return {i: (n, sum(f * f for f in row), x, e[:most] / e.sum()) for (i, _), row, x in zip(good, far, w)}
+
+
+def op13(texts: list[str | None]) -> list[tuple]:
+    """Figures of each text, its tokens compared end by end."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    ta = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ta.encode_special_tokens = True
+    tb = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    letter = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in plain)}
+    bytes_a = lambda i: bytes(letter[c] for c in ta.id_to_token(i))
+
+    def bytes_b(i):
+        p = tb.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if p.startswith("<0x") and len(p) == 6 else p.replace("▁", " ").encode()
+
+    found, counts = [], Counter()
+    for t in texts:
+        groups: list = []
+        if t:
+            a, b, data = ta.encode(" " + t, add_special_tokens=False).ids, tb.encode(t), (" " + t).encode()
+            xa, xb = [bytes_a(i) for i in a], [bytes_b(i) for i in b]
+            if b"".join(xa) == data == b"".join(xb):
+                i = j = at = to = 0
+                own: tuple = ([], [])
+                while i < len(a) or j < len(b):
+                    if at <= to:
+                        at, _ = at + len(xa[i]), own[0].append(a[i])
+                        i += 1
+                    else:
+                        to, _ = to + len(xb[j]), own[1].append(b[j])
+                        j += 1
+                    while to < at:
+                        to, _ = to + len(xb[j]), own[1].append(b[j])
+                        j += 1
+                    if at == to:
+                        groups.append(own)
+                        own = ([], [])
+        found.append(groups)
+        counts.update((g[0][-1], g[1][-1]) for g in groups)
+    best: dict = {}
+    for (_, b), n in counts.items():
+        best[b] = max(best.get(b, 0), n)
+    out = []
+    for groups in found:
+        ns = [(counts[g[0][-1], g[1][-1]], best[g[1][-1]]) for g in groups]
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        out.append((sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), len(groups), sum(n == m for n, m in ns), sum(n for n, _ in ns), sha(text) if groups else ""))
+    return out
