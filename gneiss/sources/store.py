@@ -1,44 +1,55 @@
-"""Graphs, snapshots and audits kept as Parquet tables.
+"""Graphs, trees, snapshots and audits kept as Parquet tables of one folder, under a commit log.
 
-Plain Parquet has no MERGE, so an update writes a new generation of a table beside the old one and then switches a pointer; a
-reader sees either all of it or none, and a path is never read and overwritten in one plan.
+Plain Parquet has no MERGE and no transaction: every change here is one entry of the log (see ``log``), however many tables it
+writes, so a reader sees all of it or none, a crash leaves nothing behind that counts, and of two writers the second plans again. All rows
+of a version, tree or graph lie in folders whose shared values the log knows, so a read of one opens no other's files and no value is
+guessed from a path.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss import schemas
 from gneiss.functions import text as X
+from gneiss.sources.log import Change, Log, Part, State
 
 GRAPH_KEY = ["user_id", "repo_url", "branch"]
 GRAPHS = "graph_id string, user_id string, repo_url string, branch string, status string, n_nodes long, n_edges long, n_communities long, last_commit_sha string, updated_at timestamp"
 TREES = "tree_id string, graph_id string, status string, n_nodes long, n_edges long, last_commit_sha string"
 CLONES = "user_id string, owner string, repo string, branch string, path string, last_sha string, size_bytes long"
+HISTORY = "graph_id string, version long, sha string, n_nodes long, n_edges long, at timestamp"
+RUNS = "graph_id string, mode string, status string, at timestamp, nodes_added long, nodes_removed long, edges_added long, edges_removed long"
+
+
+class Payload(NamedTuple):
+    nodes: DataFrame
+    edges: DataFrame
+    refs: DataFrame
 
 
 class Store:
     """Tables under one folder of the shared file system."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.log = spark, Log(spark, root)
 
-    def _generation(self, table: str) -> int:
-        try:
-            found = self.spark.read.text(f"{self.root}/{table}/_current").orderBy(F.col("value").cast("long").desc()).first()
-        except AnalysisException:
-            return 0
-        return int(found["value"]) if found else 0
+    def read(self, table: str, schema: str, state: State | None = None) -> DataFrame:
+        return self.log.read(table, schema, state)
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        g = self._generation(table)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/g{g}") if g else self.spark.createDataFrame([], schema)
+    def _with(self, change: Change, state: State, table: str, schema: str, make: Callable[[DataFrame], DataFrame]) -> Change:
+        """A change that writes a whole small table anew, too."""
+        change.add.append((table, {}, make(self.read(table, schema, state)), ()))
+        change.remove.append((table, {}))
+        change.reads.append((table, {}))
+        return change
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        g = self._generation(table) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/g{g}")
-        self.spark.createDataFrame([(str(g),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/{table}/_current")
+    def _replace(self, name: str, table: str, schema: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        self.log.commit(name, lambda state: self._with(Change(), state, table, schema, make))
 
     # graphs
 
@@ -47,16 +58,18 @@ class Store:
 
     def save_graphs(self, rows: DataFrame) -> None:
         """Insert or update on (user, url, branch); an existing graph keeps its id."""
-        self.replace("graphs", upsert(self.graphs(), rows, GRAPH_KEY, keep=("graph_id",)))
+        self._replace("save graphs", "graphs", GRAPHS, lambda old: upsert(old, rows, GRAPH_KEY, keep=("graph_id",)))
 
     def update_graph(self, graph_id: str, **values: Column) -> int:
         """Set columns of one graph; how many rows there were."""
-        old = self.graphs()
-        hit = F.col("graph_id") == graph_id
-        n = old.filter(hit).count()
-        if n:
-            self.replace("graphs", old.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}))
-        return n
+        found = [0]
+
+        def plan(state: State) -> Change | None:
+            found[0] = self.read("graphs", GRAPHS, state).filter(F.col("graph_id") == graph_id).count()
+            return self._with(Change(), state, "graphs", GRAPHS, lambda old: with_values(old, graph_id, values)) if found[0] else None
+
+        self.log.commit("update graph", plan)
+        return found[0]
 
     def mark_error(self, graph_id: str) -> None:
         """BUILDING becomes ERROR; other states stay."""
@@ -75,17 +88,50 @@ class Store:
         if not self.update_graph(graph_id, n_communities=F.lit(n).cast("long"), status=F.lit("READY"), updated_at=F.current_timestamp()):
             raise KeyError(f"no graph {graph_id}")
 
+    # trees
+
     def trees(self) -> DataFrame:
         return self.read("trees", TREES)
 
     def save_trees(self, rows: DataFrame) -> None:
-        self.replace("trees", upsert(self.trees(), rows, ["tree_id"]))
+        self._replace("save trees", "trees", TREES, lambda old: upsert(old, rows, ["tree_id"]))
+
+    def save_tree(self, row: DataFrame, payload: Payload) -> None:
+        """A tree's row (of TREES) and its nodes, edges and references, all in one commit; those it had before go."""
+        tree_id = row.first()["tree_id"]
+        one = {"tree_id": tree_id}
+
+        def plan(state: State) -> Change:
+            change = Change(reads=[("tree_nodes", one)])
+            for table, rows, schema in zip(("tree_nodes", "tree_edges", "tree_refs"), payload, (schemas.NODES, schemas.EDGES, schemas.REFS)):
+                change.add.append((table, one, fitted(rows, schema), ()))
+                change.remove.append((table, one))
+            return self._with(change, state, "trees", TREES, lambda old: upsert(old, row, ["tree_id"]))
+
+        self.log.commit("save tree", plan)
+
+    def tree(self, tree_id: str, status: str | None = None) -> Payload | None:
+        """A tree's nodes, edges and references with defaults filled in; None if there is no such tree, or it is in another state."""
+        state = self.log.state()
+        found = self.read("trees", TREES, state).filter(F.col("tree_id") == tree_id).first()
+        if found is None or status is not None and found["status"] != status:
+            return None
+        nodes, edges, refs = (self.log.read(t, s, state, tree_id=tree_id) for t, s in (("tree_nodes", schemas.NODES), ("tree_edges", schemas.EDGES), ("tree_refs", schemas.REFS)))
+        return Payload(schemas.filled(nodes), schemas.filled(edges), refs)
 
     def link_tree(self, tree_id: str, graph_id: str) -> None:
-        """The tree belongs to the graph from now on; other trees of the graph go."""
+        """The tree belongs to the graph from now on; other trees of the graph go, with what they hold."""
         own = F.col("tree_id") == tree_id
-        kept = self.trees().filter(own | F.col("graph_id").isNull() | (F.col("graph_id") != graph_id))
-        self.replace("trees", kept.withColumn("graph_id", F.when(own, F.lit(graph_id)).otherwise(F.col("graph_id"))))
+
+        def plan(state: State) -> Change:
+            old = self.read("trees", TREES, state)
+            change = Change()
+            for r in old.filter(~own & (F.col("graph_id") == graph_id)).select("tree_id").toLocalIterator():  # a graph's trees, one or a few
+                change.remove += [(t, {"tree_id": r["tree_id"]}) for t in ("tree_nodes", "tree_edges", "tree_refs")]
+            kept = old.filter(own | F.col("graph_id").isNull() | (F.col("graph_id") != graph_id))
+            return self._with(change, state, "trees", TREES, lambda _: kept.withColumn("graph_id", F.when(own, F.lit(graph_id)).otherwise(F.col("graph_id"))))
+
+        self.log.commit("link tree", plan)
 
     def with_trees(self) -> DataFrame:
         """Graphs with the tree of each, null where there is none."""
@@ -93,50 +139,123 @@ class Store:
 
     def save_clones(self, rows: DataFrame) -> None:
         """A null commit never replaces a known one."""
-        self.replace("clones", upsert(self.read("clones", CLONES), rows, ["user_id", "owner", "repo", "branch"], known=("last_sha",)))
+        self._replace("save clones", "clones", CLONES, lambda old: upsert(old, rows, ["user_id", "owner", "repo", "branch"], known=("last_sha",)))
 
-    # versioned payloads, partitioned so that a read of one version prunes all others
+    # versions
 
-    def next_version(self, graph_id: str) -> int:
-        try:
-            old = self.spark.read.parquet(f"{self.root}/history")
-        except AnalysisException:
-            return 1
-        return old.filter(F.col("graph_id") == graph_id).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("v")).first()["v"]
+    def versions(self, graph_id: str, state: State | None = None) -> list[int]:
+        """The versions that a graph has, from the log alone."""
+        return sorted(p["version"] for p in (state or self.log.state()).tables.get("history", {}).values() if p["graph_id"] == graph_id)
 
-    def record_version(self, graph_id: str, nodes: DataFrame, edges: DataFrame, sha: str) -> int:
-        version = self.next_version(graph_id)
-        key = {"graph_id": F.lit(graph_id), "version": F.lit(version)}
-        for name, rows in (("nodes", nodes), ("edges", edges)):
-            rows.withColumns(key).write.mode("append").partitionBy("graph_id", "version").parquet(f"{self.root}/snapshots/{name}")
+    def next_version(self, graph_id: str, state: State | None = None) -> int:
+        return max(self.versions(graph_id, state), default=0) + 1
+
+    def _version(self, change: Change, state: State, graph_id: str, nodes: DataFrame, edges: DataFrame, sha: str) -> int:
+        version = self.next_version(graph_id, state)
+        key: Part = {"graph_id": graph_id, "version": version}
         counts = nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(edges.agg(F.count("*").alias("n_edges"))))
-        counts.withColumns(key | {"sha": F.lit(sha), "at": F.current_timestamp()}).write.mode("append").partitionBy("graph_id").parquet(f"{self.root}/history")
+        row = counts.select(F.lit(graph_id).alias("graph_id"), F.lit(version).cast("long").alias("version"), F.lit(sha).alias("sha"), "n_nodes", "n_edges", F.current_timestamp().alias("at"))
+        change.add += [("nodes", key, nodes, ()), ("edges", key, edges, ()), ("history", key, row, ())]
+        change.reads.append(("history", {"graph_id": graph_id}))
         return version
 
-    def snapshot(self, name: str, graph_id: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/snapshots/{name}").filter((F.col("graph_id") == graph_id) & (F.col("version") == version)).drop("graph_id", "version")
+    def record_version(self, graph_id: str, nodes: DataFrame, edges: DataFrame, sha: str) -> int:
+        """Keep a graph's nodes and edges as its next version, all in one commit."""
+        made = [0]
+
+        def plan(state: State) -> Change:
+            change = Change()
+            made[0] = self._version(change, state, graph_id, nodes, edges, sha)
+            return change
+
+        self.log.commit("record version", plan)
+        return made[0]
+
+    def history(self, graph_id: str) -> DataFrame:
+        return self.log.read("history", HISTORY, graph_id=graph_id)
+
+    def snapshot(self, name: str, graph_id: str, version: int, state: State | None = None) -> DataFrame:
+        """The nodes or edges of a version, as they were written; an unknown version is an error."""
+        folders = (state or self.log.state()).folders(name, graph_id=graph_id, version=version)
+        if not folders:
+            raise KeyError(f"no version {version} of {graph_id}")
+        return self.spark.read.option("basePath", f"{self.log.root}/{name}").parquet(*[f"{self.log.root}/{name}/part={f}" for f in folders]).drop("part")
+
+    def _run(self, graph_id: str, mode: str, status: str, counts: dict[str, int]) -> DataFrame:
+        return self.spark.range(1).select(F.lit(graph_id).alias("graph_id"), F.lit(mode).alias("mode"), F.lit(status).alias("status"), F.current_timestamp().alias("at"), *[F.lit(counts.get(c, 0)).cast("long").alias(c) for c in ("nodes_added", "nodes_removed", "edges_added", "edges_removed")])
 
     def record_run(self, graph_id: str, mode: str, status: str, **counts: int) -> None:
-        row = self.spark.range(1).select(F.lit(graph_id).alias("graph_id"), F.lit(mode).alias("mode"), F.lit(status).alias("status"), F.current_timestamp().alias("at"), *[F.lit(counts.get(c, 0)).cast("long").alias(c) for c in ("nodes_added", "nodes_removed", "edges_added", "edges_removed")])
-        row.write.mode("append").parquet(f"{self.root}/sync_runs")
+        self.log.commit("record run", lambda _: Change(add=[("runs", {"graph_id": graph_id}, self._run(graph_id, mode, status, counts), ())]))
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/sync_runs")
+        return self.read("runs", RUNS)
 
     def delete_graph(self, graph_id: str) -> None:
-        """Take a graph, its trees, history, snapshots and clone away; its runs are kept. Snapshots and history are partitioned by graph,
-        so nothing of other graphs is written again."""
-        gone = self.graphs().filter(F.col("graph_id") == graph_id).select("user_id", F.lower("repo_url").alias("url"), "branch")
-        owner, repo = X.owner_of(F.col("url")), X.repo_of(F.col("url"))
-        gone = gone.select("user_id", "branch", owner.alias("owner"), repo.alias("repo"))
-        clones = self.read("clones", CLONES)
-        same = [clones[c] == gone[c] for c in ("user_id", "branch")] + [F.lower(clones[c]) == gone[c] for c in ("owner", "repo")]
-        self.replace("clones", clones.join(gone, same, "left_anti"))
-        self.replace("trees", self.trees().filter(F.col("graph_id").isNull() | (F.col("graph_id") != graph_id)))
-        self.replace("graphs", self.graphs().filter(F.col("graph_id") != graph_id))
-        for table in ("snapshots/nodes", "snapshots/edges", "history"):
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/graph_id={graph_id}")
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        """Take a graph, its trees, history, snapshots and clone away in one commit; its runs are kept. Files go when the log is vacuumed."""
+
+        def plan(state: State) -> Change:
+            graphs, trees, clones = (self.read(t, s, state) for t, s in (("graphs", GRAPHS), ("trees", TREES), ("clones", CLONES)))
+            gone = graphs.filter(F.col("graph_id") == graph_id).select("user_id", F.lower("repo_url").alias("url"), "branch")
+            gone = gone.select("user_id", "branch", X.owner_of(F.col("url")).alias("owner"), X.repo_of(F.col("url")).alias("repo"))
+            same = [clones[c] == gone[c] for c in ("user_id", "branch")] + [F.lower(clones[c]) == gone[c] for c in ("owner", "repo")]
+            change = Change(remove=[(t, {"graph_id": graph_id}) for t in ("nodes", "edges", "history", "waiting")], reads=[("history", {"graph_id": graph_id})], facts={f"sequence:{graph_id}": None})
+            for r in trees.filter(F.col("graph_id") == graph_id).select("tree_id").toLocalIterator():  # a graph's trees, one or a few
+                change.remove += [(t, {"tree_id": r["tree_id"]}) for t in ("tree_nodes", "tree_edges", "tree_refs")]
+            self._with(change, state, "clones", CLONES, lambda _: clones.join(gone, same, "left_anti"))
+            self._with(change, state, "trees", TREES, lambda _: trees.filter(F.col("graph_id").isNull() | (F.col("graph_id") != graph_id)))
+            return self._with(change, state, "graphs", GRAPHS, lambda _: graphs.filter(F.col("graph_id") != graph_id))
+
+        self.log.commit("delete graph", plan)
+
+    # commits in sequence
+
+    def apply(self, graph_id: str, sequence: int, sha: str, changes: DataFrame, merged: Callable[[DataFrame | None, DataFrame | None, DataFrame], tuple[DataFrame, DataFrame, dict[str, int]]], rest: str) -> str:
+        """Apply a graph's commit of a number: its nodes, edges, history, run, row and number are one entry of the log.
+
+        A number that is done already is "known". One beyond the next is "waiting": its changes (of schema ``rest``) are kept, and taken
+        up when those before it are there. ``merged`` gets nodes and edges of the last version, null if there is none, and the changes.
+        """
+        told = [""]
+        fact = f"sequence:{graph_id}"
+
+        def plan(state: State) -> Change | None:
+            last = state.facts.get(fact, 0)
+            key: Part = {"graph_id": graph_id, "sequence": sequence, "sha": sha}
+            waits = state.folders("waiting", graph_id=graph_id, sequence=sequence)
+            if sequence <= last or sequence > last + 1 and waits:
+                told[0] = "known" if sequence <= last else "waiting"
+                return None
+            if sequence > last + 1:
+                told[0] = "waiting"
+                return Change(add=[("waiting", key, changes, ())], knows=[fact], reads=[("waiting", {"graph_id": graph_id})])
+            told[0] = "applied"
+            change = Change(facts={fact: sequence}, knows=[fact], remove=[("waiting", {"graph_id": graph_id, "sequence": sequence})])
+            version = max(self.versions(graph_id, state), default=0)
+            old = [self.snapshot(t, graph_id, version, state) if version else None for t in ("nodes", "edges")]
+            nodes, edges, counts = merged(*old, changes)
+            self._version(change, state, graph_id, nodes, edges, sha)
+            change.add.append(("runs", {"graph_id": graph_id}, self._run(graph_id, "PATCH", "SUCCESS", counts), ()))
+            now = {"last_commit_sha": F.lit(sha), "status": F.lit("READY"), "updated_at": F.current_timestamp()}
+            return self._with(change, state, "graphs", GRAPHS, lambda graphs: with_values(graphs, graph_id, now))
+
+        state = self.log.commit("apply commit", plan)
+        if told[0] == "applied":
+            after = [p for p in state.tables.get("waiting", {}).values() if p["graph_id"] == graph_id and p["sequence"] == sequence + 1]
+            if after:
+                kept = self.log.read("waiting", rest, state, graph_id=graph_id, sequence=sequence + 1)
+                self.apply(graph_id, sequence + 1, after[0]["sha"], kept, merged, rest)
+        return told[0]
+
+
+def with_values(graphs: DataFrame, graph_id: str, values: dict[str, Column]) -> DataFrame:
+    hit = F.col("graph_id") == graph_id
+    return graphs.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def fitted(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows in the columns of a schema; those they lack are null."""
+    names = [x.split() for x in schemas.split(schema)]
+    return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in names])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), known: tuple[str, ...] = ()) -> DataFrame:

@@ -12,34 +12,37 @@ from gneiss import schemas
 from gneiss.operators import merge
 from gneiss.sources.store import Store
 
-BATCH = "graph_id string, sha string, " + schemas.CHANGES
-
-
-def apply_changes(store: Store, graph_id: str, sha: str, changes: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> bool:
-    """Merge one commit's changes; False if the graph is at that commit already. ``extract`` gets the fresh paths and returns nodes and edges."""
-    now = store.graphs().filter(F.col("graph_id") == graph_id).select("last_commit_sha").first()
-    if now is not None and now[0] == sha:
-        return False
-    version = store.next_version(graph_id) - 1
-    nodes, edges = store.snapshot("nodes", graph_id, version), store.snapshot("edges", graph_id, version)
-    sides = merge.split_diff(changes)
-    new_nodes, new_edges = extract(sides.filter("side = 'fresh'").select("path"))
-    after_n, after_e = merge.merge_tree(nodes, edges, sides.filter("side = 'stale'").select("path"), new_nodes, new_edges)
-    d_n, d_e = merge.deltas(nodes, after_n, ["id"]).first(), merge.deltas(edges, after_e, ["source", "target", "type"]).first()
-    store.record_version(graph_id, after_n, after_e, sha)
-    store.update_graph(graph_id, last_commit_sha=F.lit(sha), status=F.lit("READY"), updated_at=F.current_timestamp())
-    store.record_run(graph_id, "PATCH", "SUCCESS", nodes_added=d_n["added"], nodes_removed=d_n["removed"], edges_added=d_e["added"], edges_removed=d_e["removed"])
-    return True
-
-
-def stream_changes(spark: SparkSession, folder: str, checkpoint: str, store: Store, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
-    """Take JSON change batches from a folder as they come; commits of one graph are applied in the order of their files."""
+#: sequence numbers the commits of a graph, from 1 on.
+BATCH = "graph_id string, sequence long, sha string, " + schemas.CHANGES
+Extract = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def apply_changes(store: Store, graph_id: str, sequence: int, sha: str, changes: DataFrame, extract: Extract) -> str:
+    """Merge one commit's changes, once and in order: "applied", "known" if it is there already, "waiting" if one before it is missing.
+    ``extract`` gets the fresh paths and returns nodes and edges."""
+
+    def merged(nodes: DataFrame | None, edges: DataFrame | None, changes: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+        sides = merge.split_diff(changes)
+        new_nodes, new_edges = extract(sides.filter("side = 'fresh'").select("path"))
+        nodes, edges = new_nodes.limit(0) if nodes is None else nodes, new_edges.limit(0) if edges is None else edges
+        after_n, after_e = merge.merge_tree(nodes, edges, sides.filter("side = 'stale'").select("path"), new_nodes, new_edges)
+        d_n, d_e = merge.deltas(nodes, after_n, ["id"]).first(), merge.deltas(edges, after_e, ["source", "target", "type"]).first()
+        return after_n, after_e, {"nodes_added": d_n["added"], "nodes_removed": d_n["removed"], "edges_added": d_e["added"], "edges_removed": d_e["removed"]}
+
+    return store.apply(graph_id, sequence, sha, changes.select(*[c.split()[0] for c in schemas.CHANGES.split(", ")]), merged, schemas.CHANGES)
+
+
+def stream_changes(spark: SparkSession, folder: str, checkpoint: str, store: Store, extract: Extract) -> StreamingQuery:
+    """Take JSON change batches from a folder as they come. Commits of a graph are applied by number, in whatever order files bring them;
+    a file that is replayed changes nothing. A commit without a number stops the stream."""
     rows = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).json(folder)
 
     def each(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
-        for r in batch.select("graph_id", "sha").distinct().orderBy("graph_id", "sha").toLocalIterator():  # a file holds a commit or a few
-            apply_changes(store, r["graph_id"], r["sha"], batch.filter((F.col("graph_id") == r["graph_id"]) & (F.col("sha") == r["sha"])), extract)
+        for r in batch.select("graph_id", "sequence", "sha").distinct().orderBy("graph_id", "sequence").toLocalIterator():  # a file holds a commit or a few
+            if r["sequence"] is None:
+                raise ValueError(f"commit {r['sha']} of {r['graph_id']} has no sequence number")
+            apply_changes(store, r["graph_id"], r["sequence"], r["sha"], batch.filter((F.col("graph_id") == r["graph_id"]) & (F.col("sequence") == r["sequence"])), extract)
         batch.unpersist()
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
