@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as X
 from gneiss.operators import flags, search, traverse
 
+# Files in which assistant tools look for instructions.
 FORMATS = {
     "claude": (".claude/skills/{slug}/SKILL.md", True),
     "copilot": (".github/copilot-instructions.md", False),
@@ -59,9 +60,8 @@ def anchor_lines(nodes: DataFrame, edges: DataFrame, most_hubs: int = 20, most_c
 def query_lines(nodes: DataFrame, edges: DataFrame, query: str, top_k: int = 6, most: int = 8) -> DataFrame:
     """The hits of a question, or the first gods if there is none, each with its first neighbours each way."""
     hits = search.seeds(nodes, search.search(nodes, query, edges, top_k), top_k)
-    ranked = hits.withColumn("rank", F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
     near = traverse.neighbours(nodes, edges, hits, most).groupBy("id").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("direction", "place", "other_name"))), lambda x: F.concat(F.when(x["direction"] == "in", "<- ").otherwise("-> "), X.truncated(x["other_name"], 40, "")))).alias("near"))
-    full = ranked.join(nodes.select("id", "name", "type", "file"), "id").join(near, "id", "left")
+    full = hits.join(nodes.select("id", "name", "type", "file"), "id").join(near, "id", "left")
     return _lines(full, 0, [F.col("rank")], F.concat(F.col("type"), F.lit(" "), F.col("name"), F.lit(" in "), F.col("file"), F.coalesce(F.concat(F.lit(": "), F.col("near")), F.lit(""))))
 
 

@@ -1,7 +1,7 @@
 """Ranked retrieval over graph nodes: BM25 with weighted fields, structural multipliers and neighbours of the hits.
 
-Statistics of the whole corpus come from one pass over tokens: document lengths, then document frequencies of the query's terms
-only. The term table is as long as the query, and the statistics are one row, so both are broadcast.
+Statistics of the whole corpus come from one pass over tokens: document lengths and frequencies of the question's terms, which are
+written; the statistics are one row, which is broadcast. ``index`` answers questions without reading the corpus.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
+from gneiss.session import materialise
 
 #: Field weights.
 WEIGHTS = {"name": 3.0, "id": 2.0, "file": 1.0, "type": 1.0, "neighbours": 1.0}
@@ -35,11 +36,9 @@ def _with_neighbours(nodes: DataFrame, edges: DataFrame | None, most: int = NEIG
     return nodes.join(near, nodes["id"] == near["node"], "left").drop("node")
 
 
-def scores(nodes: DataFrame, query: str, edges: DataFrame | None = None, node_type: str | None = None, stop: tuple[str, ...] = X.STOP_WORDS) -> DataFrame:
-    """ord, id and score of every node that holds a term; the type filter comes first, so it shrinks the corpus statistics too."""
-    spark = nodes.sparkSession
-    corpus = nodes if node_type is None else nodes.filter(F.col("type") == node_type)
-    corpus = _with_neighbours(corpus, edges)
+def documents(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """ord, id, type, m (structural multiplier), tokens (t with its field's weight w) and dl (their weight) of each node."""
+    corpus = _with_neighbours(nodes, edges)
     fields = [f for f in WEIGHTS if f in corpus.columns]
 
     def field(f: str) -> Column:
@@ -47,20 +46,32 @@ def scores(nodes: DataFrame, query: str, edges: DataFrame | None = None, node_ty
 
     god = F.col("is_god") if "is_god" in corpus.columns else F.lit(False)
     orphan = F.col("is_orphan") if "is_orphan" in corpus.columns else F.lit(False)
-    docs = corpus.select("ord", "id", X.structural(F.coalesce(god, F.lit(False)), F.coalesce(orphan, F.lit(False))).alias("m"), F.flatten(F.array(*map(field, fields))).alias("tokens"))
-    docs = docs.withColumn("dl", F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x["w"]))
+    kind = F.col("type") if "type" in corpus.columns else F.lit(None).cast("string")
+    docs = corpus.select("ord", "id", kind.alias("type"), X.structural(F.coalesce(god, F.lit(False)), F.coalesce(orphan, F.lit(False))).alias("m"), F.flatten(F.array(*map(field, fields))).alias("tokens"))
+    return docs.withColumn("dl", F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x["w"]))
+
+
+def scores(nodes: DataFrame, query: str, edges: DataFrame | None = None, node_type: str | None = None, stop: tuple[str, ...] = X.STOP_WORDS) -> DataFrame:
+    """ord, id and score of every node that holds a term; the type filter comes first, so it shrinks the corpus statistics too.
+
+    Texts are cut into tokens once: what is written is each document's length and its frequencies of the question's terms.
+    """
     counts: dict[str, int] = {}
     for t in X.query_terms(query, stop):
         counts[t] = counts.get(t, 0) + 1
-    wanted = F.array(*map(F.lit, counts))
-    terms = spark.createDataFrame(list(counts.items()), "t string, times int")
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = docs.select("ord", "id", "m", "dl", F.explode(F.filter("tokens", lambda x: F.array_contains(wanted, x["t"]))).alias("x"))
-    tf = hits.groupBy("ord", "id", "m", "dl", F.col("x.t").alias("t")).agg(F.sum("x.w").alias("tf"))
-    df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df.join(F.broadcast(terms), "t")), "t").join(F.broadcast(stats))
-    one = F.col("times") * X.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
-    return scored.groupBy("ord", "id", "m").agg(F.sum(one).alias("s")).select("ord", "id", (F.col("s") * F.col("m")).alias("score"))
+    corpus = documents(nodes if node_type is None else nodes.filter(F.col("type") == node_type), edges)
+    mine = F.filter("tokens", lambda x: F.array_contains(F.array(*map(F.lit, counts)), x["t"]))
+
+    def frequency(t: str) -> Column:
+        return F.aggregate("mine", F.lit(0.0), lambda a, x: a + F.when(x["t"] == t, x["w"]).otherwise(0.0))
+
+    held = corpus.select("ord", "id", "m", "dl", mine.alias("mine")).select("ord", "id", "m", "dl", F.array(*map(frequency, counts)).alias("tf"))
+    held = materialise(held, "lengths")
+    number = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(counts))]
+    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *number)  # one row
+    score = sum((F.lit(float(k)) * F.when(F.get("tf", F.lit(i)) > 0, X.bm25(F.get("tf", F.lit(i)), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("average"))).otherwise(0.0) for i, k in enumerate(counts.values())), F.lit(0.0))
+    hits = held.filter(F.exists("tf", lambda x: x > 0)).join(F.broadcast(stats))
+    return hits.select("ord", "id", (score * F.col("m")).alias("score"))
 
 
 def search(nodes: DataFrame, query: str, edges: DataFrame | None = None, top_k: int = TOP_K, node_type: str | None = None) -> DataFrame:
@@ -79,7 +90,7 @@ def search_with_neighbours(nodes: DataFrame, edges: DataFrame, query: str, top_k
 
 
 def seeds(nodes: DataFrame, hits: DataFrame, top_k: int) -> DataFrame:
-    """The hits, or the first ``top_k`` gods where there is none."""
+    """rank, ord, id of the hits, or of the first ``top_k`` gods where there is none."""
     none = hits.agg((F.count("*") == 0).alias("none"))
-    gods = nodes.filter("is_god").orderBy("ord").limit(top_k).join(F.broadcast(none)).filter("none")
-    return hits.select("ord", "id").unionByName(gods.select("ord", "id"))
+    gods = nodes.filter("is_god").orderBy("ord").limit(top_k).withColumn("rank", F.row_number().over(W.orderBy("ord")))  # top_k rows
+    return hits.select("rank", "ord", "id").unionByName(gods.join(F.broadcast(none)).filter("none").select("rank", "ord", "id"))

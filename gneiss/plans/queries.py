@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators import answers, build, cluster, flags, merge, render, resolve, search, traverse
+from gneiss.operators import answers, build, cluster, flags, index, merge, render, resolve, search, traverse
 from gneiss.plans import views
-from gneiss.session import materialise
+from gneiss.session import delete_at_end, materialise, scratch_path
 from gneiss.streaming import patches
 
 QUERY = "the pathetic loser and the trash"
@@ -79,6 +79,20 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(views.documents(spark, sf_dir), QUERY)
 
 
+@query(SQL["search_documents"])
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of all texts that was built in two steps, the second of which replaces and takes away some of the first."""
+    docs = search.documents(views.documents(spark, sf_dir))
+    found = index.Index(spark, scratch_path(spark, "index"))
+    stale = docs.withColumn("tokens", F.slice("tokens", 1, 3)).withColumn("dl", F.lit(9.0))
+    third = F.floor(F.col("ord") / 500) % 3
+    never = docs.filter(third == 2).withColumn("ord", -F.col("ord") - 1)
+    found.update(docs.filter(third == 0).unionByName(stale.filter(third == 1)).unionByName(never))
+    delete_at_end(spark, found.log.root)
+    found.update(docs.filter(third > 0), never.select("ord"))
+    return found.search(QUERY)
+
+
 @query(BUILT + """SELECT count_if(type <> 'external') + count_if(type = 'external') AS n_nodes, count_if(type = 'external') AS n_external,
 (SELECT count(*) FROM ve) AS n_edges, (SELECT count(*) FROM g_edges) - (SELECT count(*) FROM ve) AS n_dropped FROM bn""")
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

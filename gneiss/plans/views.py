@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.session import spread
+
 STEP = 10**12
 
 
@@ -85,7 +87,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as nodes: the text is the name that searches weigh most."""
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return d.select(F.col("doc_id").alias("ord"), F.concat("lang", F.lit("/"), "doc_id").alias("id"), F.col("lang").alias("type"), F.col("text").alias("name"), F.col("source").alias("file"))
 
 

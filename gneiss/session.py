@@ -55,6 +55,12 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table whose files make fewer parts than there are cores is dealt over all cores; others, and thus large ones, stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """Hint a broadcast only for a table whose plan is known to be within a number of bytes (a written table is: its files are
     measured, compressed); beyond it Spark chooses, which means that it shuffles both sides."""

@@ -21,7 +21,8 @@ def test_communities_run_until_none_merge(spark):
     held, cut = dict.fromkeys(of.values(), 0), {}
     for i in range(n - 1):
         a, b = of[ids[i]], of[ids[i + 1]]
-        held[a], held[b] = held[a] + 1, held[b] + 1
+        held[a] += 1
+        held[b] += 1
         if a != b:
             cut[min(a, b), max(a, b)] = cut.get((min(a, b), max(a, b)), 0) + 1
     assert not [p for p, w in cut.items() if w - held[p[0]] * held[p[1]] / (2 * (n - 1)) > 1e-6]
