@@ -11,7 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,17 +114,17 @@ def write(pages: DataFrame, folder: str, min_shared: int = MIN_SHARED, file_byte
     again = again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_d"), "first")
     out = pages.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_d")), "left").select("page_id", "url", "body", "digest", "first")
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_fs(folder)
         task = TaskContext.get()
         part, sink, done, at, n = 0, None, 0, 0, 0
         name = lambda: f"{top}/part-{task.partitionId():06d}-{part:04d}.warc.gz"
         own = f".{task.taskAttemptId()}.open"
         for b in batches:
-            for i, url, payload, digest, first in zip(*(b[c].astype(object).where(b[c].notna(), None) for c in b.columns)):
+            for i, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns)):
                 if sink is None:
                     sink, at = fs.open_output_stream(name() + own, compression=None), 0
-                rec = record(None if i is None else int(i), url, "response" if first is None else "revisit", digest, None if first is None else int(first), payload if first is None else b"")
+                rec = record(i, url, "response" if first is None else "revisit", digest, first, payload if first is None else b"")
                 sink.write(rec)
                 at, n = at + len(rec), n + 1
                 if at >= file_bytes:
@@ -135,12 +135,12 @@ def write(pages: DataFrame, folder: str, min_shared: int = MIN_SHARED, file_byte
             sink.close()
             fs.move(name() + own, name())
             part += 1
-        yield pd.DataFrame({"files": [part], "records": [n]})
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["files", "records"])
 
     spark = pages.sparkSession
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-    return out.mapInPandas(put, "files long, records long").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
+    return out.mapInArrow(put, "files long, records long").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
 
 
 def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
@@ -151,9 +151,9 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, paylo
     parts = min(max(1, ranges.count()), 100_000)
     ranges = ranges.repartition(parts, "path", "start")
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, size, start in zip(b["path"], b["length"].tolist(), b["start"].tolist()):
+            for path, size, start in zip(*(c.to_pylist() for c in b.columns)):
                 fs, name = open_fs(path)
                 rows, held = [], 0
                 with fs.open_input_file(name) as f:
@@ -168,12 +168,14 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, paylo
                             rows, held = [], 0
                 yield _frame(rows)
 
-    return ranges.mapInPandas(take, RECORD)
+    return ranges.mapInArrow(take, RECORD)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of RECORD; ids never pass through floating point, which holds no longs beyond 2**53."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in RECORD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -375,3 +375,16 @@ def test_pipeline(spark):
     rows = docs.collect()
     want = brute.op6([r["doc_id"] for r in rows], [r["text"] for r in rows], 5, 80)
     assert sorted(r["doc_id"] for r in step.collect()) == sorted(k for k, (_, c) in want.items() if c == k) and step.columns == docs.columns
+
+
+def test_warc_large_ids(spark):
+    """Ids beyond 2**53, negative ones and null among them, come back as they are, and revisits find their response."""
+    big = [2**60 + 1, 2**60 + 3, 2**53 + 1, 2**63 - 1, -(2**62) - 1]
+    same, other = "x" * 200, "y" * 150
+    rows = [(i, f"http://a/{k}", same) for k, i in enumerate(big)] + [(2**61 + 5, "u", other), (2**61 + 7, None, other), (None, "n", same), (2**54 + 1, "s", "short"), (2**54 + 3, "s", "short"), (2**55 + 1, "z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    first = min(big)
+    assert got == {i: (200, "response" if i == first else "revisit", None if i == first else first) for i in big} | {
+        2**61 + 5: (150, "response", None), 2**61 + 7: (150, "revisit", 2**61 + 5), None: (200, "revisit", first), 2**54 + 1: (5, "response", None), 2**54 + 3: (5, "response", None), 2**55 + 1: (0, "response", None),
+    }
