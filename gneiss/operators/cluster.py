@@ -1,8 +1,11 @@
-"""Community detection by distributed local moving on modularity, with refinement into connected communities.
-
-A round is a few joins and aggregates over the edge table: each vertex weighs the communities of its neighbours and takes the best
-if it gains. Only a share of the vertices, chosen by a hash of the round, moves at a time, so that two neighbours don't swap
-for ever. Communities are then split into their connected parts, contracted to vertices, and moved again, until none merge.
+"""Community detection by the Leiden method on modularity, in rounds over the edge table.
+
+Moving: each vertex weighs the communities of its neighbours and takes the best if it gains. Only a share of the vertices, chosen by
+a hash of the round, moves at a time, so that two neighbours don't swap for ever. Refining: within each community vertices start
+alone and those that are well connected to it merge, at random but rather where they gain more, into parts that are well connected
+too. Parts become the vertices of the next level, which starts with the communities that moving found. It ends when each community is
+one part. Parts grow along edges and never lose a vertex, so communities are connected; and as no vertex of the last level wants to
+move, no two communities gain by merging.
 """
 
 from __future__ import annotations
@@ -12,21 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.operators.flags import flags, projection
-from gneiss.session import materialise
+from gneiss.session import discard, materialise
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """vertex, label: the least vertex of each connected part, by spreading minima and jumping along them."""
-    both = materialise(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "both-ways")
-    label = materialise(both.groupBy(F.col("u").alias("vertex")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    while True:
-        near = both.join(label.select(F.col("vertex").alias("v"), "label"), "v").groupBy(F.col("u").alias("vertex")).agg(F.min("label").alias("m"))
-        step = label.join(near, "vertex").select("vertex", F.least("label", "m").alias("next"), "label")
-        jump = step.join(step.select(F.col("vertex").alias("next"), F.col("next").alias("far")), "next", "left")
-        new = materialise(jump.select("vertex", F.coalesce(F.least("next", "far"), "next").alias("new"), "label"), "labels")
-        changed = new.filter("new <> label").count()
-        label = new.select("vertex", F.col("new").alias("label"))
-        if not changed:
-            return label
+#: How much parts are chosen at random, against gain; halvings of the vertices that join one part at once; the share of those that
+#: could join a part at first from which refining leaves the rest to the next level.
+RANDOMNESS, HALVINGS, SETTLED = 0.05, 12, 0.2
 
 
 def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
@@ -58,24 +51,25 @@ def _apart(at: DataFrame) -> DataFrame:
     return moves.select("vertex")
 
 
-def _move(edges: DataFrame, resolution: float, seed: int) -> DataFrame:
-    """vertex, community of a weighted graph (u, v, weight; u = v for inner weight), from which no vertex wants to move.
+def _degrees(edges: DataFrame) -> DataFrame:
+    """vertex, k of a weighted graph (u, v, weight; u = v for inner weight, which counts twice)."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("vertex"), "weight")
+    return ends.groupBy("vertex").agg(F.sum("weight").alias("k"))
+
+
+def _move(both: DataFrame, degrees: DataFrame, m2: float, resolution: float, seed: int, start: DataFrame | None) -> DataFrame:
+    """vertex, k, p: communities from which no vertex wants to move, starting from those of ``start`` (vertex, p), or alone.
 
     A share of the vertices moves at once. Where that does not raise modularity it is undone and a smaller share tried; below one
     vertex, the moves that don't touch each other's communities are made. So modularity grows with every state and the rounds end.
     """
-    both = edges.filter("u <> v").select("u", "v", "weight").union(edges.filter("u <> v").select("v", "u", "weight"))
-    both = materialise(both, "both-ways")
-    degree = both.groupBy(F.col("u").alias("vertex")).agg(F.sum("weight").alias("k")).join(edges.filter("u = v").groupBy(F.col("u").alias("vertex")).agg(F.sum(2 * F.col("weight")).alias("own")), "vertex", "full")
-    degree = degree.select("vertex", (F.coalesce("k", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))).alias("k"))
-    state = materialise(degree.withColumn("c", F.col("vertex")), "state")
-    m2 = state.agg(F.sum("k")).first()[0] or 1.0
+    state = degrees.withColumn("c", F.col("vertex")) if start is None else degrees.join(start.withColumnRenamed("p", "c"), "vertex")
 
     def weighed(state: DataFrame, turn: int) -> tuple[DataFrame, int, float]:
         found = _weigh(both, state, m2, resolution, turn)
         return found, *found.agg(F.count_if("wants"), F.coalesce(F.sum("q"), F.lit(0.0))).first()
 
-    at, wants, q = weighed(state, 0)
+    at, wants, q = weighed(materialise(state, "state"), 0)
     parts, turn = 2, 0
     while wants:
         bold = parts <= wants
@@ -85,11 +79,64 @@ def _move(edges: DataFrame, resolution: float, seed: int) -> DataFrame:
             go = at.join(_apart(at).withColumn("go", F.lit(True)), "vertex", "left")
         new = weighed(go.select("vertex", "k", F.when(F.col("go"), F.col("c")).otherwise(F.col("now")).alias("c")), turn + 1)
         if bold and new[2] <= q + 1e-12:
+            discard(new[0])
             parts *= 4
         else:
+            discard(at)
             (at, wants, q), parts = new, max(2, parts // 2)
         turn += 1
-    return at.select("vertex", F.col("now").alias("community"))
+    return at.select("vertex", "k", F.col("now").alias("p"))
+
+
+def _refine(both: DataFrame, moved: DataFrame, m2: float, resolution: float, seed: int, randomness: float = RANDOMNESS) -> DataFrame:
+    """vertex, r: connected parts of the communities of ``moved`` (vertex, k, p), each named by one of its vertices.
+
+    A vertex or part is well connected if its edges to the rest of its community weigh at least what chance gives them. Only
+    vertices that are alone join a part, in a round only those that a coin lets go, and only parts that stay. Of those that want to
+    join one part so many do that each still gains whatever the others add to its weight.
+    """
+    total = moved.groupBy("p").agg(F.sum("k").alias("all"))
+    own = moved.select("vertex", "k", "p")
+    inner = both.join(own.select(F.col("vertex").alias("u"), F.col("p").alias("pu")), "u").join(own.select(F.col("vertex").alias("v"), F.col("p").alias("pv")), "v").filter("pu = pv")
+    inner = materialise(inner.select("u", "v", "weight"), "inner")
+    within = inner.groupBy(F.col("u").alias("vertex")).agg(F.sum("weight").alias("w"))
+    fair = lambda k: resolution * F.col(k) * (F.col("all") - F.col(k)) / m2
+    state = own.join(total, "p").join(within, "vertex").select("vertex", "k", "all", (F.col("w") >= fair("k") - 1e-12).alias("well"), F.col("vertex").alias("r"))
+    state, turn, most = materialise(state, "parts"), 0, 0
+    coin = lambda c, turn: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+    while True:
+        label = state.select("vertex", "r")
+        across = inner.join(label.select(F.col("vertex").alias("u"), F.col("r").alias("ru")), "u").join(label.select(F.col("vertex").alias("v"), F.col("r").alias("d")), "v").filter("ru <> d")
+        across = materialise(across.groupBy("u", "ru", "d").agg(F.sum("weight").alias("w")), "across")
+        parts = state.groupBy("r").agg(F.sum("k").alias("held"), F.first("all").alias("all"), F.count("*").alias("n")).join(across.groupBy(F.col("ru").alias("r")).agg(F.sum("w").alias("out")), "r")
+        parts = parts.withColumn("open", F.col("out") >= fair("held") - 1e-12)
+        alone = state.filter("well").join(parts.filter("n = 1").select("r"), "r", "left_semi").select(F.col("vertex").alias("u"), "k")
+        options = across.select("u", "d", "w").join(alone, "u").join(parts.filter("open").select(F.col("r").alias("d"), "held", "n"), "d")
+        options = options.withColumn("gain", F.col("w") - resolution * F.col("k") * F.col("held") / m2).filter(F.col("gain") >= -1e-9 * F.col("k"))
+        options = materialise(options, "options")
+        discard(across)
+        could = options.agg(F.countDistinct("u")).first()[0]
+        most = max(most, could)
+        if could <= SETTLED * most:
+            discard(inner, options)
+            return label
+        free = options.filter(coin(F.col("u"), turn) & ((F.col("n") > 1) | ~coin(F.col("d"), turn)))
+        draw = F.pmod(F.xxhash64("u", "d", F.lit(seed + 1), F.lit(turn)), F.lit(1 << 40)) + F.lit(0.5)
+        luck = -F.log(-F.log(draw / float(1 << 40)))  # the greatest of such sums is drawn with odds exp(gain)
+        best = free.withColumn("luck", F.col("gain") / (randomness * F.col("k")) + luck).groupBy("u").agg(F.max(F.struct("luck", "d", "w", "k", "held")).alias("x")).select("u", "x.d", "x.w", "x.k", "x.held")
+        # of ever smaller halves of those that want the same part, the first in which some still gain with all of the half
+        order = F.pmod(F.xxhash64("u", F.lit(seed + 2), F.lit(turn)), F.lit(1 << HALVINGS))
+        best = materialise(best.withColumn("level", F.lit(HALVINGS) - F.when(order == 0, 0).otherwise(F.floor(F.log2(order.cast("double"))) + 1)), "best")
+        halves = range(HALVINGS + 1)
+        weight = best.groupBy("d").agg(F.array(*[F.sum(F.when(F.col("level") >= j, F.col("k")).otherwise(0.0)) for j in halves]).alias("joined"))
+        fits = F.array(*[(F.col("level") >= j) & (F.col("w") - resolution * F.col("k") * (F.col("held") + F.get("joined", F.lit(j)) - F.col("k")) / m2 > 0) for j in halves])
+        tried = best.join(weight, "d").select("u", "d", fits.alias("fits"), F.struct(F.col("level").alias("l"), "u").alias("last"))
+        first = tried.groupBy("d").agg(F.min(F.when(F.array_position("fits", True) > 0, F.array_position("fits", True))).alias("j"), F.max("last").alias("last"))
+        # where not even the last halves fit, one joins
+        joins = tried.join(first.withColumnRenamed("last", "one"), "d").filter(F.when(F.col("j").isNull(), F.col("last") == F.col("one")).otherwise(F.get("fits", (F.col("j") - 1).cast("int")))).select(F.col("u").alias("vertex"), F.col("d").alias("to"))
+        new = materialise(state.join(joins, "vertex", "left").withColumn("r", F.coalesce("to", "r")).drop("to"), "parts")
+        discard(state, options, best)
+        state, turn = new, turn + 1
 
 
 def _sliced(sizes: DataFrame) -> DataFrame:
@@ -115,20 +162,21 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, see
     """
     base = materialise(projection(edges).join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi").join(nodes.select(F.col("id").alias("v")).distinct(), "v", "left_semi"), "projection")
     place = nodes.select(F.col("id").alias("vertex")).distinct().withColumn("at", F.col("vertex"))
-    graph, level = base, 0
+    m2 = 2 * (base.agg(F.sum("weight")).first()[0] or 0.5)
+    graph, start, level = base, None, 0
     while True:
-        moved = _move(graph, resolution, seed + level)
-        ends = graph.join(moved.select(F.col("vertex").alias("u"), F.col("community").alias("cu")), "u").join(moved.select(F.col("vertex").alias("v"), F.col("community").alias("cv")), "v")
-        inner = ends.filter("cu = cv and u <> v").select("u", "v")
-        part = _labels(inner)  # refinement: only what hangs together is contracted
-        merged = part.filter("vertex <> label").count()
-        place = materialise(place.join(part.select(F.col("vertex").alias("at"), "label"), "at", "left").select("vertex", F.coalesce("label", "at").alias("at")), "places")
-        if not merged:
+        both = materialise(graph.filter("u <> v").select("u", "v", "weight").union(graph.filter("u <> v").select("v", "u", "weight")), "both-ways")
+        moved = materialise(_move(both, _degrees(graph), m2, resolution, seed + level, start), "moved")
+        if moved.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             break
-        graph = graph.join(part.select(F.col("vertex").alias("u"), F.col("label").alias("lu")), "u", "left").join(part.select(F.col("vertex").alias("v"), F.col("label").alias("lv")), "v", "left")
-        a, b = F.coalesce("lu", "u"), F.coalesce("lv", "v")
-        graph = materialise(graph.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), "weight").groupBy("u", "v").agg(F.sum("weight").alias("weight")), "contracted")
-        level += 1
+        # what moving joined has inner edges that gain, so some vertices merge and the next level is smaller
+        part = materialise(_refine(both, moved, m2, resolution, seed + level), "refined")
+        new = materialise(place.join(part.withColumnRenamed("vertex", "at"), "at", "left").select("vertex", F.coalesce("r", "at").alias("at")), "places")
+        small = graph.join(part.select(F.col("vertex").alias("u"), F.col("r").alias("ru")), "u").join(part.select(F.col("vertex").alias("v"), F.col("r").alias("rv")), "v")
+        small = materialise(small.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.sum("weight").alias("weight")), "contracted")
+        start = materialise(moved.join(part, "vertex").filter("vertex = r").select("vertex", "p"), "start")
+        discard(both, moved, part, place, *([graph] if level else []))
+        graph, place, level = small, new, level + 1
     sizes = place.join(nodes.groupBy(F.col("id").alias("vertex")).agg(F.min("ord").alias("ord")), "vertex").groupBy("at").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     return place.join(_numbered(sizes), "at").select(F.col("vertex").alias("id"), "community")
 

@@ -28,8 +28,7 @@ UNIQUE, PACKAGE, RECEIVER, PATH = "symbol_index: unique match", "symbol_index: s
 ORDER = {"python": 0, "java": 1, "javascript": 2, "generic": 3}
 
 
-def dialect(file: Column) -> Column:
-    language = X.language_of(file, lower=False)
+def _dialect(language: Column) -> Column:
     return F.when(language == "python", "python").when(language == "java", "java").when(language.isin("javascript", "typescript", "tsx"), "javascript").otherwise("generic")
 
 
@@ -105,8 +104,9 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
     A reference whose kind makes no edge is dropped once it has a target.
     """
     refs = refs.select("ord", "source", "raw", "kind", "file")
-    r = refs.withColumn("dialect", dialect(F.col("file")))
-    r = r.withColumn("name", F.coalesce(symbol(F.col("raw"), F.col("kind"), F.col("dialect")), F.lit("")))
+    # dialect and name are evaluated once, as lambda variables: as plain columns they would be written out in each branch that tests them
+    r = refs.withColumn("dialect", F.transform(F.array(X.language_of(F.col("file"), lower=False)), _dialect)[0])
+    r = r.withColumn("name", F.transform(F.array("dialect"), lambda d: F.coalesce(symbol(F.col("raw"), F.col("kind"), d), F.lit("")))[0])
     denied = (F.col("kind") == "call") & (((F.col("dialect") == "java") & F.col("name").isin(*java_deny)) | ((F.col("dialect") == "javascript") & F.col("name").isin(*js_deny)))
     index = nodes.filter("name is not null and name <> ''")
     counted = index.groupBy("name").agg(F.count("*").alias("k"), F.min("id").alias("only"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
 from gneiss.operators.search import adjacency
+from gneiss.session import materialise
 
 MAX_NEIGHBOURS, MAX_MEMBERS, MAX_HOPS = 25, 20, 10
 PATH_HOPS, PATH_CHILDREN, PATH_CAP = 4, 3, 8
@@ -83,14 +84,19 @@ def view(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] = (), gods_o
 
 
 def breadcrumb(edges: DataFrame, ids: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """id, hop, ancestor: the chain of containers of each id, following the first CONTAINS edge into a node."""
+    """id, hop, ancestor: the chain of containers of each id, following the first CONTAINS edge into a node; a cycle ends where it closes."""
     parent = edges.filter(F.col("type") == "CONTAINS").groupBy("target").agg(F.min(F.struct("ord", "source")).alias("p")).select(F.col("target").alias("at"), F.col("p.source").alias("ancestor"))
+    parent = materialise(parent, "parents")
     level = ids.select("id", F.col("id").alias("at"), F.array("id").alias("seen"))
     chains = []
+    # each hop is one join with what the last one wrote, so plans don't grow with the hops; it stops where no chain goes on
     for hop in range(1, hops + 1):
         up = level.join(parent, "at").filter(~F.array_contains("seen", F.col("ancestor")))
-        chains.append(up.select("id", F.lit(hop).alias("hop"), "ancestor"))
-        level = up.select("id", F.col("ancestor").alias("at"), F.concat("seen", F.array("ancestor")).alias("seen"))
+        up = materialise(up.select("id", F.lit(hop).alias("hop"), F.col("ancestor").alias("at"), F.concat("seen", F.array("ancestor")).alias("seen")), "hop")
+        chains.append(up.select("id", "hop", F.col("at").alias("ancestor")))
+        if up.isEmpty():
+            break
+        level = up.drop("hop")
     out = chains[0]
     for c in chains[1:]:
         out = out.unionByName(c)

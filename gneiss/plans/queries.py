@@ -142,6 +142,7 @@ SELECT r.id, direction, CAST(place AS INT) AS place, other, coalesce(bn.name, ot
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first neighbours each way of every node."""
     nodes, edges = build.build(*_pair(views.graph(spark, sf_dir)))
+    nodes = materialise(nodes, "nodes")
     return traverse.neighbours(nodes, edges, nodes.select("id"))
 
 
@@ -345,10 +346,11 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) > 20")
+@query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1")
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifier tokens of more than twenty documents."""
-    return token_frequencies(spark, sf_dir).filter("df > 20")
+    """How many documents hold each identifier token; a document's tokens are made distinct before they are dealt."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.array_distinct(X.identifier_tokens(F.col("text")))).alias("token"))
+    return d.groupBy("token").agg(F.count("doc_id").alias("df"))
 
 
 @query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")

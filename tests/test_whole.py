@@ -1,31 +1,49 @@
 """Operators that do the whole job: no cap on rounds, no threshold, no rows left out."""
 
+import random
 import re
 from collections import Counter
 
 from gneiss.functions import text as X
 from gneiss.operators import cluster
 from gneiss.plans import queries as Q
+from gneiss.session import materialise
 from gneiss.sources import files
 
 ORDER = "ord long, id string"
 EDGES = "ord long, source string, target string, type string, weight double"
 
 
-def test_communities_run_until_none_merge(spark):
-    """On a long path no two communities gain by merging; three levels leave some that do."""
-    n = 1200
+def test_communities_of_planted_groups_and_a_path(spark):
+    """Every community hangs together, no two gain by merging, planted groups are found, and modularity is not below theirs."""
+    rng = random.Random(1)
+    pairs = [(a, b) for a in range(60) for b in range(a) if rng.random() < (0.6 if a % 4 == b % 4 else 0.02)]
+    pairs += [(i, i + 1) for i in range(60, 139)]
+    n, m = 140, len(pairs)
     ids = [f"n{i:04d}" for i in range(n)]
-    edges = spark.createDataFrame([(i, ids[i], ids[i + 1], "CALLS", 1.0) for i in range(n - 1)], EDGES)
-    of = {r["id"]: r["community"] for r in cluster.communities(spark.createDataFrame(list(enumerate(ids)), ORDER), edges).collect()}
-    held, cut = dict.fromkeys(of.values(), 0), {}
-    for i in range(n - 1):
-        a, b = of[ids[i]], of[ids[i + 1]]
-        held[a] += 1
-        held[b] += 1
-        if a != b:
-            cut[min(a, b), max(a, b)] = cut.get((min(a, b), max(a, b)), 0) + 1
-    assert not [p for p, w in cut.items() if w - held[p[0]] * held[p[1]] / (2 * (n - 1)) > 1e-6]
+    edges = spark.createDataFrame([(i, ids[a], ids[b], "CALLS", 1.0) for i, (a, b) in enumerate(pairs)], EDGES)
+    got = materialise(cluster.communities(spark.createDataFrame(list(enumerate(ids)), ORDER), edges))
+    of = {r["id"]: r["community"] for r in got.collect()}
+    of = [of[i] for i in ids]
+    held, cut, root = Counter(), Counter(), list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        held[of[a]] += 1
+        held[of[b]] += 1
+        if of[a] == of[b]:
+            root[find(a)] = find(b)
+        else:
+            cut[min(of[a], of[b]), max(of[a], of[b])] += 1
+    assert not [p for p, w in cut.items() if w - held[p[0]] * held[p[1]] / (2 * m) > 1e-6]
+    assert len({find(i) for i in range(n)}) == len(set(of))
+    assert [len({of[i] for i in range(g, 60, 4)}) for g in range(4)] == [1] * 4 and len(set(of[:60])) == 4
+    planted = spark.createDataFrame([(i, k % 4 if k < 60 else 10 + (k - 60) // 9) for k, i in enumerate(ids)], "id string, community int")
+    assert cluster.modularity(edges, got).first()["q"] >= cluster.modularity(edges, planted).first()["q"] - 0.01
 
 
 def test_communities_are_numbered_in_slices(spark):
