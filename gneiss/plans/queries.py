@@ -11,7 +11,7 @@ from gneiss.functions import text as X
 from gneiss.operators import answers, build, cluster, flags, index, merge, render, resolve, search, traverse
 from gneiss.plans import views
 from gneiss.session import delete_at_end, materialise, scratch_path
-from gneiss.streaming import patches
+from gneiss.streaming import messages, patches
 
 QUERY = "the pathetic loser and the trash"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +341,19 @@ def conversation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
 
 
+@query("""WITH f AS (SELECT conv_id, conv_id % 11 = 0 AS failed, conv_id % 5 = 0 AS cut, conv_id % 7 = 0 AS lost, turn + 1 AS seq, text, max(turn) OVER (PARTITION BY conv_id) + 2 AS e FROM conversations),
+k AS (SELECT * FROM f WHERE NOT (lost AND seq = 2)), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) = seq AS reached FROM k)
+SELECT 'c' || conv_id AS message_id, CASE WHEN bool_and(reached) AND NOT any_value(cut) AND NOT (any_value(lost) AND any_value(e) = 3) THEN CASE WHEN any_value(failed) THEN 'error' ELSE 'done' END ELSE 'timeout' END AS outcome,
+  coalesce(string_agg(text, '' ORDER BY seq) FILTER (reached), '') AS text, count_if(reached) AS frames FROM r GROUP BY conv_id""")
+def assembled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as frames, a turn each and an end: some fail, some lose their end and some their second turn."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = F.concat(F.lit("c"), "conv_id").alias("message_id")
+    turns = c.filter(~((F.col("conv_id") % 7 == 0) & (F.col("turn") == 1))).select(key, (F.col("turn") + 1).alias("seq"), F.lit("delta").alias("kind"), "text")
+    ends = c.groupBy("conv_id").agg(F.max("turn").alias("last")).filter("conv_id % 5 <> 0").select(key, (F.col("last") + 2).alias("seq"), F.when(F.col("conv_id") % 11 == 0, "error").otherwise("done").alias("kind"), F.lit(None).cast("string").alias("text"))
+    return messages.assemble(turns.unionByName(ends).unionByName(turns.filter("seq % 3 = 0")))
+
+
 @query("""SELECT conv_id, string_agg('**' || role || '**' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY 1""")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
