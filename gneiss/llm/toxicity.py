@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from gneiss.session import materialise, small_batches
 
-#: Bounds of the training samples, both of labelled rows: confirmed toxic ones, and rows whose label is not looked at.
+#: Bounds of the training samples: confirmed toxic texts, and texts of any kind whose labels, if they have one, are not looked at.
 POSITIVES, UNLABELLED = 10_000, 40_000
-#: Toxic texts are taken to be at most this share of all: few positives leave the estimate of the class prior too loose.
+#: The greatest class prior that is taken from the samples: few positives leave its estimate too loose.
 MOST_PRIOR = 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -56,26 +56,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_prior: float = MOST_PRIOR) -> dict:
     """words, weights and prior. docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` marks teach nothing.
 
-    Two samples, chosen by a hash, of at most about ``positives`` toxic and ``unlabelled`` texts: the second is drawn from all labelled rows
-    without regard to their label, so it stands for unlabelled text. Of repeated ids the smallest text counts, and the label is toxic where one
+    Two samples, chosen by a hash, of at most about ``positives`` toxic and ``unlabelled`` texts: the second is drawn from all rows of ``docs``,
+    labelled or not. Rows of null id teach nothing. Of repeated ids the smallest text counts, and the label is toxic where one
     is. Every word is a feature that positive texts have more often than unlabelled ones (by half, and by four deviations).
     The class prior, where none is given, comes from the two samples: unlabelled text holds any word at least prior times as often
-    as toxic text does, so the least ratio of all words, each a deviation up above and down below, bounds it, as MOST_PRIOR does.
+    as toxic text does, so the least ratio of all words, each a deviation up above and down below, bounds it, as ``most_prior`` does:
+    a corpus of which more is toxic needs a greater one, or its own ``prior``.
     Without a positive example there are no words and every score is 0; without a word that tells, every score is the prior.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(~held_out() & (F.col("toxic").cast("int") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     known = materialise(known, "labels")
-    n = known.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    if not n["toxic"]:
+    teach = docs.select("doc_id", "text").filter(~held_out() & F.col("doc_id").isNotNull())
+    n, toxic = teach.count(), known.count()
+    if not n or not toxic:
         return {"words": [], "weights": None, "prior": 0.0}
     draw = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    roles = F.array_compact(F.array(F.when((F.col("toxic") == 1) & (draw(1) < positives / n["toxic"]), 1), F.when(draw(2) < unlabelled / n["all"], 0)))
-    chosen = known.select("doc_id", roles.alias("roles")).filter(F.size("roles") > 0)
-    # the ids chosen are at most about as many as the samples' bounds
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("roles").alias("roles"))
+    # the toxic ids chosen are at most about as many as their sample's bound
+    chosen = known.filter(draw(1) < positives / toxic).select("doc_id", F.lit(1).alias("sure"))
+    roles = F.array_compact(F.array("sure", F.when(draw(2) < unlabelled / n, 0)))
+    texts = teach.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", roles.alias("roles")).filter(F.size("roles") > 0).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("roles").alias("roles"))
 
     def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     z = (a - b) / F.sqrt(da * da + db * db)
     seen = materialise(seen.select("word", F.when(a > da, (b + db) / (a - da)).alias("ratio"), ((z > 4) & (a > 1.5 * b)).alias("tells")), "words")
     if prior is None:
-        prior = min(max(seen.agg(F.min("ratio")).first()[0] or 1.0, 1e-3), MOST_PRIOR)
+        prior = min(max(seen.agg(F.min("ratio")).first()[0] or 1.0, 1e-3), most_prior)
     words = sorted(r["word"] for r in seen.filter("tells").select("word").collect())
     if not words:
         return {"words": [], "weights": None, "prior": prior}

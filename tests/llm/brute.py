@@ -170,15 +170,15 @@ def linked(text: str | None, scope: int = 200) -> list[tuple]:
 
 
 def op9(texts: dict[int, str | None], known: dict[int, int]) -> tuple[list[str], float, dict[int, float]]:
-    """Words that tell, class prior and scores by id, by dense matrices over all labelled rows of texts with distinct ids."""
+    """Words that tell, class prior and scores by id, by dense matrices over all texts with distinct ids."""
 
     def parts(text: str | None) -> set[str]:
         words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
         return words.union(w[:5] + "*" for w in words if len(w) > 5)
 
-    learn = [i for i in known if i in texts and zlib.crc32(str(i).encode()) % 5]
+    learn = [i for i in texts if i is not None and zlib.crc32(str(i).encode()) % 5]
     u = [parts(texts[i]) for i in learn]
-    p = [x for i, x in zip(learn, u) if known[i]]
+    p = [x for i, x in zip(learn, u) if known.get(i)]
     tell, prior = [], 1.0
     for w in set().union(*p):
         k = sum(w in x for x in p)
