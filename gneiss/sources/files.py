@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import ast
 import builtins
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
+from gneiss.sources import parsers
 
 MAX_BYTES = 1_000_000
 SKIPPED_DIRS = ("node_modules", "__pycache__", "venv", "env", "build", "dist", "target", "out", "vendor", "coverage", "site-packages")
@@ -40,10 +39,26 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     return files.filter(is_source(F.col("path"))).select("path", X.language_of(F.col("path")).alias("language"), "length", "content")
 
 
+def inside(path: Column) -> Column:
+    """A relative path with . and .. worked out; null if it is absolute or climbs out of the root."""
+    step = lambda at, x: F.when(x != "..", F.array_append(at, x)).when(F.size(at) > 0, F.slice(at, 1, F.size(at) - 1))
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(~F.startswith(path, F.lit("/")), F.when(whole.isNotNull(), F.array_join(whole, "/")))
+
+
+def asked(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """asked, path, outcome of each distinct path that is asked for (column path): found; missing among ``files``, null paths too; or refused, since it
+    is absolute or climbs out of the root. ``path`` is what the files call it."""
+    wanted = paths.select(F.col("path").alias("asked"), inside(F.col("path")).alias("path")).distinct()
+    there = files.select("path", F.lit(True).alias("there")).distinct()
+    outcome = F.when(F.col("there"), "found").when(F.col("path").isNull() & F.col("asked").isNotNull(), "refused").otherwise("missing")
+    return wanted.join(there, "path", "left").select("asked", "path", outcome.alias("outcome"))
+
+
 def only(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """The listed files (column path); paths that climb out of the root are refused."""
-    inside = paths.filter(~F.startswith("path", F.lit("/")) & ~F.array_contains(F.split("path", "/"), ".."))
-    return files.join(inside.select("path").distinct(), "path", "left_semi")
+    """The listed files (column path); paths that climb out of the root are refused, see ``asked``."""
+    return files.join(paths.select(inside(F.col("path")).alias("path")).distinct(), "path", "left_semi")
 
 
 def name_status(lines: DataFrame) -> DataFrame:
@@ -67,14 +82,8 @@ def decoded_content(content: Column, encoding: Column) -> Column:
     return F.when(encoding == "base64", F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64")).cast("string")).otherwise(content)
 
 
-# Python files: one task reads many, each on its own; the tree of a file is the only thing held
+# Python files: the tree of one file is the only thing held
 
-_NODE = "struct<id:string,type:string,name:string,line_start:int,line_end:int,params:array<string>,docstring:string,return_type:string>"
-_EDGE = "struct<source:string,target:string,type:string>"
-_REF = "struct<source:string,raw:string,kind:string,line:int>"
-#: A name of an import statement: the path its module would have, what it is bound to, and the place of the statement's ref.
-_IMPORT = "struct<module:string,top:string,name:string,bound:string,ref_at:int>"
-PARSED = f"path string, error string, nodes array<{_NODE}>, edges array<{_EDGE}>, refs array<{_REF}>, imports array<{_IMPORT}>"
 _BUILTIN = frozenset(dir(builtins)) | {m for t in (str, list, dict, set, bytes, int, float, tuple) for m in dir(t)}
 
 
@@ -169,21 +178,24 @@ class _Walk(ast.NodeVisitor):
                 self.refs.append((me, ast.unparse(f), "call", n.lineno))
 
 
-def parse_python(files: DataFrame) -> DataFrame:
-    """path, error, nodes, edges, refs of each Python file; a file that can't be read or parsed has an error and nothing else."""
+def python_module(path: str, text: str) -> parsers.Parsed:
+    """The rows of one Python file."""
+    w = _Walk(path, text)
+    return w.nodes, w.edges, w.refs, w.imports
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    w = _Walk(path, bytes(content).decode("utf-8"))
-                    rows.append((path, None, w.nodes, w.edges, w.refs, w.imports))
-                except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, f"{path}: {type(e).__name__}", [], [], [], []))
-            yield pd.DataFrame(rows, columns=["path", "error", "nodes", "edges", "refs", "imports"])
+#: The parsers that come with the library; ``register`` adds others.
+PARSERS = parsers.Parsers({"python": python_module})
 
-    return files.filter("language = 'python'").select("path", "content").mapInPandas(run, PARSED)
+
+def parse_files(files: DataFrame, known: parsers.Parsers = PARSERS) -> DataFrame:
+    """Each file with status, error, nodes, edges, refs and imports, see ``parsers.parse``."""
+    return parsers.parse(files, known)
+
+
+def parse_python(files: DataFrame) -> DataFrame:
+    """The Python files alone, parsed; a file that can't be read or parsed has an error and nothing else."""
+    return parse_files(files.filter("language = 'python'"))
 
 
 def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -191,9 +203,10 @@ def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = F.pmod(F.xxhash64("path"), F.lit(2**42)) * F.lit(2**20)
 
     def rows(c: str) -> DataFrame:
-        return parsed.select("path", F.posexplode(c).alias("at", "x")).select((base + F.col("at")).alias("ord"), "x.*", F.col("path").alias("file"))
+        found = parsed.select("path", "language", F.posexplode(c).alias("at", "x"))
+        return found.select((base + F.col("at")).alias("ord"), "x.*", F.col("path").alias("file"), "language")
 
-    return rows("nodes").withColumn("language", F.lit("python")), rows("edges").drop("file"), rows("refs")
+    return rows("nodes"), rows("edges").drop("file", "language"), rows("refs").drop("language")
 
 
 def link(parsed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,8 +258,17 @@ def script_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.drop("resolved").join(found, ["file", "specifier"], "left")
 
 
-def parse_stats(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """files_parsed, files_skipped, languages and errors, one row. Files without a parser are skipped, broken ones are errors."""
-    all_files = files.agg(F.count("*").alias("all"))
-    ok = parsed.agg(F.count_if(F.col("error").isNull()).alias("files_parsed"), F.count("*").alias("tried"), F.array_sort(F.collect_list("error")).alias("errors"))
-    return ok.join(F.broadcast(all_files)).select(F.col("files_parsed").cast("int"), (F.col("all") - F.col("tried")).cast("int").alias("files_skipped"), F.create_map(F.lit("python"), F.col("files_parsed").cast("int")).alias("languages"), "errors")
+def parse_stats(parsed: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """files_parsed, files_skipped, languages (files parsed by language) and errors of ``parse_files``, one row.
+
+    Files without a parser are skipped, broken ones are errors. Where the files were listed (``asked``), missing ones count as skipped, and refused
+    ones as skipped and as errors. Nothing parsed gives zeros, no languages and no errors.
+    """
+    told = parsed.select("status", "language", "error")
+    if listed is not None:
+        why = F.when(F.col("outcome") == "refused", F.concat("asked", F.lit(": refused")))
+        told = told.unionByName(listed.filter("outcome <> 'found'").select(F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("language"), why.alias("error")))
+    by = told.groupBy("language").agg(F.count_if(F.col("status") == "parsed").cast("int").alias("n"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.collect_list("error").alias("errors"))
+    some = F.collect_list(F.when(F.col("n") > 0, F.struct("language", "n")))  # one for each language
+    all_of = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("parsed"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"), F.map_from_entries(some).alias("languages"), F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors"))
+    return all_of.select(F.col("parsed").cast("int").alias("files_parsed"), F.col("skipped").cast("int").alias("files_skipped"), "languages", "errors")

@@ -169,12 +169,12 @@ def test_python_files(spark, tmp_path):
     (tmp_path / "conf.json").write_text("{}")
     found = files.scan(spark, str(tmp_path))
     assert rows(found, "path", "language") == [("pkg/a.py", "python"), ("pkg/b.java", "java"), ("pkg/bad.py", "python")]
-    parsed = files.parse_python(found)
+    parsed = files.parse_files(found)
     n, e, r = files.tables(parsed)
     assert rows(n, "id", "type") == [("pkg/a.py", "module"), ("pkg/a.py::A", "class"), ("pkg/a.py::A.run", "method"), ("pkg/a.py::A.stop", "method"), ("pkg/a.py::deco", "function"), ("pkg/a.py::helper", "function")]
     assert {("pkg/a.py::A.run", "pkg/a.py::A.stop", "CALLS"), ("pkg/a.py::A.run", "pkg/a.py::helper", "CALLS"), ("pkg/a.py::helper", "pkg/a.py::deco", "DECORATES"), ("pkg/a.py", "pkg/a.py::A", "CONTAINS")} <= set(rows(e, "source", "target", "type"))
     assert rows(r, "raw", "kind") == [("Base", "inherits"), ("import os", "import")]
-    stats = files.parse_stats(found, parsed).first()
+    stats = files.parse_stats(parsed).first()
     assert stats["files_parsed"] == 1 and stats["files_skipped"] == 1 and len(stats["errors"]) == 1
     lines = spark.createDataFrame([("A\tx.py",), ("R090\told.py\tnew.py",), ("C100\ta\tb",), ("D\tz.py",)], "value string")
     assert rows(files.name_status(lines), "status", "path", "old_path") == [("A", "x.py", None), ("D", "z.py", None), ("R", "new.py", "old.py")]
