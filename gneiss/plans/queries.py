@@ -11,6 +11,7 @@ from gneiss.functions import text as X
 from gneiss.operators import answers, build, cluster, flags, index, merge, render, resolve, search, traverse
 from gneiss.plans import views
 from gneiss.session import delete_at_end, materialise, scratch_path
+from gneiss.sources import payloads
 from gneiss.streaming import messages, patches
 
 QUERY = "the pathetic loser and the trash"
@@ -359,6 +360,26 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query("""SELECT o_orderkey AS tree_id, CASE WHEN o_orderstatus = 'P' THEN 'not JSON' END AS error, count(l_orderkey) FILTER (o_orderstatus <> 'P') AS n_nodes,
+  CAST(sum(l_linenumber) FILTER (o_orderstatus <> 'P' AND l_returnflag <> 'R') AS BIGINT) AS lines, count(*) FILTER (o_orderstatus <> 'P' AND (l_returnflag = 'R' OR l_linestatus = 'O')) AS n_rescued,
+  CAST(sum(CAST(floor(l_quantity) AS BIGINT)) FILTER (o_orderstatus <> 'P' AND l_linestatus = 'O') AS BIGINT) AS quantity
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as payloads with a node for each line: some texts are cut off, some lines give their number as text, some have a field of their own."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("tree_id"), "o_orderstatus")
+    own = [F.concat(F.lit("part "), "l_partkey").alias("id"), F.col("l_linestatus").alias("type"), F.when(F.col("l_linestatus") == "O", F.floor("l_quantity")).alias("quantity")]
+    number = F.col("l_linenumber")
+    element = F.when(F.col("l_returnflag") == "R", F.to_json(F.struct(*own, number.cast("string").alias("line_start")))).otherwise(F.to_json(F.struct(*own, number.alias("line_start"))))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("tree_id")).agg(F.array_join(F.collect_list(element), ",").alias("elements"))
+    text = F.concat(F.lit('{"nodes":['), F.coalesce("elements", F.lit("")), F.lit("]"), F.when(F.col("o_orderstatus") == "P", "").otherwise("}"))
+    trees = materialise(payloads.parsed(o.join(lines, "tree_id", "left").select("tree_id", text.alias("payload"))), "trees")
+    nodes = payloads.rows(trees, "nodes").groupBy("tree_id").agg(
+        F.count("*").alias("n_nodes"), F.sum("line_start").alias("lines"), F.count("rescued").alias("n_rescued"), F.sum(F.try_variant_get("rescued", "$.quantity", "long")).alias("quantity")
+    )
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_nodes", "n_rescued")]
+    return trees.join(nodes, "tree_id", "left").select("tree_id", "error", *none, "lines", "quantity")
+
+
 @query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1")
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each identifier token; a document's tokens are made distinct before they are dealt."""

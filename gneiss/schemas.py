@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODES = (
@@ -22,7 +22,11 @@ def split(schema: str) -> list[str]:
     return re.split(r", (?![^<]*>)", schema)
 
 
+def defaults() -> dict[str, Column]:
+    """The values of columns of nodes and edges that are null: no parameters, no metadata, extracted, weight one, no flags."""
+    return {"params": F.array().cast("array<string>"), "metadata": F.create_map().cast("map<string,string>"), "confidence": F.lit("EXTRACTED"), "weight": F.lit(1.0), "is_god": F.lit(False), "is_orphan": F.lit(False)}
+
+
 def filled(rows: DataFrame) -> DataFrame:
-    """Nodes or edges with the defaults of columns that are null: no parameters, no metadata, extracted, weight one, no flags."""
-    defaults = {"params": F.array().cast("array<string>"), "metadata": F.create_map().cast("map<string,string>"), "confidence": F.lit("EXTRACTED"), "weight": F.lit(1.0), "is_god": F.lit(False), "is_orphan": F.lit(False)}
-    return rows.withColumns({c: F.coalesce(c, v) for c, v in defaults.items() if c in rows.columns})
+    """Nodes or edges with the defaults of columns that are null."""
+    return rows.withColumns({c: F.coalesce(c, v) for c, v in defaults().items() if c in rows.columns})

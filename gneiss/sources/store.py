@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from gneiss import schemas
 from gneiss.functions import text as X
+from gneiss.session import materialise
+from gneiss.sources import payloads
 from gneiss.sources.log import Change, Log, Part, State
 
 GRAPH_KEY = ["user_id", "repo_url", "branch"]
 GRAPHS = "graph_id string, user_id string, repo_url string, branch string, status string, n_nodes long, n_edges long, n_communities long, last_commit_sha string, updated_at timestamp"
 TREES = "tree_id string, graph_id string, status string, n_nodes long, n_edges long, last_commit_sha string"
+#: Rows of trees; what a payload held beside the typed columns is rescued.
+TREE_TABLES = {f"tree_{part}": f"{schema}, rescued variant" for part, schema in payloads.LISTS.items()}
+TREE_ERRORS = "tree_id string, list string, place int, error string, element string"
 CLONES = "user_id string, owner string, repo string, branch string, path string, last_sha string, size_bytes long"
 HISTORY = "graph_id string, version long, sha string, n_nodes long, n_edges long, at timestamp"
 RUNS = "graph_id string, mode string, status string, at timestamp, nodes_added long, nodes_removed long, edges_added long, edges_removed long"
@@ -96,28 +101,53 @@ class Store:
     def save_trees(self, rows: DataFrame) -> None:
         self._replace("save trees", "trees", TREES, lambda old: upsert(old, rows, ["tree_id"]))
 
-    def save_tree(self, row: DataFrame, payload: Payload) -> None:
-        """A tree's row (of TREES) and its nodes, edges and references, all in one commit; those it had before go."""
+    def save_tree(self, row: DataFrame, payload: Payload, errors: DataFrame | None = None) -> None:
+        """A tree's row (of TREES), its nodes, edges and references and its unreadable elements, all in one commit; those it had before go."""
         tree_id = row.first()["tree_id"]
         one = {"tree_id": tree_id}
 
         def plan(state: State) -> Change:
             change = Change(reads=[("tree_nodes", one)])
-            for table, rows, schema in zip(("tree_nodes", "tree_edges", "tree_refs"), payload, (schemas.NODES, schemas.EDGES, schemas.REFS)):
-                change.add.append((table, one, fitted(rows, schema), ()))
-                change.remove.append((table, one))
+            change.remove += [(t, one) for t in (*TREE_TABLES, "tree_errors")]
+            change.add += [(table, one, fitted(rows, schema), ()) for (table, schema), rows in zip(TREE_TABLES.items(), payload)]
+            if errors is not None:
+                change.add.append(("tree_errors", one, fitted(errors, TREE_ERRORS), ()))
             return self._with(change, state, "trees", TREES, lambda old: upsert(old, row, ["tree_id"]))
 
         self.log.commit("save tree", plan)
 
-    def tree(self, tree_id: str, status: str | None = None) -> Payload | None:
-        """A tree's nodes, edges and references with defaults filled in; None if there is no such tree, or it is in another state."""
+    def index_tree(self, payload: DataFrame, sha: str) -> None:
+        """Keep a payload (one row of tree_id, payload) as a tree that is ready, with its counts; a tree that is there keeps its graph.
+
+        An unreadable payload is an error and changes nothing; elements that are no objects are kept apart, see ``tree_errors``.
+        """
+        tree = materialise(payloads.parsed(payload), "payload")
+        found = tree.select("tree_id", "error").take(2)
+        if len(found) != 1:
+            raise ValueError("one row of tree_id and payload is expected")
+        if found[0]["error"]:
+            raise ValueError(f"tree {found[0]['tree_id']}: {found[0]['error']}")
+        lists = {part: payloads.rows(tree, part) for part in payloads.LISTS}
+        good = Payload(*[rows.filter("error IS NULL") for rows in lists.values()])
+        bad = [rows.filter("error IS NOT NULL").select("tree_id", F.lit(part).alias("list"), "place", "error", F.to_json("rescued").alias("element")) for part, rows in lists.items()]
+        row = tree.select("tree_id", F.lit("READY").alias("status"), *[F.lit(rows.count()).cast("long").alias(f"n_{part}") for part, rows in zip(("nodes", "edges"), good)], F.lit(sha).alias("last_commit_sha"))
+        self.save_tree(row, good, bad[0].unionByName(bad[1]).unionByName(bad[2]))
+
+    def tree_errors(self, tree_id: str) -> DataFrame:
+        """tree_id, list, place, error, element: what a tree's payload held that is no node, edge or reference."""
+        return self.log.read("tree_errors", TREE_ERRORS, tree_id=tree_id)
+
+    def tree(self, tree_id: str, status: str | None = None, rescued: bool = False) -> Payload | None:
+        """A tree's nodes, edges and references with defaults filled in, and what was rescued, if asked for; None if there is no such tree, or it
+        is in another state."""
         state = self.log.state()
         found = self.read("trees", TREES, state).filter(F.col("tree_id") == tree_id).first()
         if found is None or status is not None and found["status"] != status:
             return None
-        nodes, edges, refs = (self.log.read(t, s, state, tree_id=tree_id) for t, s in (("tree_nodes", schemas.NODES), ("tree_edges", schemas.EDGES), ("tree_refs", schemas.REFS)))
-        return Payload(schemas.filled(nodes), schemas.filled(edges), refs)
+        nodes, edges, refs = (self.log.read(t, s, state, tree_id=tree_id) for t, s in TREE_TABLES.items())
+        if not rescued:
+            nodes, edges, refs = schemas.filled(nodes).drop("rescued"), schemas.filled(edges).drop("rescued"), refs.drop("rescued")
+        return Payload(nodes, edges, refs)
 
     def link_tree(self, tree_id: str, graph_id: str) -> None:
         """The tree belongs to the graph from now on; other trees of the graph go, with what they hold."""
@@ -127,7 +157,7 @@ class Store:
             old = self.read("trees", TREES, state)
             change = Change()
             for r in old.filter(~own & (F.col("graph_id") == graph_id)).select("tree_id").toLocalIterator():  # a graph's trees, one or a few
-                change.remove += [(t, {"tree_id": r["tree_id"]}) for t in ("tree_nodes", "tree_edges", "tree_refs")]
+                change.remove += [(t, {"tree_id": r["tree_id"]}) for t in (*TREE_TABLES, "tree_errors")]
             kept = old.filter(own | F.col("graph_id").isNull() | (F.col("graph_id") != graph_id))
             return self._with(change, state, "trees", TREES, lambda _: kept.withColumn("graph_id", F.when(own, F.lit(graph_id)).otherwise(F.col("graph_id"))))
 
@@ -200,7 +230,7 @@ class Store:
             same = [clones[c] == gone[c] for c in ("user_id", "branch")] + [F.lower(clones[c]) == gone[c] for c in ("owner", "repo")]
             change = Change(remove=[(t, {"graph_id": graph_id}) for t in ("nodes", "edges", "history", "waiting")], reads=[("history", {"graph_id": graph_id})], facts={f"sequence:{graph_id}": None})
             for r in trees.filter(F.col("graph_id") == graph_id).select("tree_id").toLocalIterator():  # a graph's trees, one or a few
-                change.remove += [(t, {"tree_id": r["tree_id"]}) for t in ("tree_nodes", "tree_edges", "tree_refs")]
+                change.remove += [(t, {"tree_id": r["tree_id"]}) for t in (*TREE_TABLES, "tree_errors")]
             self._with(change, state, "clones", CLONES, lambda _: clones.join(gone, same, "left_anti"))
             self._with(change, state, "trees", TREES, lambda _: trees.filter(F.col("graph_id").isNull() | (F.col("graph_id") != graph_id)))
             return self._with(change, state, "graphs", GRAPHS, lambda _: graphs.filter(F.col("graph_id") != graph_id))
