@@ -288,6 +288,21 @@ def hit_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.first_communities(nodes, search.search(nodes, GRAPH_QUERY, edges))
 
 
+@query(BUILT + HITS + """, qn AS (SELECT a.node AS id, direction, a.type, coalesce(bn.name, a.other) AS other_name, row_number() OVER (PARTITION BY a.node, direction ORDER BY adj_ord) AS place
+  FROM adj a LEFT JOIN bn ON bn.id = a.other WHERE a.node IN (SELECT id FROM hit) AND (a.node <> a.other OR direction = 'in')),
+nb AS (SELECT id, string_agg(other_name || ' (' || type || ')', ', ' ORDER BY place) FILTER (direction = 'out') AS o, string_agg(other_name || ' (' || type || ')', ', ' ORDER BY place) FILTER (direction = 'in') AS i FROM qn WHERE place <= 8 GROUP BY id),
+ct AS (SELECT community, min(rank) AS f FROM hit JOIN fn USING (id) WHERE community IS NOT NULL GROUP BY 1 ORDER BY f, community LIMIT 4),
+mb AS (SELECT fn.*, f, row_number() OVER (PARTITION BY community ORDER BY CASE WHEN is_god THEN 0 WHEN is_orphan THEN 2 ELSE 1 END, ord) AS place FROM fn JOIN ct USING (community))
+SELECT 0 AS section, 0 AS n, 'Hits' AS line UNION ALL SELECT 1, 0, 'Communities'
+UNION ALL SELECT 0, CAST(rank AS INT), concat_ws(' ', type, name, CASE WHEN is_god THEN '[hub]' WHEN is_orphan THEN '[orphan]' END, '#' || community, 'in ' || nullif(file, ''), '-> ' || o, '<- ' || i)
+  FROM hit JOIN fn USING (id) LEFT JOIN nb USING (id)
+UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY any_value(f), community) AS INT), '#' || community || ': ' || count(*) || ' members, ' || count_if(is_god) || ' hubs' || CASE WHEN count(*) > 12 THEN ', cut' ELSE '' END
+  || ': ' || string_agg(name || CASE WHEN is_god THEN '*' ELSE '' END, ', ' ORDER BY place) FILTER (place <= 10) FROM mb GROUP BY community""")
+def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a text that answers a question from the graph: hits with their neighbours, and the communities they meet."""
+    return render.context_lines(*flagged(spark, sf_dir), GRAPH_QUERY, search.TOP_K)
+
+
 @query(BUILT + """, r AS (SELECT community, id, degree, row_number() OVER (PARTITION BY community ORDER BY is_god DESC, degree DESC, ord) AS place FROM fn WHERE community IS NOT NULL)
 SELECT community, CAST(place AS INT) AS place, id, degree FROM r WHERE place <= 20""")
 def leading_members(spark: SparkSession, sf_dir: str) -> DataFrame:
