@@ -387,12 +387,14 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     element = F.when(F.col("l_returnflag") == "R", F.to_json(F.struct(*own, number.cast("string").alias("line_start")))).otherwise(F.to_json(F.struct(*own, number.alias("line_start"))))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("tree_id")).agg(F.array_join(F.collect_list(element), ",").alias("elements"))
     text = F.concat(F.lit('{"nodes":['), F.coalesce("elements", F.lit("")), F.lit("]"), F.when(F.col("o_orderstatus") == "P", "").otherwise("}"))
-    trees = materialise(payloads.parsed(o.join(lines, "tree_id", "left").select("tree_id", text.alias("payload"))), "trees")
+    # both joins have a row for each tree on either side; the planner takes texts for 20 bytes and a VARIANT for 2 KB, finds what it
+    # knows so little of small, and would broadcast it
+    trees = materialise(payloads.parsed(o.join(lines.hint("merge"), "tree_id", "left").select("tree_id", text.alias("payload"))), "trees")
     nodes = payloads.rows(trees, "nodes").groupBy("tree_id").agg(
         F.count("*").alias("n_nodes"), F.sum("line_start").alias("lines"), F.count("rescued").alias("n_rescued"), F.sum(F.try_variant_get("rescued", "$.quantity", "long")).alias("quantity")
     )
     none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_nodes", "n_rescued")]
-    return trees.join(nodes, "tree_id", "left").select("tree_id", "error", *none, "lines", "quantity")
+    return trees.join(nodes.hint("merge"), "tree_id", "left").select("tree_id", "error", *none, "lines", "quantity")
 
 
 @query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss import schemas
+from gneiss.plans import queries as Q
 from gneiss.sources import payloads
 from gneiss.sources.store import TREES, Store
 
@@ -111,3 +112,9 @@ def test_trees_of_the_store(spark, tmp_path):
     row = store.trees().first()
     assert (row["n_nodes"], row["n_edges"], row["last_commit_sha"], row["graph_id"]) == (1, 0, "sha3", "g")
     assert [tuple(r) for r in store.tree_errors("t").collect()] == [("t", "nodes", 1, "not an object", "4")]
+
+
+def test_counts_of_trees_are_not_broadcast(spark):
+    """There is a row of counts for each tree, however small the planner thinks it."""
+    plan = Q.payload_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
