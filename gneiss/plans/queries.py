@@ -397,21 +397,23 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.join(nodes.hint("merge"), "tree_id", "left").select("tree_id", "error", *none, "lines", "quantity")
 
 
-@query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1")
-def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold each identifier token; a document's tokens are made distinct before they are dealt."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.array_distinct(X.identifier_tokens(F.col("text")))).alias("token"))
-    return d.groupBy("token").agg(F.count("doc_id").alias("df"))
+_FREQUENCIES = "WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1"
 
 
-@query("WITH t AS (SELECT doc_id, unnest(" + TOKENS.format(c="text") + ") AS t FROM documents) SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")
-def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequency and count of every identifier token."""
+@query(_FREQUENCIES)
+def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each identifier token, and how often it stands in all of them."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(X.identifier_tokens(F.col("text"))).alias("token"))
     each = d.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return each.groupBy("token").agg(F.count("doc_id").alias("df"), F.sum("n").alias("tf"))
 
 
+@query(_FREQUENCIES)
+def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency and count of every identifier token."""
+    return document_frequencies(spark, sf_dir)
+
+
 @query()
 def graph_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a graph's summary text."""

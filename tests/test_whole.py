@@ -68,6 +68,15 @@ def test_every_token_has_its_frequencies(spark):
     assert got == {t: (df[t], tf[t]) for t in tf} and min(df.values()) <= 20
 
 
+def test_document_frequencies_count_all(spark):
+    """Both figures of every token, as before its query was cut, and the SQL says so too."""
+    sf = "/root/testdata/sf0.001"
+    both = [Q.QUERIES[q](spark, sf) for q in ("document_frequencies", "token_frequencies")]
+    one, other = ({tuple(r) for r in f.select("token", "df", "tf").collect()} for f in both)
+    assert one == other and min(df for _, df, _ in one) == 1 and max(tf - df for _, df, tf in one) > 0
+    assert "AS tf" in Q.SQL["document_frequencies"] and "HAVING" not in Q.SQL["document_frequencies"]
+
+
 def test_imports_are_linked(spark):
     code = {
         "app/__init__.py": "",
