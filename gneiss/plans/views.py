@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.session import spread
+from gneiss.session import deal_finely, spread
 
 STEP = 10**12
 
@@ -70,6 +70,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("c_id", F.concat("place", F.lit("::C"), "c_custkey"))
     p = _table(spark, sf_dir, "part").withColumn("p_id", _part_id())
     li, o = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+    deal_finely(li)
     a = places.select(*row(0, F.col("n_nationkey"), F.col("region_id"), F.col("nation_id"), F.lit("CONTAINS"), one))
     b = s.select(*row(1, F.col("s_suppkey"), F.col("nation_id"), F.col("s_id"), F.lit("CONTAINS"), one))
     d = c.select(*row(2, F.col("c_custkey"), F.col("nation_id"), F.col("c_id"), F.lit("CONTAINS"), one))
@@ -97,7 +98,9 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "supplier").join(F.broadcast(_places(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"))
     folder = F.concat(F.lit("parts/"), "p_brand", F.lit("/T"), F.col("p_size") % 10)
     p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", folder.alias("folder"), F.regexp_replace(F.regexp_replace(_part_file(), r"\.java$", ""), "/", ".").alias("path"))
-    li = _table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).join(s.select("s_suppkey", "place", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = _table(spark, sf_dir, "lineitem")
+    deal_finely(li)
+    li = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s.select("s_suppkey", "place", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     turn = (F.col("l_orderkey") % 4 + 1).cast("int")
     ext = F.element_at(F.array(*map(F.lit, (".py", ".java", ".ts", ".go"))), turn)
     kind = F.element_at(F.array(*map(F.lit, ("call", "inherits", "decorator", "import"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
