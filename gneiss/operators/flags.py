@@ -17,8 +17,10 @@ def projection(edges: DataFrame) -> DataFrame:
 def flags(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> DataFrame:
     """id, is_god (neighbours in ``least`` or more communities but its own), is_orphan (no edge at all; a loop is one)."""
     own = nodes.select("id", "community")
-    near = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other"))).filter("id <> other").distinct()
-    there = near.join(own.select(F.col("id").alias("other"), F.col("community").alias("c")), "other").filter("c is not null")
+    # an end takes the other's community before ends are made distinct, so that pairs of ids are never held; hubs shrink to their communities
+    ends, known = edges.filter("source <> target").select("source", "target"), own.filter("community is not null")
+    met = [ends.join(known.select(F.col("id").alias(other), F.col("community").alias("c")), other).select(F.col(end).alias("id"), "c") for end, other in (("source", "target"), ("target", "source"))]
+    there = met[0].unionByName(met[1]).distinct()
     spread = there.join(own, "id").groupBy("id").agg(F.countDistinct(F.when(~F.col("community").eqNullSafe(F.col("c")), F.col("c"))).alias("n"))
     degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     out = own.select("id").join(spread, "id", "left").join(degree, "id", "left")
