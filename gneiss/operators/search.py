@@ -18,18 +18,22 @@ WEIGHTS = {"name": 3.0, "id": 2.0, "file": 1.0, "type": 1.0, "neighbours": 1.0}
 TOP_K, NEIGHBOUR_NAMES, HIT_NEIGHBOURS = 8, 10, 15
 
 
+#: How a node's edges are ordered. One place is an edge's way, so beside it the other end tells as much as source and target do.
+ADJACENT = ("adj_ord", "type", "other", "weight")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge: node, other, direction, adj_ord; an edge counts for its source before its target."""
-    tie = [F.col(c) for c in ("type", "source", "target", "weight") if c in edges.columns]
-    out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit("out").alias("direction"), "type", (F.col("ord") * 2).alias("adj_ord"), F.struct(*tie).alias("tie"))
-    back = edges.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit("in").alias("direction"), "type", (F.col("ord") * 2 + 1).alias("adj_ord"), F.struct(*tie).alias("tie"))
+    """Both directions of each edge: node, other, direction, type, adj_ord, weight; an edge counts for its source before its target."""
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(None).cast("double").alias("weight")
+    out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit("out").alias("direction"), "type", (F.col("ord") * 2).alias("adj_ord"), weight)
+    back = edges.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit("in").alias("direction"), "type", (F.col("ord") * 2 + 1).alias("adj_ord"), weight)
     return out.unionByName(back)
 
 
 def _with_neighbours(nodes: DataFrame, edges: DataFrame | None, most: int = NEIGHBOUR_NAMES) -> DataFrame:
     if edges is None:
         return nodes.withColumn("neighbours", F.lit(""))
-    rank = F.row_number().over(W.partitionBy("node").orderBy("adj_ord", "tie"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy(*ADJACENT))
     near = adjacency(edges).withColumn("r", rank).filter(F.col("r") <= most)
     names = nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")).dropDuplicates(["other"])
     near = near.join(names, "other", "left").groupBy("node").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("r", F.coalesce("other_name", "other").alias("n")))), lambda x: x["n"])).alias("neighbours"))
@@ -84,7 +88,7 @@ def search_with_neighbours(nodes: DataFrame, edges: DataFrame, query: str, top_k
     """The hits with the first ``most`` neighbours of each in adjacency order; a neighbour's name falls back to its id."""
     hits = search(nodes, query, edges, top_k, node_type)
     near = adjacency(edges).join(F.broadcast(hits.select(F.col("id").alias("node"), "rank")), "node")  # at most top_k rows
-    near = near.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("adj_ord", "tie"))).filter(F.col("place") <= most)
+    near = near.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(*ADJACENT))).filter(F.col("place") <= most)
     names = nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
     return near.join(names, "other", "left").select("rank", F.col("node").alias("id"), "place", "other", F.coalesce("other_name", "other").alias("other_name"), "direction", "type")
 

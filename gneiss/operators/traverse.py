@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators.search import adjacency
+from gneiss.operators.search import ADJACENT, adjacency
 from gneiss.session import materialise
 
 MAX_NEIGHBOURS, MAX_MEMBERS, MAX_HOPS = 25, 20, 10
@@ -30,7 +30,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame, most: int = M
     kept = edges if edge_type is None else edges.filter(F.col("type") == edge_type)
     near = adjacency(kept).filter((F.col("node") != F.col("other")) | (F.col("direction") == "in"))
     near = near.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
-    place = F.row_number().over(W.partitionBy("node", "direction").orderBy("adj_ord", "tie"))
+    place = F.row_number().over(W.partitionBy("node", "direction").orderBy(*ADJACENT))
     near = near.withColumn("place", place).filter(F.col("place") <= most // 2)
     names = nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
     return near.join(names, "other", "left").select(F.col("node").alias("id"), "direction", "place", "other", F.coalesce("other_name", "other").alias("other_name"), "type")
