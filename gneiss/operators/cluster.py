@@ -4,7 +4,8 @@ Moving: each vertex weighs the communities of its neighbours and takes the best
 a hash of the round, moves at a time, so that two neighbours don't swap for ever. Refining: within each community vertices start
 alone and those that are well connected to it merge, at random but rather where they gain more, into parts that are well connected
 too. Parts become the vertices of the next level, which starts with the communities that moving found. It ends when each community is
-one part. Parts grow along edges and never lose a vertex, so communities are connected; and as no vertex of the last level wants to
+one part. A level but the last stops moving when few vertices still want to, since the next level moves what they become a part of; the
+last goes on until none does. Parts grow along edges and never lose a vertex, so communities are connected; and as no vertex of the last level wants to
 move, no two communities gain by merging.
 """
 
@@ -18,8 +19,9 @@ from gneiss.operators.flags import flags, projection
 from gneiss.session import discard, materialise
 
 #: How much parts are chosen at random, against gain; halvings of the vertices that join one part at once; the share of those that
-#: could join a part at first from which refining leaves the rest to the next level.
-RANDOMNESS, HALVINGS, SETTLED = 0.05, 12, 0.2
+#: could join a part at first from which refining leaves the rest to the next level; the share of a level's vertices that may still want
+#: to move when it is refined.
+RANDOMNESS, HALVINGS, SETTLED, RESTLESS = 0.05, 12, 0.2, 0.05
 
 
 def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
@@ -57,21 +59,22 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("vertex").agg(F.sum("weight").alias("k"))
 
 
-def _move(both: DataFrame, degrees: DataFrame, m2: float, resolution: float, seed: int, start: DataFrame | None) -> DataFrame:
-    """vertex, k, p: communities from which no vertex wants to move, starting from those of ``start`` (vertex, p), or alone.
+def _move(both: DataFrame, degrees: DataFrame, m2: float, resolution: float, seed: int, start: DataFrame | None, restless: float = 0.0) -> tuple[DataFrame, int]:
+    """(vertex, k, p; how many vertices still want to move): communities from which no more than a share of the vertices wants to move, starting
+    from those of ``start`` (vertex, p), or alone.
 
     A share of the vertices moves at once. Where that does not raise modularity it is undone and a smaller share tried; below one
     vertex, the moves that don't touch each other's communities are made. So modularity grows with every state and the rounds end.
     """
     state = degrees.withColumn("c", F.col("vertex")) if start is None else degrees.join(start.withColumnRenamed("p", "c"), "vertex")
 
-    def weighed(state: DataFrame, turn: int) -> tuple[DataFrame, int, float]:
+    def weighed(state: DataFrame, turn: int) -> tuple[DataFrame, int, float, int]:
         found = _weigh(both, state, m2, resolution, turn)
-        return found, *found.agg(F.count_if("wants"), F.coalesce(F.sum("q"), F.lit(0.0))).first()
+        return found, *found.agg(F.count_if("wants"), F.coalesce(F.sum("q"), F.lit(0.0)), F.count("*")).first()
 
-    at, wants, q = weighed(materialise(state, "state"), 0)
+    at, wants, q, n = weighed(materialise(state, "state"), 0)
     parts, turn = 2, 0
-    while wants:
+    while wants > restless * n:
         bold = parts <= wants
         if bold:
             go = at.withColumn("go", F.col("wants") & (F.pmod(F.xxhash64("vertex", F.lit(seed), F.lit(turn)), F.lit(parts)) == 0))
@@ -83,9 +86,9 @@ def _move(both: DataFrame, degrees: DataFrame, m2: float, resolution: float, see
             parts *= 4
         else:
             discard(at)
-            (at, wants, q), parts = new, max(2, parts // 2)
+            (at, wants, q, _), parts = new, max(2, parts // 2)
         turn += 1
-    return at.select("vertex", "k", F.col("now").alias("p"))
+    return at.select("vertex", "k", F.col("now").alias("p")), wants
 
 
 def _refine(both: DataFrame, moved: DataFrame, m2: float, resolution: float, seed: int, randomness: float = RANDOMNESS) -> DataFrame:
@@ -101,7 +104,8 @@ def _refine(both: DataFrame, moved: DataFrame, m2: float, resolution: float, see
     inner = materialise(inner.select("u", "v", "weight"), "inner")
     within = inner.groupBy(F.col("u").alias("vertex")).agg(F.sum("weight").alias("w"))
     fair = lambda k: resolution * F.col(k) * (F.col("all") - F.col(k)) / m2
-    state = own.join(total, "p").join(within, "vertex").select("vertex", "k", "all", (F.col("w") >= fair("k") - 1e-12).alias("well"), F.col("vertex").alias("r"))
+    # a vertex that is a community of its own has no inner edges, and stays a part
+    state = own.join(total, "p").join(within, "vertex", "left").select("vertex", "k", "all", (F.coalesce("w", F.lit(0.0)) >= fair("k") - 1e-12).alias("well"), F.col("vertex").alias("r"))
     state, turn, most = materialise(state, "parts"), 0, 0
     coin = lambda c, turn: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(turn)), F.lit(2)) == 0
     while True:
@@ -163,14 +167,22 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, see
     base = materialise(projection(edges).join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi").join(nodes.select(F.col("id").alias("v")).distinct(), "v", "left_semi"), "projection")
     place = nodes.select(F.col("id").alias("vertex")).distinct().withColumn("at", F.col("vertex"))
     m2 = 2 * (base.agg(F.sum("weight")).first()[0] or 0.5)
-    graph, start, level = base, None, 0
+    graph, start, level, restless = base, None, 0, RESTLESS
     while True:
         both = materialise(graph.filter("u <> v").select("u", "v", "weight").union(graph.filter("u <> v").select("v", "u", "weight")), "both-ways")
-        moved = materialise(_move(both, _degrees(graph), m2, resolution, seed + level, start), "moved")
-        if moved.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        moved, left = _move(both, _degrees(graph), m2, resolution, seed + level, start, restless)
+        moved = materialise(moved, "moved")
+        apart = moved.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+        if apart and not left:
             break
+        part = None if apart else materialise(_refine(both, moved, m2, resolution, seed + level), "refined")
+        if apart or (left and part.filter("vertex <> r").isEmpty()):
+            # nothing merges while some want to move: this level moves on until none does
+            start, restless = moved.select("vertex", "p"), 0.0
+            discard(both, *([part] if part else []))
+            continue
         # what moving joined has inner edges that gain, so some vertices merge and the next level is smaller
-        part = materialise(_refine(both, moved, m2, resolution, seed + level), "refined")
+        restless = RESTLESS
         new = materialise(place.join(part.withColumnRenamed("vertex", "at"), "at", "left").select("vertex", F.coalesce("r", "at").alias("at")), "places")
         small = graph.join(part.select(F.col("vertex").alias("u"), F.col("r").alias("ru")), "u").join(part.select(F.col("vertex").alias("v"), F.col("r").alias("rv")), "v")
         small = materialise(small.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.sum("weight").alias("weight")), "contracted")

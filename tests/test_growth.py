@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import flags, search
+from gneiss.operators import cluster, flags, search
 from gneiss.plans import views
 from gneiss.session import deal_finely
 
@@ -47,3 +47,16 @@ def test_adjacency_repeats_no_ends(spark):
     assert [c for c, t in near.dtypes if t == "string"] == ["node", "other", "direction", "type"] and all("struct" not in t for _, t in near.dtypes)
     got = [(r["other"], r["direction"], r["weight"]) for r in near.filter("node = 'a'").orderBy(*search.ADJACENT).collect()]
     assert got == [("a", "out", 1.0), ("b", "out", 1.0), ("b", "out", 2.0), ("a", "in", 1.0), ("c", "in", 1.0)]
+
+
+def test_levels_of_communities_end_early_and_keep_lone_vertices(spark):
+    """A level may leave some moves to the next one; a vertex alone in its community stays a part, and so keeps its edges."""
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")]
+    both = spark.createDataFrame([(u, v, 1.0) for p in pairs for u, v in (p, p[::-1])], "u string, v string, weight double")
+    degrees = both.groupBy(F.col("u").alias("vertex")).agg(F.sum("weight").alias("k"))
+    early, left = cluster._move(both, degrees, 8.0, 1.0, 1, None, restless=1.0)
+    assert left == 4 and all(r["vertex"] == r["p"] for r in early.collect())
+    assert cluster._move(both, degrees, 8.0, 1.0, 1, None)[1] == 0
+    moved = degrees.withColumn("p", F.when(F.col("vertex") == "d", "d").otherwise("a"))
+    parts = {r["vertex"]: r["r"] for r in cluster._refine(both, moved, 8.0, 1.0, 1).collect()}
+    assert parts.keys() == set("abcd") and parts["d"] == "d"
