@@ -120,6 +120,17 @@ def examples(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("example").isNotNull() | F.col("last")).select("conv_id", "example", (F.col("place") - 1).alias("n_context"), F.col("start").alias("context_chars"), "loss_start", "loss_end", text_chars, "piece")
 
 
+def expanded(turns: DataFrame) -> DataFrame:
+    """conv_id, place, text, loss_start, loss_end, last: the whole text of every example, its context repeated before its reply, from ``format_turns``.
+
+    Rows are those of ``examples``: one for each trained turn, and one without a loss where a conversation ends otherwise. The texts of a
+    conversation take the square of its length; they are made one after another as the window moves on, so a task holds a few of them.
+    """
+    so_far = F.collect_list("piece").over(W.partitionBy("conv_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    whole = turns.select("conv_id", "place", so_far.alias("pieces"), "loss_start", "loss_end", "last", (F.col("example").isNotNull() | F.col("last")).alias("asked"))
+    return whole.filter("asked").select("conv_id", "place", F.array_join("pieces", "").alias("text"), "loss_start", "loss_end", "last")
+
+
 def expand(turns: DataFrame, wanted: DataFrame) -> DataFrame:
     """conv_id, example, text, loss_start, loss_end: the whole texts of some examples (conv_id, example), such as a training batch.
 
@@ -133,6 +144,7 @@ def expand(turns: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.groupBy("conv_id", "example", F.col("s").alias("loss_start"), F.col("e").alias("loss_end")).agg(F.array_join(F.transform(whole, lambda x: x["piece"]), "").alias("text")).select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
+BATCH_BYTES = 8 << 20
 BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, conversation_chars long"
 
 
@@ -178,6 +190,47 @@ def read_back(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     return rows.mapInArrow(read, BACK)
 
 
+def read_examples(texts: DataFrame, template: Template = TEMPLATE) -> DataFrame:
+    """What ``read_back`` gives, read from the whole texts of all examples (``expanded``) and their masks.
+
+    Each text must begin with that of the example before it; only what it adds is parsed.
+    """
+    # texts are as long as conversations: batches are bounded in bytes, whatever their rows
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # the window of expanded has dealt conversations to tasks already
+    rows = texts.select("conv_id", "place", "text", "loss_start", "loss_end", "last").sortWithinPartitions("conv_id", "place")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, out = None, []
+        for b in batches:
+            for conv, place, text, s, e, last in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None:
+                    state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, ""]
+                    # n_turns, turns, loss_chars, loss, formatted, examples, the text before
+                if not text.startswith(state[6]):
+                    raise ValueError(f"conversation {conv}: the example of turn {place} does not begin with its context")
+                found, rest = template.split(text[len(state[6]) :])
+                if rest:
+                    raise ValueError(f"conversation {conv}: the example of turn {place} ends within a turn")
+                for role, said in found:
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+                if s is not None:
+                    reply = template.unescape(text[s:e])
+                    state[2] += len(reply)
+                    state[3].update(reply.encode())
+                    state[5] += 1
+                state[4], state[6] = state[4] + len(text), text
+                if last:
+                    out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5], len(text)))
+                    state = None
+            if out:
+                yield _rows(out)
+                out = []
+
+    return rows.mapInArrow(read, BACK)
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string()}
     fields = [f.split() for f in BACK.split(", ")]

@@ -59,6 +59,25 @@ def test_chat_examples_are_prefixes(spark):
     assert len(one) == 1 and one[0]["text"] == texts[104, 7]["text"]
 
 
+def test_chat_query_reads_expanded_examples(spark, monkeypatch):
+    """The query makes the text of every example, context before reply, and what is read from these is what the turns say."""
+    turns = chat.format_turns(spark.createDataFrame(talks(), "conv_id long, turn long, role string, text string"))
+    texts = chat.expanded(turns)
+    by = {(r["conv_id"], r["place"]): r for r in texts.filter("conv_id <> 103").collect()}
+    for r in chat.examples(turns).filter("conv_id <> 103").collect():
+        x = by.pop((r["conv_id"], r["n_context"] + 1))
+        assert (len(x["text"]), x["loss_start"], x["loss_end"]) == (r["text_chars"], r["loss_start"], r["loss_end"])
+        assert chat.TEMPLATE.split(x["text"])[1] == "" and len(chat.TEMPLATE.split(x["text"])[0]) == r["n_context"] + 1
+    assert {c for c, _ in by} <= {None}  # rows without conv_id are one conversation, which the filter leaves out
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    assert key(chat.read_examples(texts).collect()) == key(chat.read_back(turns).collect())
+    asked = []
+    made = chat.expanded
+    monkeypatch.setattr(chat, "expanded", lambda t: asked.append(1) or made(t))
+    Q.op11_chat_formatting(spark, "/root/testdata/sf0.001")
+    assert asked
+
+
 def test_chat_templates():
     with pytest.raises(ValueError):
         chat.Template(other=("[INST", "[TEXT]", "[/ROLE]"))
