@@ -115,7 +115,9 @@ def undirected_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BUILT + "SELECT id, is_god, is_orphan FROM fl")
 def god_and_orphan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = build.build(*_pair(views.graph(spark, sf_dir)))
-    return flags.flags(nodes, edges)
+    # edges are read several times, and their joins made once
+    edges = materialise(edges, "edges")
+    return flags.flags(materialise(nodes, "nodes"), edges)
 
 
 def _pair(g: views.Graph) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gneiss.operators import cluster, flags, search
+from gneiss.plans import queries as Q
 from gneiss.plans import views
 from gneiss.session import deal_finely
 
@@ -60,3 +61,9 @@ def test_levels_of_communities_end_early_and_keep_lone_vertices(spark):
     moved = degrees.withColumn("p", F.when(F.col("vertex") == "d", "d").otherwise("a"))
     parts = {r["vertex"]: r["r"] for r in cluster._refine(both, moved, 8.0, 1.0, 1).collect()}
     assert parts.keys() == set("abcd") and parts["d"] == "d"
+
+
+def test_edges_of_flags_are_joined_once(spark):
+    """Flags read written edges, so the star schema's joins are not made anew for each use."""
+    scans = plan(Q.god_and_orphan_flags(spark, "/root/testdata/sf0.001"))
+    assert "l_orderkey" not in scans and "l_suppkey" not in scans
