@@ -145,6 +145,8 @@ SELECT r.id, direction, CAST(place AS INT) AS place, other, coalesce(bn.name, ot
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first neighbours each way of every node."""
     nodes, edges = build.build(*_pair(views.graph(spark, sf_dir)))
+    # externals and both ways read the edges, whose joins are made once
+    edges = materialise(edges, "edges")
     nodes = materialise(nodes, "nodes")
     return traverse.neighbours(nodes, edges, nodes.select("id"))
 

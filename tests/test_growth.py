@@ -63,7 +63,8 @@ def test_levels_of_communities_end_early_and_keep_lone_vertices(spark):
     assert parts.keys() == set("abcd") and parts["d"] == "d"
 
 
-def test_edges_of_flags_are_joined_once(spark):
-    """Flags read written edges, so the star schema's joins are not made anew for each use."""
-    scans = plan(Q.god_and_orphan_flags(spark, "/root/testdata/sf0.001"))
-    assert "l_orderkey" not in scans and "l_suppkey" not in scans
+def test_edges_are_joined_once(spark):
+    """Flags and neighbours read written edges, so the star schema's joins are not made anew for each use."""
+    for query in (Q.god_and_orphan_flags, Q.neighbours):
+        scans = plan(query(spark, "/root/testdata/sf0.001"))
+        assert "l_orderkey" not in scans and "l_suppkey" not in scans
