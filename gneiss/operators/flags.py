@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gneiss.session import hashed
+
 GOD_COMMUNITIES = 2
 
 
@@ -19,7 +21,7 @@ def flags(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> D
     own = nodes.select("id", "community")
     # an end takes the other's community before ends are made distinct, so that pairs of ids are never held; hubs shrink to their communities
     ends, known = edges.filter("source <> target").select("source", "target"), own.filter("community is not null")
-    met = [ends.join(known.select(F.col("id").alias(other), F.col("community").alias("c")), other).select(F.col(end).alias("id"), "c") for end, other in (("source", "target"), ("target", "source"))]
+    met = [ends.join(hashed(known.select(F.col("id").alias(other), F.col("community").alias("c"))), other).select(F.col(end).alias("id"), "c") for end, other in (("source", "target"), ("target", "source"))]
     there = met[0].unionByName(met[1]).distinct()
     spread = there.join(own, "id").groupBy("id").agg(F.countDistinct(F.when(~F.col("community").eqNullSafe(F.col("c")), F.col("c"))).alias("n"))
     degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))

@@ -33,26 +33,34 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def _with_neighbours(nodes: DataFrame, edges: DataFrame | None, most: int = NEIGHBOUR_NAMES) -> DataFrame:
     if edges is None:
         return nodes.withColumn("neighbours", F.lit(""))
-    rank = F.row_number().over(W.partitionBy("node").orderBy(*ADJACENT))
+    # ids often begin alike; sorted by their hash first, most of them needn't be compared
+    rank = F.row_number().over(W.partitionBy(F.xxhash64("node"), "node").orderBy(*ADJACENT))
     near = adjacency(edges).withColumn("r", rank).filter(F.col("r") <= most)
     names = nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")).dropDuplicates(["other"])
     near = near.join(names, "other", "left").groupBy("node").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("r", F.coalesce("other_name", "other").alias("n")))), lambda x: x["n"])).alias("neighbours"))
     return nodes.join(near, nodes["id"] == near["node"], "left").drop("node")
 
 
-def documents(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """ord, id, type, m (structural multiplier), tokens (t with its field's weight w) and dl (their weight) of each node."""
+def _fields(nodes: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+    """(ord, id, type, m (structural multiplier), dl (weight of all tokens) and the tokens of each field of each node; the fields' tokens)."""
     corpus = _with_neighbours(nodes, edges)
-    fields = [f for f in WEIGHTS if f in corpus.columns]
-
-    def field(f: str) -> Column:
-        return F.transform(X.identifier_tokens(F.col(f)), lambda t: F.struct(t.alias("t"), F.lit(WEIGHTS[f]).alias("w")))
-
+    fields = {f: F.col(f"{f}_tokens") for f in WEIGHTS if f in corpus.columns}
     god = F.col("is_god") if "is_god" in corpus.columns else F.lit(False)
     orphan = F.col("is_orphan") if "is_orphan" in corpus.columns else F.lit(False)
     kind = F.col("type") if "type" in corpus.columns else F.lit(None).cast("string")
-    docs = corpus.select("ord", "id", kind.alias("type"), X.structural(F.coalesce(god, F.lit(False)), F.coalesce(orphan, F.lit(False))).alias("m"), F.flatten(F.array(*map(field, fields))).alias("tokens"))
-    return docs.withColumn("dl", F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x["w"]))
+    m = X.structural(F.coalesce(god, F.lit(False)), F.coalesce(orphan, F.lit(False))).alias("m")
+    docs = corpus.select("ord", "id", kind.alias("type"), m, *[X.identifier_tokens(F.col(f)).alias(f"{f}_tokens") for f in fields])
+    return docs.withColumn("dl", sum((F.size(t) * WEIGHTS[f] for f, t in fields.items()), F.lit(0.0))), fields
+
+
+def documents(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """ord, id, type, m (structural multiplier), tokens (t with its field's weight w) and dl (their weight) of each node."""
+    docs, fields = _fields(nodes, edges)
+
+    def weighed(f: str) -> Column:
+        return F.transform(fields[f], lambda x: F.struct(x.alias("t"), F.lit(WEIGHTS[f]).alias("w")))
+
+    return docs.select("ord", "id", "type", "m", F.flatten(F.array(*map(weighed, fields))).alias("tokens"), "dl")
 
 
 def scores(nodes: DataFrame, query: str, edges: DataFrame | None = None, node_type: str | None = None, stop: tuple[str, ...] = X.STOP_WORDS) -> DataFrame:
@@ -63,13 +71,13 @@ def scores(nodes: DataFrame, query: str, edges: DataFrame | None = None, node_ty
     counts: dict[str, int] = {}
     for t in X.query_terms(query, stop):
         counts[t] = counts.get(t, 0) + 1
-    corpus = documents(nodes if node_type is None else nodes.filter(F.col("type") == node_type), edges)
-    mine = F.filter("tokens", lambda x: F.array_contains(F.array(*map(F.lit, counts)), x["t"]))
+    corpus, fields = _fields(nodes if node_type is None else nodes.filter(F.col("type") == node_type), edges)
+    mine = [F.filter(c, lambda x: x.isin(*counts)).alias(f"{f}_tokens") for f, c in fields.items()]
 
     def frequency(t: str) -> Column:
-        return F.aggregate("mine", F.lit(0.0), lambda a, x: a + F.when(x["t"] == t, x["w"]).otherwise(0.0))
+        return sum((F.size(F.filter(c, lambda x: x == t)) * WEIGHTS[f] for f, c in fields.items()), F.lit(0.0))
 
-    held = corpus.select("ord", "id", "m", "dl", mine.alias("mine")).select("ord", "id", "m", "dl", F.array(*map(frequency, counts)).alias("tf"))
+    held = corpus.select("ord", "id", "m", "dl", *mine).select("ord", "id", "m", "dl", F.array(*map(frequency, counts)).alias("tf"))
     held = materialise(held, "lengths")
     number = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(counts))]
     stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *number)  # one row

@@ -29,11 +29,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The built graph, written: edges first, since externals are found among their ends, and so their joins are made once."""
+    g = views.graph(spark, sf_dir)
+    edges = materialise(build.valid_edges(g.edges), "edges")
+    return materialise(build.build(g.nodes, edges)[0], "nodes"), edges
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The built graph with its flags."""
-    g = views.graph(spark, sf_dir)
-    nodes, edges = build.build(g.nodes, g.edges)
-    nodes, edges = materialise(nodes, "nodes"), materialise(edges, "edges")
+    nodes, edges = _built(spark, sf_dir)
     return materialise(nodes.join(flags.flags(nodes, edges), "id"), "flagged"), edges
 
 
@@ -114,10 +119,7 @@ def undirected_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BUILT + "SELECT id, is_god, is_orphan FROM fl")
 def god_and_orphan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = build.build(*_pair(views.graph(spark, sf_dir)))
-    # edges are read several times, and their joins made once
-    edges = materialise(edges, "edges")
-    return flags.flags(materialise(nodes, "nodes"), edges)
+    return flags.flags(*_built(spark, sf_dir))
 
 
 def _pair(g: views.Graph) -> tuple[DataFrame, DataFrame]:
@@ -144,10 +146,7 @@ def edge_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.id, direction, CAST(place AS INT) AS place, other, coalesce(bn.name, other) AS other_name, r.type FROM r LEFT JOIN bn ON r.other = bn.id WHERE place <= 12""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first neighbours each way of every node."""
-    nodes, edges = build.build(*_pair(views.graph(spark, sf_dir)))
-    # externals and both ways read the edges, whose joins are made once
-    edges = materialise(edges, "edges")
-    nodes = materialise(nodes, "nodes")
+    nodes, edges = _built(spark, sf_dir)
     return traverse.neighbours(nodes, edges, nodes.select("id"))
 
 

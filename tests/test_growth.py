@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gneiss.functions import text as X
 from gneiss.operators import cluster, flags, search
 from gneiss.plans import queries as Q
 from gneiss.plans import views
@@ -68,3 +69,18 @@ def test_edges_are_joined_once(spark):
     for query in (Q.god_and_orphan_flags, Q.neighbours):
         scans = plan(query(spark, "/root/testdata/sf0.001"))
         assert "l_orderkey" not in scans and "l_suppkey" not in scans
+
+
+def test_texts_without_humps_give_the_same_tokens(spark):
+    texts = ["plain Words, ALL 3a x1", "camelCase HTTPServer", "9A b", "Kelvin İx", None, ""]
+    got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(X.identifier_tokens(F.col("x")).alias("t")).collect()]
+    assert got == [["plain", "words", "all", "a", "x1"], ["camelcase", "camel", "case", "httpserver", "http", "server"], ["a", "b"], ["elvin", "x"], [], []]
+
+
+def test_externals_read_the_written_edges(spark, monkeypatch):
+    """The star schema's joins are made for the edges alone, not again for the nodes that edges add."""
+    seen = {}
+    real = Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, name="table": seen.update({name: plan(df)}) or real(df, name))
+    Q.flagged(spark, "/root/testdata/sf0.001")
+    assert "l_suppkey" in seen["edges"] and "l_suppkey" not in seen["nodes"] and "l_orderkey" not in seen["nodes"]
