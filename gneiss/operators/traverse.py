@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
 from gneiss.operators.search import ADJACENT, adjacency
-from gneiss.session import materialise
+from gneiss.session import hashed, materialise
 
 MAX_NEIGHBOURS, MAX_MEMBERS, MAX_HOPS = 25, 20, 10
 PATH_HOPS, PATH_CHILDREN, PATH_CAP = 4, 3, 8
@@ -71,15 +71,18 @@ def view(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] = (), gods_o
     if clusters:
         n = n.filter(F.col("community").isin(*clusters))
     ends = lambda of, c: of.select(F.col("id").alias(c))
-    e = edges.join(ends(n, "source"), "source", "left_semi").join(ends(n, "target"), "target", "left_semi")
+    # an id is a node once, so the side of ids, by far the smaller, is hashed and edges needn't be sorted
+    within = lambda e, of: e.join(hashed(ends(of, "source")), "source", "left_semi").join(hashed(ends(of, "target")), "target", "left_semi")
+    e = within(edges, n)
     q = query.strip().lower()
     if q:
+        e = materialise(e, "within")  # matches are looked for from both ends, and then edges among all that is seen
         match = n.filter(F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("file"), F.lit(q))).select("id")
-        out = e.join(match.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
-        back = e.join(match.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
+        out = e.join(hashed(match.withColumnRenamed("id", "source")), "source", "left_semi").select(F.col("target").alias("id"))
+        back = e.join(hashed(match.withColumnRenamed("id", "target")), "target", "left_semi").select(F.col("source").alias("id"))
         seen = match.unionByName(out).unionByName(back).distinct()
         n = n.join(seen, "id", "left_semi")
-        e = e.join(ends(seen, "source"), "source", "left_semi").join(ends(seen, "target"), "target", "left_semi")
+        e = within(e, materialise(seen, "seen"))
     return n, e
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators import cluster, flags, search
+from gneiss.operators import cluster, flags, search, traverse
 from gneiss.plans import queries as Q
 from gneiss.plans import views
 from gneiss.session import deal_finely
@@ -84,3 +84,15 @@ def test_externals_read_the_written_edges(spark, monkeypatch):
     monkeypatch.setattr(Q, "materialise", lambda df, name="table": seen.update({name: plan(df)}) or real(df, name))
     Q.flagged(spark, "/root/testdata/sf0.001")
     assert "l_suppkey" in seen["edges"] and "l_suppkey" not in seen["nodes"] and "l_orderkey" not in seen["nodes"]
+
+
+def test_views_join_written_edges(spark, monkeypatch):
+    """A view's edges are joined with the ids once, and matches are looked for in what was written."""
+    seen = []
+    real = traverse.materialise
+    monkeypatch.setattr(traverse, "materialise", lambda df, name="table": seen.append(name) or real(df, name))
+    nodes = spark.createDataFrame([("a", "can", "f", True), ("b", "x", "f", True), ("c", "x", "f", True), ("d", "x", "f", False)], "id string, name string, file string, is_god boolean")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("d", "a")], "source string, target string")
+    n, e = traverse.view(nodes, edges, gods_only=True, query="an")
+    assert sorted(r["id"] for r in n.collect()) == ["a", "b"] and sorted(map(tuple, e.collect())) == [("a", "b"), ("b", "a")]
+    assert seen == ["within", "seen"]
