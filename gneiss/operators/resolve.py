@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
+from gneiss.session import materialise
 
 # Names of calls that are never looked up, and the texts that tell how a target was found.
 JAVA_DENY = (
@@ -101,9 +102,9 @@ def narrow(asks: DataFrame, index: DataFrame) -> DataFrame:
 def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA_DENY, js_deny: tuple[str, ...] = JS_DENY) -> DataFrame:
     """Each reference (ord, source, raw, kind, file) with dialect, outcome (resolve, pass, drop), target and reasoning.
 
-    A reference whose kind makes no edge is dropped once it has a target.
+    A reference whose kind makes no edge is dropped once it has a target. How many references a row stands for (times) is kept where it is given.
     """
-    refs = refs.select("ord", "source", "raw", "kind", "file")
+    refs = refs.select(*[c for c in ("ord", "source", "raw", "kind", "file", "times") if c in refs.columns])
     # dialect and name are evaluated once, as lambda variables: as plain columns they would be written out in each branch that tests them
     r = refs.withColumn("dialect", F.transform(F.array(X.language_of(F.col("file"), lower=False)), _dialect)[0])
     r = r.withColumn("name", F.transform(F.array("dialect"), lambda d: F.coalesce(symbol(F.col("raw"), F.col("kind"), d), F.lit("")))[0])
@@ -111,7 +112,8 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
     index = nodes.filter("name is not null and name <> ''")
     counted = index.groupBy("name").agg(F.count("*").alias("k"), F.min("id").alias("only"))
     r = r.join(counted, "name", "left").withColumn("k", F.when(denied | (F.col("name") == ""), 0).otherwise(F.coalesce("k", F.lit(0))))
-    r = r.withColumn("file_", X.file_of(F.col("source")))
+    # names are found and counted once, and not anew for each use
+    r = materialise(r.withColumn("file_", X.file_of(F.col("source"))), "references")
     keys = ["name", "dialect", "kind", "raw", "file_"]
     found = narrow(r.filter("k > 1").select(*keys).distinct(), index.select("name", "id"))
     r = r.join(found, keys, "left")
@@ -123,6 +125,11 @@ def resolve(refs: DataFrame, nodes: DataFrame, java_deny: tuple[str, ...] = JAVA
     return r.select(*refs.columns, "dialect", outcome.alias("outcome"), made.alias("target"), F.when(made.isNotNull(), reasoning).alias("reasoning"))
 
 
+def alike(refs: DataFrame) -> DataFrame:
+    """A row for all references that ``resolve`` can't but answer alike: the first ord, the file of their sources for source, and how many (times)."""
+    return refs.groupBy("raw", "kind", "file", X.file_of(F.col("source")).alias("source")).agg(F.min("ord").alias("ord"), F.count("*").alias("times"))
+
+
 def resolved_edges(found: DataFrame) -> DataFrame:
     """INFERRED edges of the resolved references, in the order Python, Java, JavaScript, others, then as given."""
     lang = F.try_element_at(F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv]), F.col("dialect"))
@@ -134,5 +141,6 @@ def resolved_edges(found: DataFrame) -> DataFrame:
 
 def outcomes(found: DataFrame) -> DataFrame:
     """dialect, kind, outcome, reasoning, n and percent (of all references, one decimal)."""
-    n = found.groupBy("dialect", "kind", "outcome", "reasoning").agg(F.count("*").alias("n"))
+    times = F.sum("times") if "times" in found.columns else F.count("*")
+    n = found.groupBy("dialect", "kind", "outcome", "reasoning").agg(times.alias("n"))
     return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("dialect", "kind", "outcome", "reasoning", "n", F.round(100 * F.col("n") / F.col("all"), 1).alias("percent"))

@@ -256,7 +256,7 @@ o AS (SELECT dialect, kind, CASE WHEN k = 0 THEN 'drop' WHEN k = 1 OR same = 1 O
 SELECT dialect, kind, outcome, reasoning, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM o), 1) AS percent FROM o GROUP BY 1, 2, 3, 4""")
 def resolution_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each reference, and by which step: unique names, packages, receivers and import paths all occur."""
-    return resolve.outcomes(resolve.resolve(views.refs(spark, sf_dir), views.nodes(spark, sf_dir)))
+    return resolve.outcomes(resolve.resolve(resolve.alike(views.refs(spark, sf_dir)), views.nodes(spark, sf_dir)))
 
 
 @query(_REFS + """, f AS (SELECT file, raw, kind, source, min(ord) AS ord FROM rf GROUP BY ALL),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators import cluster, flags, search, traverse
+from gneiss.operators import cluster, flags, resolve, search, traverse
 from gneiss.plans import queries as Q
 from gneiss.plans import views
 from gneiss.session import deal_finely
@@ -71,6 +71,16 @@ def test_edges_are_joined_once(spark):
         assert "l_orderkey" not in scans and "l_suppkey" not in scans
 
 
+def test_references_alike_are_answered_once(spark):
+    rows = [(i, f"a/f.py::s{i % 2}", "x.go(y)" if i % 3 else "z.no()", "call", "a/f.py") for i in range(30)]
+    refs = spark.createDataFrame(rows, "ord long, source string, raw string, kind string, file string")
+    nodes = spark.createDataFrame([(0, "b.py::go", "go")], "ord long, id string, name string")
+    one = resolve.alike(refs)
+    assert sorted((r["source"], r["ord"], r["times"]) for r in one.collect()) == [("a/f.py", 0, 10), ("a/f.py", 1, 20)]
+    asked = [sorted(map(tuple, resolve.outcomes(resolve.resolve(r, nodes)).collect())) for r in (refs, one)]
+    assert asked[0] == asked[1] and {r[2]: r[4] for r in asked[0]} == {"resolve": 20, "drop": 10}
+
+
 def test_texts_without_humps_give_the_same_tokens(spark):
     texts = ["plain Words, ALL 3a x1", "camelCase HTTPServer", "9A b", "Kelvin İx", None, ""]
     got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(X.identifier_tokens(F.col("x")).alias("t")).collect()]
