@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators import cluster, flags, resolve, search, traverse
+from gneiss.operators import cluster, flags, index, resolve, search, traverse
 from gneiss.plans import queries as Q
 from gneiss.plans import views
 from gneiss.session import deal_finely
@@ -71,6 +71,19 @@ def test_edges_are_joined_once(spark):
         assert "l_orderkey" not in scans and "l_suppkey" not in scans
 
 
+def test_index_deals_documents_and_not_postings(spark, tmp_path):
+    """A document is one row with its counted terms; a posting is a place and a frequency."""
+    own = index.Index(spark, f"{tmp_path}/g", width=4, buckets=2)
+    rows = [(i, f"n{i}", "a b a camelCase" if i % 2 else None) for i in range(9)]
+    own.update(search.documents(spark.createDataFrame(rows, "ord long, id string, name string")))
+    forward = own.log.read("forward", index.FORWARD)
+    assert forward.count() == 9
+    got = forward.filter("ord = 1").first()
+    assert dict(zip(got["terms"].split(" "), got["tfs"])) == {"a": 6.0, "b": 3.0, "camelcase": 3.0, "camel": 3.0, "case": 3.0, "n1": 2.0}
+    block = own.blocks(["a"]).filter("slice = 0").first()
+    assert (block["ords"], block["tfs"], block["n"], block["most_tf"]) == ([1, 3], [6.0, 6.0], 2, 6.0)
+
+
 def test_references_alike_are_answered_once(spark):
     rows = [(i, f"a/f.py::s{i % 2}", "x.go(y)" if i % 3 else "z.no()", "call", "a/f.py") for i in range(30)]
     refs = spark.createDataFrame(rows, "ord long, source string, raw string, kind string, file string")
