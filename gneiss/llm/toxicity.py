@@ -21,6 +21,8 @@ from gneiss.session import materialise, small_batches
 POSITIVES, UNLABELLED = 10_000, 40_000
 #: The greatest class prior that is taken from the samples: few positives leave its estimate too loose.
 MOST_PRIOR = 0.3
+#: How many times the least bound of the prior a word's own may be for the word to count.
+NEARLY = 1.5
 TOKEN = re.compile(r"[^\W\d_]+")
 STEM = 5
 
@@ -56,15 +58,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def bound(seen: DataFrame, most: float = MOST_PRIOR) -> float:
+    """The class prior from words' shares a of toxic and b of unlabelled texts and their deviations da and db, ``most`` at most.
+
+    Unlabelled text holds any word at least prior times as often as toxic text does, so b / a, with b some deviations up and a as many
+    down, bounds the prior. The least of all words' ratios at one deviation would be that of a rare word which the samples got wrong, and
+    the prior too small: of n words some are by chance as far off as sqrt(2 ln n) deviations. So only words count whose bound at that
+    distance is nearly (``NEARLY``) the least, of these the least ratio at one deviation; where no word is that sure, all count.
+    """
+    ratio = lambda far: F.when(F.col("a") > far * F.col("da"), (F.col("b") + far * F.col("db")) / (F.col("a") - far * F.col("da")))
+    sure = F.coalesce(ratio(float(np.sqrt(2 * np.log(max(seen.count(), 2))))), F.lit(float("inf")))
+    least = seen.agg(F.min(sure)).first()[0]
+    least = seen.filter(sure <= F.lit(NEARLY * least)).agg(F.min(ratio(1.0))).first()[0] if least is not None else None
+    return min(max(least or 1.0, 1e-3), most)
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_prior: float = MOST_PRIOR) -> dict:
     """words, weights and prior. docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` marks teach nothing.
 
     Two samples, chosen by a hash, of at most about ``positives`` toxic and ``unlabelled`` texts: the second is drawn from all rows of ``docs``,
     labelled or not. Rows of null id teach nothing. Of repeated ids the smallest text counts, and the label is toxic where one
     is. Every word is a feature that positive texts have more often than unlabelled ones (by half, and by four deviations).
-    The class prior, where none is given, comes from the two samples: unlabelled text holds any word at least prior times as often
-    as toxic text does, so the least ratio of all words, each a deviation up above and down below, bounds it, as ``most_prior`` does:
-    a corpus of which more is toxic needs a greater one, or its own ``prior``.
+    The class prior, where none is given, comes from the two samples by ``bound``: a corpus of which more than ``most_prior`` is toxic
+    needs a greater one, or its own ``prior``.
     Without a positive example there are no words and every score is 0; without a word that tells, every score is the prior.
     """
     known = labels.filter(~held_out() & (F.col("toxic").cast("int") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -92,9 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     a, b = F.col("a") / sizes[1], F.col("b") / sizes[0]
     da, db = F.sqrt(a * (1 - a) / sizes[1]), F.sqrt(b * (1 - b) / sizes[0] + 1 / sizes[0] ** 2)
     z = (a - b) / F.sqrt(da * da + db * db)
-    seen = materialise(seen.select("word", F.when(a > da, (b + db) / (a - da)).alias("ratio"), ((z > 4) & (a > 1.5 * b)).alias("tells")), "words")
+    seen = materialise(seen.select("word", a.alias("a"), b.alias("b"), da.alias("da"), db.alias("db"), ((z > 4) & (a > 1.5 * b)).alias("tells")), "words")
     if prior is None:
-        prior = min(max(seen.agg(F.min("ratio")).first()[0] or 1.0, 1e-3), most_prior)
+        prior = bound(seen, most_prior)
     words = sorted(r["word"] for r in seen.filter("tells").select("word").collect())
     if not words:
         return {"words": [], "weights": None, "prior": prior}

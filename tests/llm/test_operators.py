@@ -351,6 +351,14 @@ def test_toxicity_held_out(spark):
     assert n[1, 1] > 4 * n[1, 0] and n[0, 0] > 30 * n[0, 1]
 
 
+def test_rare_words_do_not_bound_the_prior(spark):
+    """Of very many rare words some are by chance much rarer in unlabelled text; the words that most toxic texts hold tell the prior."""
+    rows = [(f"slur{i}", 0.3, 0.03 + i * 1e-4, 0.005, 0.0009) for i in range(5)] + [(f"rare{i}", 0.0025, 0.0025 - i * 5e-7, 0.00055, 0.00025) for i in range(5000)]
+    seen = spark.createDataFrame(rows, "word string, a double, b double, da double, db double")
+    assert abs(toxicity.bound(seen) - 0.0309 / 0.295) < 1e-9
+    assert abs(toxicity.bound(seen.filter("word = 'rare4999'")) - 0.25e-3 / 1.95e-3) < 1e-3 and toxicity.bound(seen.limit(0)) == toxicity.MOST_PRIOR
+
+
 def test_drop_toxic(spark):
     """Rows that are called toxic go, copies alike; nulls and empty texts stay with all their columns; no table, no rows."""
     rows = [(i, f"plain text number{i}" + (" vile slur" if i % 4 == 0 else ""), "s", "x") for i in range(400)]
