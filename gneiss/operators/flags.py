@@ -19,14 +19,16 @@ def projection(edges: DataFrame) -> DataFrame:
 def flags(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> DataFrame:
     """id, is_god (neighbours in ``least`` or more communities but its own), is_orphan (no edge at all; a loop is one)."""
     own = nodes.select("id", "community")
-    # an end takes the other's community before ends are made distinct, so that pairs of ids are never held; hubs shrink to their communities
-    ends, known = edges.filter("source <> target").select("source", "target"), own.filter("community is not null")
-    met = [ends.join(hashed(known.select(F.col("id").alias(other), F.col("community").alias("c"))), other).select(F.col(end).alias("id"), "c") for end, other in (("source", "target"), ("target", "source"))]
-    there = met[0].unionByName(met[1]).distinct()
-    spread = there.join(own, "id").groupBy("id").agg(F.countDistinct(F.when(~F.col("community").eqNullSafe(F.col("c")), F.col("c"))).alias("n"))
-    degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    out = own.select("id").join(spread, "id", "left").join(degree, "id", "left")
-    return out.select("id", (F.coalesce("n", F.lit(0)) >= least).alias("is_god"), F.col("degree").isNull().alias("is_orphan"))
+    known = own.filter("community is not null")
+    at = lambda end, c: hashed(known.select(F.col("id").alias(end), F.col("community").alias(c)))
+    both = edges.select("source", "target").join(at("source", "cs"), "source", "left").join(at("target", "ct"), "target", "left")
+    # an end takes the other's community where that is not its own; ends are then rows of one key, whatever they meet, and no pairs are held
+    met = lambda end, c: F.struct(F.col(end).alias("id"), F.when(~F.col("cs").eqNullSafe(F.col("ct")), F.col(c)).alias("c"))
+    ends = both.select(F.inline(F.array(met("source", "ct"), met("target", "cs"))))
+    spread = F.min("c") < F.max("c") if least == 2 else F.countDistinct("c") >= least  # that two differ is told without a set
+    found = ends.groupBy("id").agg(F.coalesce(spread, F.lit(False)).alias("spread"), F.lit(True).alias("met"))
+    out = own.select("id").join(found, "id", "left")
+    return out.select("id", F.coalesce("spread", F.lit(least <= 0)).alias("is_god"), F.col("met").isNull().alias("is_orphan"))
 
 
 def summary(flagged: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from gneiss.functions import text as X
 from gneiss.operators import cluster, flags, index, resolve, search, traverse
 from gneiss.plans import queries as Q
 from gneiss.plans import views
-from gneiss.session import deal_finely
+from gneiss.session import deal_finely, hashed, materialise
 
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
@@ -42,6 +42,29 @@ def test_flags_hold_no_pairs_of_ids(spark):
     assert got.pop("n0") == (True, False) and set(got.values()) == {(False, False)} and len(got) == 1000
 
 
+def test_flags_hold_a_row_for_each_id(spark):
+    """Whether communities differ is told by the least and the greatest, so an id with many of them is one row; other bounds still count them."""
+    nodes = spark.range(203).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 1, (F.col("id") % 50).cast("int")).otherwise(F.lit(2)).alias("community"))
+    nodes = nodes.withColumn("community", F.when(F.col("id") != "n202", F.col("community")))
+    edges = spark.range(2, 202).select(F.lit("n0").alias("source"), F.concat(F.lit("n"), "id").alias("target"))
+    edges = edges.union(spark.createDataFrame([("n1", "n2"), ("n3", "n1"), ("n202", "n202")], edges.schema))
+    found = flags.flags(nodes, edges)
+    assert not any("Aggregate [id#" in line and ", c#" in line.split("]")[0] for line in plan(found).splitlines())
+    for least, gods in ((1, {"n0", "n1", *(f"n{i}" for i in range(2, 202) if i % 50 != 2)}), (2, {"n0"}), (49, {"n0"}), (50, set())):
+        got = {r["id"]: r for r in flags.flags(nodes, edges, least).collect()}
+        assert {i for i, r in got.items() if r["is_god"]} == gods and len(got) == 203 and not any(r["is_orphan"] for r in got.values())
+
+
+def test_ids_of_many_nodes_are_not_broadcast(spark):
+    """A written table below the planner's bound for a broadcast can be many times that in memory."""
+    ids = materialise(spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).substr(1, 8).alias("id")))
+    size = int(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert 1 << 20 < size < spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    rows = spark.createDataFrame([("5feceb66",), ("x",)], "id string")
+    joined = rows.join(hashed(ids), "id", "left")
+    assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2
+
+
 def test_adjacency_repeats_no_ends(spark):
     """An edge's ends are carried once each way, and parallel edges of one place are still told apart."""
     rows = [(1, "a", "b", "T", 2.0), (1, "a", "b", "T", 1.0), (1, "c", "a", "T", 1.0), (1, "a", "a", "S", 1.0)]
