@@ -18,8 +18,12 @@ def projection(edges: DataFrame) -> DataFrame:
 
 def flags(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> DataFrame:
     """id, is_god (neighbours in ``least`` or more communities but its own), is_orphan (no edge at all; a loop is one)."""
-    own = nodes.select("id", "community")
-    known = own.filter("community is not null")
+    return flagged(nodes, edges, least).select("id", "is_god", "is_orphan")
+
+
+def flagged(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> DataFrame:
+    """Nodes with their flags; what the edges tell of an id joins the whole row, so nodes are not joined with themselves."""
+    known = nodes.select("id", "community").filter("community is not null")
     at = lambda end, c: hashed(known.select(F.col("id").alias(end), F.col("community").alias(c)))
     both = edges.select("source", "target").join(at("source", "cs"), "source", "left").join(at("target", "ct"), "target", "left")
     # an end takes the other's community where that is not its own; ends are then rows of one key, whatever they meet, and no pairs are held
@@ -27,8 +31,8 @@ def flags(nodes: DataFrame, edges: DataFrame, least: int = GOD_COMMUNITIES) -> D
     ends = both.select(F.inline(F.array(met("source", "ct"), met("target", "cs"))))
     spread = F.min("c") < F.max("c") if least == 2 else F.countDistinct("c") >= least  # that two differ is told without a set
     found = ends.groupBy("id").agg(F.coalesce(spread, F.lit(False)).alias("spread"), F.lit(True).alias("met"))
-    out = own.select("id").join(found, "id", "left")
-    return out.select("id", F.coalesce("spread", F.lit(least <= 0)).alias("is_god"), F.col("met").isNull().alias("is_orphan"))
+    rest = [c for c in nodes.columns if c not in ("id", "is_god", "is_orphan")]
+    return nodes.join(found, "id", "left").select("id", *rest, F.coalesce("spread", F.lit(least <= 0)).alias("is_god"), F.col("met").isNull().alias("is_orphan"))
 
 
 def summary(flagged: DataFrame) -> DataFrame:

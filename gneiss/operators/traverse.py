@@ -38,7 +38,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame, most: int = M
 
 def community(nodes: DataFrame, ids: DataFrame, most: int = MAX_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """(summary, members) of the communities of some ids: gods first, then others, orphans last, capped."""
-    own = nodes.join(ids.select("id"), "id", "left_semi").select("community").filter("community is not null").distinct()
+    own = nodes.join(hashed(ids.select("id")), "id", "left_semi").select("community").filter("community is not null").distinct()
     members = nodes.join(own, "community", "left_semi")
     summary = members.groupBy("community").agg(F.count("*").alias("members"), F.count_if("is_god").alias("gods"), F.count_if("is_orphan").alias("orphans")).withColumn("truncated", F.col("members") > most)
     rank = F.row_number().over(W.partitionBy("community").orderBy(F.when(F.col("is_god"), 0).when(F.col("is_orphan"), 2).otherwise(1), "ord"))

@@ -39,7 +39,7 @@ def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The built graph with its flags."""
     nodes, edges = _built(spark, sf_dir)
-    return materialise(nodes.join(flags.flags(nodes, edges), "id"), "flagged"), edges
+    return materialise(flags.flagged(nodes, edges).filter("id is not null"), "flagged"), edges
 
 
 TYPES = "('IMPORTS', 'CALLS', 'CONTAINS', 'INHERITS', 'DECORATES', 'RELATES_TO', 'DEPENDS_ON')"

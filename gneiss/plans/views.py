@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.session import deal_finely, spread
+from gneiss.session import deal_finely, hashed, spread
 
 STEP = 10**12
 
@@ -74,7 +74,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = places.select(*row(0, F.col("n_nationkey"), F.col("region_id"), F.col("nation_id"), F.lit("CONTAINS"), one))
     b = s.select(*row(1, F.col("s_suppkey"), F.col("nation_id"), F.col("s_id"), F.lit("CONTAINS"), one))
     d = c.select(*row(2, F.col("c_custkey"), F.col("nation_id"), F.col("c_id"), F.lit("CONTAINS"), one))
-    lines = li.join(s.select("s_suppkey", "s_id"), F.col("l_suppkey") == F.col("s_suppkey")).join(p.select("p_partkey", "p_id"), F.col("l_partkey") == F.col("p_partkey"))
+    # parts first: once suppliers turn out to be few, their join needs no shuffle of the lines
+    lines = li.join(hashed(p.select("p_partkey", "p_id")), F.col("l_partkey") == F.col("p_partkey")).join(s.select("s_suppkey", "s_id"), F.col("l_suppkey") == F.col("s_suppkey"))
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     e = lines.select(*row(3, key, F.col("s_id"), F.col("p_id"), F.when(F.col("l_returnflag") == "R", "RETURNS").otherwise("CALLS"), F.col("l_quantity")))
     f = li.filter("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_id"), F.col("o_custkey") == F.col("c_custkey"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
-from gneiss.operators import cluster, flags, index, resolve, search, traverse
+from gneiss.operators import build, cluster, flags, index, resolve, search, traverse
 from gneiss.plans import queries as Q
 from gneiss.plans import views
 from gneiss.session import deal_finely, hashed, materialise
@@ -142,3 +142,54 @@ def test_views_join_written_edges(spark, monkeypatch):
     n, e = traverse.view(nodes, edges, gods_only=True, query="an")
     assert sorted(r["id"] for r in n.collect()) == ["a", "b"] and sorted(map(tuple, e.collect())) == [("a", "b"), ("b", "a")]
     assert seen == ["within", "seen"]
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_stay_small_when_ids_are_alike(spark):
+    """Rows with alike ids take ten times and more in memory of what is shuffled or written of them, so a part's bytes are bounded, and never raised."""
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    try:
+        for name in names:
+            spark.conf.set(name, "64m")
+        views.edges(spark, "/root/testdata/sf0.01")
+        assert [int(spark.conf.get(n)) for n in names] == [8 << 20] * 2
+        for name in names:
+            spark.conf.set(name, "1m")
+        deal_finely(li)
+        assert [spark.conf.get(n) for n in names] == ["1m"] * 2
+    finally:
+        for name in (*names, INITIAL):
+            spark.conf.unset(name)
+
+
+def test_nodes_are_collapsed_after_the_shuffle(spark):
+    """A task sorts a part of the ids, not all the rows that it has scanned; the last row's attributes still stand at the first row's place."""
+    rows = [(3, "a", "x", 1), (1, "a", "z", None), (2, "b", "y", 2), (4, "a", None, 5)]
+    nodes = spark.createDataFrame(rows, "ord long, id string, name string, community int")
+    one = build.collapse_nodes(nodes)
+    assert "REPARTITION_BY_COL" in executed(one) and executed(one).count("Exchange") == 1
+    assert sorted(map(tuple, one.collect())) == [(1, "a", None, 5), (2, "b", "y", 2)]
+    edges = spark.createDataFrame([("a", "c")], "source string, target string")
+    assert [tuple(r) for r in build.external_nodes(nodes, edges).collect()] == [("c", "external", "c", "")]
+
+
+def test_flags_join_whole_nodes_once(spark):
+    """What edges tell of an id joins the node's row; the nodes are neither joined with their own ids nor broadcast."""
+    nodes = spark.createDataFrame([(0, "a", 1), (1, "b", 2), (2, "c", 3), (3, "d", None)], "ord long, id string, community int")
+    edges = spark.createDataFrame([("a", "b"), ("c", "a")], "source string, target string")
+    found = flags.flagged(nodes, edges)
+    assert sum("Join" in line for line in plan(found).splitlines()) == 3
+    assert found.columns == ["id", "ord", "community", "is_god", "is_orphan"]
+    assert sorted(map(tuple, found.collect())) == [("a", 0, 1, True, False), ("b", 1, 2, False, False), ("c", 2, 3, False, False), ("d", 3, None, False, True)]
+
+
+def test_communities_of_many_ids_are_not_broadcast(spark):
+    row = [F.sha2(F.col("id").cast("string"), 256).substr(1, 8).alias("id"), (F.col("id") % 5).cast("int").alias("community"), F.col("id").alias("ord"), F.lit("n").alias("name"), (F.col("id") < 3).alias("is_god"), F.lit(False).alias("is_orphan")]
+    nodes = materialise(spark.range(400_000).select(*row))
+    summary, members = traverse.community(nodes, nodes.select("id"))
+    assert "ShuffledHashJoin" in executed(summary) and "ShuffledHashJoin" in executed(members)
+    assert {r["community"]: (r["members"], r["gods"]) for r in summary.collect()} == {c: (80_000, int(c < 3)) for c in range(5)}
