@@ -7,6 +7,9 @@ too. Parts become the vertices of the next level, which starts with the communit
 one part. A level but the last stops moving when few vertices still want to, since the next level moves what they become a part of; the
 last goes on until none does. Parts grow along edges and never lose a vertex, so communities are connected; and as no vertex of the last level wants to
 move, no two communities gain by merging.
+
+Rounds are jobs over tables where a graph is too large for anything else. Levels of up to ``MOST_VERTICES`` and ``MOST_EDGES`` are arrays (``leiden``), with the
+same results: the edges lie in shards that tasks read in every round, and levels of up to ``ONE_TASK`` edges are left to one task, to the end.
 """
 
 from __future__ import annotations
@@ -15,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gneiss.operators import leiden
 from gneiss.operators.flags import flags, projection
-from gneiss.session import discard, materialise
+from gneiss.session import discard, hashed, materialise
 
 #: How much parts are chosen at random, against gain; halvings of the vertices that join one part at once; the share of those that
 #: could join a part at first from which refining leaves the rest to the next level; the share of a level's vertices that may still want
 #: to move when it is refined.
 RANDOMNESS, HALVINGS, SETTLED, RESTLESS = 0.05, 12, 0.2, 0.05
+#: Edges that one task holds, and that a shard has (each from both ends); edges, vertices and bytes of ids up to which levels are arrays.
+ONE_TASK, SHARD, MOST_EDGES, MOST_VERTICES, MOST_TEXT = 1 << 20, 400_000, 1 << 26, 1 << 22, 192 << 20
 
 
 def _weigh(both: DataFrame, state: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
@@ -143,30 +149,34 @@ def _refine(both: DataFrame, moved: DataFrame, m2: float, resolution: float, see
         state, turn = new, turn + 1
 
 
-def _sliced(sizes: DataFrame) -> DataFrame:
-    """Communities (at, n, first) in range-partitioned slices: those of lower slices have lower numbers."""
-    order = (F.desc("n"), F.asc("first"), F.asc("at"))
-    slices = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(sizes.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()), "slices")
+def _sliced(rows: DataFrame, *order) -> DataFrame:
+    """Rows in range-partitioned slices: those of lower slices come first. Communities (at, n, first) unless told otherwise."""
+    order = order or (F.desc("n"), F.asc("first"), F.asc("at"))
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(rows.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()), "slices")
 
 
-def _numbered(sizes: DataFrame) -> DataFrame:
-    """at, community: numbered by size, then by the first member's place."""
-    sliced = _sliced(sizes)
+def _places(rows: DataFrame, *order) -> DataFrame:
+    """Rows with their place in an order, from 0, though no task sorts them all."""
+    sliced = _sliced(rows, *order)
     before = F.coalesce(F.sum("rows").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a slice
     offsets = sliced.groupBy("slice").agg(F.count("*").alias("rows")).select("slice", before.alias("before"))
-    place = F.row_number().over(W.partitionBy("slice").orderBy(F.desc("n"), "first", "at")) - 1
-    return sliced.withColumn("place", place).join(F.broadcast(offsets), "slice").select("at", (F.col("before") + F.col("place")).cast("int").alias("community"))
+    place = F.row_number().over(W.partitionBy("slice").orderBy(*order)) - 1
+    return sliced.withColumn("place", place).join(F.broadcast(offsets), "slice").withColumn("place", F.col("before") + F.col("place")).drop("slice", "before")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
-    """id, community: numbered by size, then by the first member's place. Nodes without an edge are communities of their own.
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """at, community: numbered by size, then by the first member's place."""
+    return _places(sizes, F.desc("n"), F.asc("first"), F.asc("at")).select("at", F.col("place").cast("int").alias("community"))
 
-    Every community with more than one node is connected in the undirected projection.
-    """
-    base = materialise(projection(edges).join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi").join(nodes.select(F.col("id").alias("v")).distinct(), "v", "left_semi"), "projection")
-    place = nodes.select(F.col("id").alias("vertex")).distinct().withColumn("at", F.col("vertex"))
-    m2 = 2 * (base.agg(F.sum("weight")).first()[0] or 0.5)
+
+def _in_arrays(edges: int, vertices: int, text: int) -> bool:
+    return edges <= MOST_EDGES and vertices <= MOST_VERTICES and text <= MOST_TEXT
+
+
+def _in_rounds(base: DataFrame, m2: float, resolution: float, seed: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, int]:
+    """vertex, at: the part of each vertex of edges between ids; where a level fits into arrays, its edges (u, v, weight), its start (vertex, p), and its number."""
+    place = base.select(F.explode(F.array("u", "v")).alias("vertex")).distinct().withColumn("at", F.col("vertex"))
     graph, start, level, restless = base, None, 0, RESTLESS
     while True:
         both = materialise(graph.filter("u <> v").select("u", "v", "weight").union(graph.filter("u <> v").select("v", "u", "weight")), "both-ways")
@@ -174,7 +184,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, see
         moved = materialise(moved, "moved")
         apart = moved.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
         if apart and not left:
-            break
+            return place, None, None, level
         part = None if apart else materialise(_refine(both, moved, m2, resolution, seed + level), "refined")
         if apart or (left and part.filter("vertex <> r").isEmpty()):
             # nothing merges while some want to move: this level moves on until none does
@@ -189,8 +199,50 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, see
         start = materialise(moved.join(part, "vertex").filter("vertex = r").select("vertex", "p"), "start")
         discard(both, moved, part, place, *([graph] if level else []))
         graph, place, level = small, new, level + 1
-    sizes = place.join(nodes.groupBy(F.col("id").alias("vertex")).agg(F.min("ord").alias("ord")), "vertex").groupBy("at").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    return place.join(_numbered(sizes), "at").select(F.col("vertex").alias("id"), "community")
+        if _in_arrays(graph.filter("u <> v").count(), *start.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("vertex")), F.lit(0))).first()):
+            return place, graph, start, level
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
+    """id, community: numbered by size, then by the first member's place. Nodes without an edge are communities of their own.
+
+    Every community with more than one node is connected in the undirected projection.
+    """
+    ids = _places(nodes.filter("id is not null").groupBy("id").agg(F.min("ord").alias("ord")), F.asc("id"))
+    ids = materialise(ids.withColumnRenamed("place", "at"), "ids")
+    named = lambda name, at: hashed(ids.select(F.col("id").alias(name), F.col("at").alias(at)))
+    ends = edges.filter("source <> target").select("source", "target", "weight").join(named("source", "a"), "source").join(named("target", "b"), "target")
+    base = ends.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    base = materialise(base, "projection")
+    n_edges, weight = base.agg(F.count("*"), F.sum("weight")).first()
+    m2, level, rounds = 2 * (weight or 0.5), 0, (RESTLESS, (RANDOMNESS, HALVINGS, SETTLED))
+    degrees = materialise(_degrees(base).withColumnRenamed("vertex", "at"), "degrees")
+    vertices = materialise(degrees.join(ids, "at").select("at", "id", "k", F.lit(None).cast("long").alias("code")), "vertices")
+    graph, parts = base, []
+    if not _in_arrays(n_edges, *vertices.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))).first()):
+        back = lambda end: ids.select(F.col("at").alias(end), F.col("id").alias(f"{end}_id"))
+        whole = materialise(base.join(back("u"), "u").join(back("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "weight"), "named")
+        place, graph, start, level = _in_rounds(whole, m2, resolution, seed)
+        parts.append(place.join(named("vertex", "x"), "vertex").join(named("at", "part"), "at").select(F.col("x").alias("vertex"), "part"))
+        if graph:
+            name, turn = F.substring_index("p", "\0", 1), F.when(F.contains("p", F.lit("\0")), F.substring_index("p", "\0", -1))
+            code = F.shiftleft("c", leiden.TURN_BITS) + leiden.code_of(F.col("turn"))
+            found = start.select("vertex", name.alias("name"), turn.alias("turn")).join(_degrees(graph), "vertex").join(named("vertex", "at"), "vertex").join(named("name", "c"), "name")
+            vertices = materialise(found.select("at", F.col("vertex").alias("id"), "k", code.alias("code")), "vertices")
+            graph = graph.filter("u <> v").join(named("u", "a"), "u").join(named("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), "weight")
+            graph = materialise(graph, "contracted")
+            n_edges = graph.count()
+    if graph and n_edges > ONE_TASK:
+        found, graph, vertices, level = leiden.in_shards(graph, n_edges, vertices, m2, resolution, seed, level, *rounds, ONE_TASK, SHARD)
+        parts.append(found)
+        vertices = vertices.join(ids, "at")
+    if graph:
+        parts.append(leiden.in_a_task(graph, vertices, m2, resolution, seed, level, *rounds))
+    place = ids.select("id", "ord", "at")
+    for part in parts:
+        place = place.join(part, place["at"] == part["vertex"], "left").select("id", "ord", F.coalesce("part", "at").alias("at"))
+    sizes = place.groupBy("at").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return place.join(_numbered(sizes), "at").select("id", "community")
 
 
 def cluster_graph(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
